@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.predicates import visible_in_graph_view
@@ -13,7 +13,6 @@ from kbspark.functions.scalars import ellipsis
 
 EXTRACTION = ("struct<entities:array<struct<name:string,type:string>>,"
               "relations:array<struct<source:string,target:string,type:string>>>")
-ALL_SYSTEMS = "*"
 
 
 # --- building -----------------------------------------------------------------------------------
@@ -81,18 +80,21 @@ def _attempt(extractor: Extractor, text: str, attempts: int = 2) -> str | None:
     return None
 
 
-def phrase_extraction(text: str | Column, min_len: int = 4, max_entities: int = 8) -> Column:
-    """Default extractor as a built-in expression: the most frequent capitalised words, chained in order of rank."""
-    c = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(c, F.lit(rf"\b\p{{Lu}}[\p{{L}}\p{{N}}]{{{min_len - 1},}}"), F.lit(0))
-    counted = F.transform(F.array_distinct(words), lambda w: F.struct(
-        (-F.size(F.filter(words, lambda x: x == w))).alias("n"), w.alias("w")))
-    top = F.transform(F.slice(F.array_sort(counted), 1, max_entities), lambda x: x["w"])
-    ents = F.transform(top, lambda w: F.struct(w.alias("name"), F.lit("term").alias("type")))
-    pairs = F.when(F.size(top) > 1, F.transform(F.sequence(F.lit(1), F.size(top) - 1), lambda i: F.struct(
-        F.element_at(top, i).alias("source"), F.element_at(top, i + 1).alias("target"), F.lit("next").alias("type"))))
-    return F.to_json(F.struct(ents.alias("entities"), F.coalesce(pairs, F.array().cast(
-        "array<struct<source:string,target:string,type:string>>")).alias("relations")))
+CAPITALISED = r"(?:^|[^\p{L}\p{N}])(\p{Lu}[\p{L}\p{N}]{3,})"
+
+
+def phrase_extraction(batches: DataFrame, max_entities: int = 8) -> DataFrame:
+    """Default extractor: the most frequent capitalised words of a batch, each related to the next in rank."""
+    keys = ["doc_code", "batch_no"]
+    words = batches.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(1))).alias("w"))
+    counted = words.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
+    by_rank = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "w")
+    top = counted.withColumn("r", F.row_number().over(by_rank)).filter(F.col("r") <= max_entities)
+    found = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("t"))
+    ents = F.transform("t", lambda w: F.struct(w.alias("name"), F.lit("term").alias("type")))
+    pairs = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.struct(
+        a.alias("source"), b.alias("target"), F.lit("next").alias("type")))
+    return found.select(*keys, F.to_json(F.struct(ents.alias("entities"), pairs.alias("relations"))).alias("extraction"))
 
 
 def merge_entities(rows: DataFrame, order: list[str], existing: DataFrame | None = None) -> DataFrame:
@@ -124,7 +126,7 @@ def build_graph(chunks: DataFrame, extractor: Extractor | None = None, cap: int
     """
     batches = batch_texts(extraction_batches(chunks, cap))
     if extractor is None:
-        found = batches.withColumn("extraction", phrase_extraction("text"))
+        found = phrase_extraction(batches)
     else:
         found = extract(batches, extractor)
     keys = ["doc_code", "batch_no"]
@@ -204,12 +206,11 @@ def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relation
     found = (steps.filter(F.col("e2").isNotNull()).withColumn("scope", F.explode(scopes))
              .join(first_other_texts(chunks, mentions, limit).withColumnRenamed("content", "other_content"), ["e2", "scope"])
              .groupBy("query_id", "content", "e1", "e2", "other_content").agg(F.min("other_id").alias("other_id")))
-    key = ["query_id", "content", "e1", "e2"]
-    rows = steps.select(*key, "source_id").join(
-        found.withColumnRenamed("e2", "e2_"), [
-            steps.query_id == found.query_id, steps.content == found.content, steps.e1 == found.e1,
-            steps.e2.eqNullSafe(F.col("e2_"))], "left").select(
-        steps.query_id, steps.content, steps.e1, steps.e2, "source_id", "other_id", "other_content")
+    right = found.select(F.col("query_id").alias("q_"), F.col("content").alias("c_"), F.col("e1").alias("e1_"),
+                         F.col("e2").alias("e2_"), "other_id", "other_content")
+    same = ((F.col("query_id") == F.col("q_")) & (F.col("content") == F.col("c_")) & (F.col("e1") == F.col("e1_"))
+            & (F.col("e2") == F.col("e2_")))
+    rows = steps.select("query_id", "content", "e1", "e2", "source_id").join(right, same, "left")
     w = Window.partitionBy("query_id").orderBy("source_id", "e1", "content", F.col("e2").asc_nulls_first(),
                                                F.col("other_id").asc_nulls_first())
     return (rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

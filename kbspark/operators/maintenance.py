@@ -190,8 +190,8 @@ def apply_key_changes(keys: DataFrame, changes: DataFrame) -> DataFrame:
             .select(*keys.columns))
 
 
-def remote_file_rows(urls: DataFrame, url: str = "url", content: str = "content") -> DataFrame:
+def remote_file_rows(urls: DataFrame, url: str = "url", content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
     """Upload rows of remote files: the name comes from the address, the content from the table."""
     name = scalars.file_name_from_url(url)
-    return urls.select(url, name.alias("file_name"), scalars.file_type(name).alias("document_type"),
+    return urls.select(*keep, url, name.alias("file_name"), scalars.file_type(name).alias("document_type"),
                        F.length(content).cast("bigint").alias("file_size"), content)

@@ -48,7 +48,7 @@ def _group_keys(q: pd.DataFrame) -> dict[tuple[str, str], np.ndarray]:
 
 
 def _visible_chunks(chunks: DataFrame) -> DataFrame:
-    return (chunks.filter(F.col("enabled") & (F.col("status") == "SUCCESS"))
+    return (chunks.filter(F.col("enabled") & (F.col("status") == "SUCCESS") & F.col("embedding").isNotNull())
             .select("chunk_id", "tenant_code", "system_type", F.col("embedding").cast("array<float>").alias("embedding")))
 
 

@@ -101,6 +101,13 @@ SELECT label AS query_id, chunk_id,
 FROM {v_chunk_vec} c WHERE system_type = 's0'
 """
 
+VIEWS["v_vec_mention"] = """
+SELECT 'c' || lpad(cast(vec_id AS string), 8, '0') AS chunk_id, 'E' || cast(vec_id % 37 AS string) AS entity_name FROM [[embeddings]]
+UNION SELECT 'c' || lpad(cast(vec_id AS string), 8, '0'), 'E' || cast(50 + vec_id % 23 AS string) FROM [[embeddings]]
+"""
+VIEWS["v_vec_relation"] = """
+SELECT DISTINCT 'E' || cast(vec_id % 37 AS string) AS src, 'E' || cast(50 + vec_id % 23 AS string) AS dst, 'near' AS type FROM [[embeddings]] WHERE label < 3
+"""
 VIEWS["v_mention"] = """
 SELECT DISTINCT 'O' || cast(l_orderkey AS string) AS chunk_id, 'P' || cast(l_partkey AS string) AS entity_name FROM [[lineitem]]
 """

@@ -1,0 +1,71 @@
+"""Documents that stay in processing too long."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+
+ALERT = StructType([StructField("doc_code", StringType()),
+                    StructField("stuck_since", TimestampType())])
+_STATE = StructType([StructField("armed_ms", LongType()), StructField("done", LongType())])
+LATE_MS = 2 * 3600 * 1000
+
+
+class StuckProcessor(StatefulProcessor):
+    """Armed by PROCESSING, cleared by SUCCESS or FAILED; one alert per document at most.
+
+    State per document is two numbers. An alert is due when the next finishing
+    event lies more than two hours after arming, or when the watermark passes
+    that point first.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("stuck", _STATE)
+
+    def _alert(self, key: Any, armed: int) -> pd.DataFrame:
+        return pd.DataFrame({"doc_code": [key[0]], "stuck_since": [pd.Timestamp(armed, unit="ms")]})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        armed, done = (int(x) for x in self.state.get()) if self.state.exists() else (-1, 0)
+        was = armed
+        events = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"])
+        for ms, status in events[["ts_ms", "status"]].itertuples(index=False):
+            if done:
+                break
+            if status == "PROCESSING":
+                armed = int(ms) if armed < 0 else armed
+            elif armed >= 0:
+                if ms - armed > LATE_MS:
+                    done = 1
+                    yield self._alert(key, armed)
+                armed = -1
+        if armed != was:
+            if was >= 0:
+                self.handle.deleteTimer(was + LATE_MS)
+            if armed >= 0 and not done:
+                self.handle.registerTimer(armed + LATE_MS)
+        self.state.update((armed, done))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        armed, done = (int(x) for x in self.state.get())
+        if armed >= 0 and not done:
+            self.state.update((armed, 1))
+            yield self._alert(key, armed)
+
+    def close(self) -> None:
+        pass
+
+
+def stuck_documents(status_events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """``status_events``: doc_code, event_id, ts, status as a stream."""
+    s = (status_events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+         .select("doc_code", "event_id", "status", "ts", F.unix_millis("ts").alias("ts_ms")))
+    return s.groupBy("doc_code").transformWithStateInPandas(
+        statefulProcessor=StuckProcessor(), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
