@@ -11,7 +11,7 @@ from kbspark.sources.fixtures import check_sql
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-MODULES = ("base", "predicates", "usage", "sessions", "retrieval", "chunks", "graph", "maintenance")
+MODULES = ("base", "predicates", "usage", "sessions", "retrieval", "chunks", "graph", "maintenance", "streams")
 CHECKS: dict[str, str] = {}
 
 

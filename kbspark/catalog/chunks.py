@@ -64,7 +64,7 @@ def r9(spark, d):
             .select("doc_code", "section_no", F.array_join("hierarchy", " > ").alias("hierarchy"), "content"))
 
 
-TOKENS = r"""len(regexp_extract_all({t}, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]|[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_\s]'))"""
+TOKENS = r"""len(regexp_extract_all({t}, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]|[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]'))"""
 
 
 def _span(pos: str, k: str) -> str:
@@ -148,3 +148,13 @@ def r11_sizes(spark, d):
   SELECT doc_code, cast(ord AS int) AS chunk_index, CASE WHEN len(p) = 0 THEN coalesce(carried, '1') WHEN p[1] = p[-1] THEN p[1] ELSE p[1] || '-' || p[-1] END AS page_number FROM f""", "v_structured_doc")
 def carried(spark, d):
     return K.carry_pages(_chunks(spark, d)).select("doc_code", "chunk_index", "page_number")
+
+
+@register("chunk_text_udtf", f"""WITH RECURSIVE asked AS (SELECT doc_id AS k, text, 200 AS target, 50 AS overlap FROM documents), {split_sql('cuts', 'asked', 256, '。！？；!?;')}
+  SELECT k AS doc_id, cast(row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS int) AS piece_no, piece FROM cuts""")
+def udtf_pieces(spark, d):
+    from kbspark.functions.udtf import register_chunk_text
+
+    register_chunk_text(spark)
+    return spark.sql("SELECT d.doc_id, c.piece_no, c.piece FROM {docs} d, LATERAL chunk_text(d.text, 200, 50, 256) c",
+                     docs=spread(read_table(spark, d, "documents")))

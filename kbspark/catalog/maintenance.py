@@ -174,9 +174,9 @@ def g11(spark, d):
     return M.apply_key_changes(view(spark, d, "v_api_key"), changes).select("id", "is_delete", "enabled")
 
 
-@register("g13_remote_files", r"""SELECT url, coalesce(nullif(regexp_extract(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1), ''), 'downloaded-file') AS file_name,
-  CASE WHEN page_id % 2 = 0 THEN 'MARKDOWN' ELSE 'UNKNOWN' END AS document_type, length(html) AS file_size FROM (SELECT *, CASE WHEN page_id % 10 = 1 THEN 'http://host.example.com/'
-  WHEN page_id % 2 = 0 THEN regexp_replace(url, '\?', '.md?') ELSE url END AS u FROM pages) p""")
+@register("g13_remote_files", r"""SELECT url, fn AS file_name, CASE WHEN fn LIKE '%.md' THEN 'MARKDOWN' ELSE 'UNKNOWN' END AS document_type, length(html) AS file_size FROM (
+  SELECT url, html, coalesce(nullif(regexp_extract(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1), ''), 'downloaded-file') AS fn FROM (
+  SELECT *, CASE WHEN page_id % 10 = 1 THEN 'http://host.example.com/' WHEN page_id % 2 = 0 THEN regexp_replace(url, '\?', '.md?') ELSE url END AS u FROM pages) p) q""")
 def g13(spark, d):
     k = F.col("page_id")
     u = F.when(k % 10 == 1, "http://host.example.com/").when(k % 2 == 0, F.regexp_replace("url", r"\?", ".md?")).otherwise(F.col("url"))

@@ -315,7 +315,7 @@ def c17(spark, d):
 
 
 @register("c18_token_count", """
-SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}_]+|[^\\p{L}\\p{M}\\p{N}_\\s]')) AS tokens FROM documents""")
+SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\p{Z}]')) AS tokens FROM documents""")
 def c18(spark, d):
     return read_table(spark, d, "documents").select("doc_id", C.token_count("text").cast("bigint").alias("tokens"))
 

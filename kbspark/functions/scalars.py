@@ -132,8 +132,8 @@ TOKEN = r"[぀-ヿ㐀-䶿一-鿿가-힯]|[^\W぀-ヿ㐀-䶿一-鿿가-힯]+|[^\w
 _TOKEN = re.compile(TOKEN)
 # The same pattern for the JVM side.
 TOKEN_SQL = (r"[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]"
-             r"|[\p{L}\p{M}\p{N}_&&[^\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]]+"
-             r"|[^\p{L}\p{M}\p{N}_\s]")
+             r"|[\p{L}\p{N}_&&[^\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}]]+"
+             r"|[^\p{L}\p{N}_\s\p{Z}\x0b\x1c-\x1f\x{85}]")
 
 TokenCounter = Callable[[str], int]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -200,6 +200,19 @@ def external_rerank(candidates: DataFrame, scores: DataFrame, threshold: float)
     return candidates.filter(text).join(s, ["query_id", "chunk_id"]).withColumn("rank", F.row_number().over(w))
 
 
+def score_candidates(candidates: DataFrame, scorer: Callable[[list[str], list[str]], list[float | None]],
+                     query_text: str = "question", text: str = "content") -> DataFrame:
+    """Score table of any relevance scorer called on Arrow batches of (question, text) pairs; blank texts are not sent."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                scores = scorer(pdf[query_text].tolist(), pdf[text].tolist())
+                yield pdf[["query_id", "chunk_id"]].assign(rerank_score=pd.Series(scores, index=pdf.index, dtype="float64"))
+
+    sent = candidates.filter(F.trim(F.coalesce(text, F.lit(""))) != "").select("query_id", "chunk_id", query_text, text)
+    return sent.mapInPandas(run, "query_id bigint, chunk_id string, rerank_score double")
+
+
 def rerank(candidates: DataFrame, scores: DataFrame | None, top_n: int, threshold: float, floor: float = 0.85,
            external_threshold: float = 0.85) -> DataFrame:
     """External scores for questions that have any, the local rule for the others; ``source`` tells which.
