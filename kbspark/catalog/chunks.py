@@ -9,6 +9,7 @@ from kbspark.functions import scalars as C
 from kbspark.functions import text as X
 from kbspark.operators import chunking as K
 from kbspark.operators.layout import spread
+from kbspark.session import cut_lineage
 from kbspark.sources.fixtures import view
 from kbspark.sources.tables import read_table
 
@@ -147,7 +148,8 @@ def r11_sizes(spark, d):
     (PARTITION BY doc_code ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM chunks WHERE chunk_type = 'FINE')
   SELECT doc_code, cast(ord AS int) AS chunk_index, CASE WHEN len(p) = 0 THEN coalesce(carried, '1') WHEN p[1] = p[-1] THEN p[1] ELSE p[1] || '-' || p[-1] END AS page_number FROM f""", "v_structured_doc")
 def carried(spark, d):
-    return K.carry_pages(_chunks(spark, d)).select("doc_code", "chunk_index", "page_number")
+    stored = cut_lineage(_chunks(spark, d).select("doc_code", "chunk_type", "chunk_index", "page_number", "raw"))
+    return K.carry_pages(stored).select("doc_code", "chunk_index", "page_number")
 
 
 @register("chunk_text_udtf", f"""WITH RECURSIVE asked AS (SELECT doc_id AS k, text, 200 AS target, 50 AS overlap FROM documents), {split_sql('cuts', 'asked', 256, '。！？；!?;')}

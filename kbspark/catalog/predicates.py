@@ -12,6 +12,7 @@ from kbspark.functions.text import NEGATIVE_MARKERS
 from kbspark.operators import maintenance as M
 from kbspark.operators import paging as T
 from kbspark.operators import reports, retrieval, sessions
+from kbspark.operators.layout import spread
 from kbspark.sources.fixtures import view
 from kbspark.sources.tables import read_table
 
@@ -317,7 +318,7 @@ def c17(spark, d):
 @register("c18_token_count", """
 SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s\\p{Z}]')) AS tokens FROM documents""")
 def c18(spark, d):
-    return read_table(spark, d, "documents").select("doc_id", C.token_count("text").cast("bigint").alias("tokens"))
+    return spread(read_table(spark, d, "documents")).select("doc_id", C.token_count("text").cast("bigint").alias("tokens"))
 
 
 # --- sorts and pages ----------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kbspark.catalog import register
 from kbspark.functions import text as X
 from kbspark.operators import retrieval as R
+from kbspark.operators.layout import spread
 from kbspark.plans import answer_context as A
 from kbspark.sources.fixtures import view
 from kbspark.sources.tables import read_table
@@ -49,8 +50,9 @@ def r1(spark, d):
 @register("r2_topic_words", f"""SELECT doc_id, len(w) AS n, array_to_string(w, ' ') AS words FROM (SELECT doc_id,
   list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '\\p{{L}}[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ({NOISE})))) AS w FROM documents) t""")
 def r2(spark, d):
-    w = F.array_sort(X.topic_words("text"))
-    return read_table(spark, d, "documents").select("doc_id", F.size(w).cast("bigint").alias("n"), F.array_join(w, " ").alias("words"))
+    w = F.array_sort("w")
+    docs = spread(read_table(spark, d, "documents")).select("doc_id", X.topic_words("text").alias("w"))
+    return docs.select("doc_id", F.size("w").cast("bigint").alias("n"), F.array_join(w, " ").alias("words"))
 
 
 VEC = "v_chunk_vec v_query_vec v_question v_rerank_score v_coarse_chunk v_vec_mention v_vec_relation"

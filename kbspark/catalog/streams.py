@@ -15,7 +15,7 @@ from kbspark.sources.tables import read_table
 from kbspark.streaming import batches as B
 from kbspark.streaming import windows as W
 from kbspark.streaming.carried import CarriedTable
-from kbspark.streaming.stuck import stuck_documents
+from kbspark.streaming.stuck import CLOCK, STATE, alerts, stuck_step
 from kbspark.streaming.usage_stream import running_summary
 
 
@@ -84,8 +84,10 @@ def x3(spark, d):
     s = (stream_table(spark, d, "events").filter(t.isin("signup", "purchase", "error"))
          .select(F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 50).cast("string")).alias("doc_code"), "event_id",
                  "ts", F.when(t == "signup", "PROCESSING").when(t == "purchase", "SUCCESS").otherwise("FAILED").alias("status")))
-    out = _sink(stuck_documents(s), scratch_dir(spark, "x3"), "x3")
-    return out.select("doc_code", F.unix_millis("stuck_since").alias("stuck_since_ms"))
+    base = scratch_dir(spark, "x3")
+    state, clock = CarriedTable(spark, f"{base}/state", "doc_code", STATE), CarriedTable(spark, f"{base}/clock", "name", CLOCK)
+    B.run_available(s, stuck_step(state, clock, f"{base}/out"), "x3")
+    return alerts(spark.read.parquet(f"{base}/out"))
 
 
 @register("x4_activity_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + interval '2' hour

@@ -168,16 +168,18 @@ def reachable(relations: DataFrame, limit: int) -> DataFrame:
 def first_other_texts(chunks: DataFrame, mentions: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` distinct texts (by their smallest chunk id) that mention an entity, per visibility scope.
 
-    Scopes: ('own', tenant, system), ('global', all systems) for tenant '0',
-    and ('all') for the super tenant. A question reads one or two of them.
+    One row per entity and scope with an array of at most ``limit`` (other_id,
+    content). Scopes: 'own|tenant|system', 'global' for tenant '0' in every
+    system, and 'all' for the super tenant. A question reads one or two.
     """
-    live = (mentions.join(chunks.filter("enabled").select("chunk_id", "content", "tenant_code", "system_type"), "chunk_id"))
+    live = mentions.join(chunks.filter("enabled").select("chunk_id", "content", "tenant_code", "system_type"), "chunk_id")
     own = F.concat_ws("|", F.lit("own"), "tenant_code", "system_type")
     scopes = F.when(F.col("tenant_code") == "0", F.array(F.lit("global"), F.lit("all"))).otherwise(F.array(own, F.lit("all")))
     texts = (live.select(F.col("entity_name").alias("e2"), F.explode(scopes).alias("scope"), "content", "chunk_id")
              .groupBy("e2", "scope", "content").agg(F.min("chunk_id").alias("other_id")))
     w = Window.partitionBy("e2", "scope").orderBy("other_id")
-    return texts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit).drop("r")
+    return (texts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit)
+            .groupBy("e2", "scope").agg(F.array_sort(F.collect_list(F.struct("other_id", "content"))).alias("others")))
 
 
 def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relations: DataFrame, limit: int = 30) -> DataFrame:
@@ -199,23 +201,31 @@ def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relation
     per_q = Window.partitionBy("query_id").orderBy("source_id", "e1", "content")
     starts = starts.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= limit).drop("r")
     steps = starts.join(reachable(relations, limit), "e1", "left")
-    per_step = Window.partitionBy("query_id").orderBy("source_id", "e1", "content", F.col("e2").asc_nulls_first())
-    steps = steps.withColumn("r", F.row_number().over(per_step)).filter(F.col("r") <= limit).drop("r")
-    scopes = (F.when(t == "0", F.array(F.lit("all")))
-              .otherwise(F.array(F.concat_ws("|", F.lit("own"), t, s), F.lit("global"))))
-    found = (steps.filter(F.col("e2").isNotNull()).withColumn("scope", F.explode(scopes))
-             .join(first_other_texts(chunks, mentions, limit).withColumnRenamed("content", "other_content"), ["e2", "scope"])
-             .groupBy("query_id", "content", "e1", "e2", "other_content").agg(F.min("other_id").alias("other_id")))
-    right = found.select(F.col("query_id").alias("q_"), F.col("content").alias("c_"), F.col("e1").alias("e1_"),
-                         F.col("e2").alias("e2_"), "other_id", "other_content")
-    same = ((F.col("query_id") == F.col("q_")) & (F.col("content") == F.col("c_")) & (F.col("e1") == F.col("e1_"))
-            & (F.col("e2") == F.col("e2_")))
-    rows = steps.select("query_id", "content", "e1", "e2", "source_id").join(right, same, "left")
-    w = Window.partitionBy("query_id").orderBy("source_id", "e1", "content", F.col("e2").asc_nulls_first(),
-                                               F.col("other_id").asc_nulls_first())
+    step_order = ["source_id", "e1", "content", F.col("e2").asc_nulls_first()]
+    per_step = Window.partitionBy("query_id").orderBy(*step_order)
+    steps = steps.withColumn("step", F.row_number().over(per_step)).filter(F.col("step") <= limit)
+
+    texts = first_other_texts(chunks, mentions, limit)
+    narrow = texts.select(F.col("e2").alias("n_e2"), F.col("scope").alias("n_scope"), F.col("others").alias("near"))
+    wide = texts.filter("scope = 'global'").select(F.col("e2").alias("w_e2"), F.col("others").alias("far"))
+    scope = F.when(t == "0", "all").otherwise(F.concat_ws("|", F.lit("own"), t, s))
+    found = (steps.withColumn("scope", scope)
+             .join(narrow, (F.col("e2") == F.col("n_e2")) & (F.col("scope") == F.col("n_scope")), "left")
+             .join(wide, (F.col("e2") == F.col("w_e2")) & (t != "0"), "left"))
+    # A step yields at least as many rows as its larger list has texts, and one at least;
+    # what earlier steps surely yield need not be filled again.
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    sure = F.greatest(F.lit(1), size("near"), size("far"))
+    before = Window.partitionBy("query_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("room", F.lit(limit) - F.coalesce(F.sum(sure).over(before), F.lit(0)).cast("int")).filter("room > 0")
+    none = F.array().cast("array<struct<other_id:string,content:string>>")
+    both = F.concat(F.slice(F.coalesce("near", none), F.lit(1), F.col("room")), F.slice(F.coalesce("far", none), F.lit(1), F.col("room")))
+    rows = (found.withColumn("others", both).select("query_id", "step", "source_id", "content", "e1", "e2", F.explode_outer("others").alias("o"))
+            .groupBy("query_id", "step", F.col("content").alias("source_content"), F.col("e1").alias("entity1"), F.col("e2").alias("entity2"),
+                     F.col("o.content").alias("other_content")).agg(F.min("o.other_id").alias("other_id")))
+    w = Window.partitionBy("query_id").orderBy("step", F.col("other_id").asc_nulls_first())
     return (rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-            .select("query_id", "rank", F.col("content").alias("source_content"), F.col("e1").alias("entity1"),
-                    F.col("e2").alias("entity2"), "other_content"))
+            .select("query_id", "rank", "source_content", "entity1", "entity2", "other_content"))
 
 
 # --- graph view -----------------------------------------------------------------------------------
@@ -251,15 +261,15 @@ def graph_view(chunks: DataFrame, mentions: DataFrame, entities: DataFrame, rela
          .orderBy("src", "dst").limit(limit))
     cid, eid = (lambda c: F.concat(F.lit("chunk_"), c)), (lambda c: F.concat(F.lit("entity_"), c))
     none = F.lit(None).cast("string")
-    chunk_nodes = m.select(cid(F.col("chunk_id")).alias("id"), F.concat_ws("#", F.coalesce("file_name", F.lit(unnamed)), F.coalesce(
-        F.col("chunk_index").cast("string"), F.lit(""))).alias("label"), F.lit("chunk").alias("group"), none.alias("type"),
-        ellipsis("content", 60).alias("title"), F.lit(0).alias("pri")).distinct()
-    entity_nodes = m.select(eid(F.col("entity_name")).alias("id"), F.col("entity_name").alias("label"), F.lit("entity").alias("group"),
-                            F.coalesce("type", F.lit(unknown)).alias("type"), none.alias("title"), F.lit(0).alias("pri"))
-    ends = r.select(F.explode(F.array("src", "dst")).alias("n"))
-    end_nodes = ends.select(eid(F.col("n")).alias("id"), F.col("n").alias("label"), F.lit("entity").alias("group"),
-                            F.lit(unknown).alias("type"), none.alias("title"), F.lit(1).alias("pri"))
-    nodes = merge_nodes(chunk_nodes.unionByName(entity_nodes).unionByName(end_nodes))
+
+    def node(ident, label, group, kind, title, pri):
+        return F.struct(ident.alias("id"), label.alias("label"), F.lit(group).alias("group"), kind.alias("type"), title.alias("title"), F.lit(pri).alias("pri"))
+
+    label = F.concat_ws("#", F.coalesce("file_name", F.lit(unnamed)), F.coalesce(F.col("chunk_index").cast("string"), F.lit("")))
+    of_mention = F.array(node(cid(F.col("chunk_id")), label, "chunk", none, ellipsis("content", 60), 0),
+                         node(eid(F.col("entity_name")), F.col("entity_name"), "entity", F.coalesce("type", F.lit(unknown)), none, 0))
+    of_relation = F.array(*[node(eid(F.col(c)), F.col(c), "entity", F.lit(unknown), none, 1) for c in ("src", "dst")])
+    nodes = merge_nodes(m.select(F.inline(of_mention)).unionByName(r.select(F.inline(of_relation))))
     edges = (m.select(cid(F.col("chunk_id")).alias("from"), eid(F.col("entity_name")).alias("to"), F.lit(mention_label).alias("label"))
              .unionByName(r.select(eid(F.col("src")).alias("from"), eid(F.col("dst")).alias("to"),
                                    F.coalesce("type", F.lit("related")).alias("label"))))

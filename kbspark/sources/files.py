@@ -39,7 +39,16 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
             .select("path", F.col("length").alias("file_size")))
 
 
-def write_text_files(df: DataFrame, path: str, folder: str, text: str) -> None:
-    """One text file per row below one folder per value of ``folder``; each file ends with a line feed."""
+RECORD_END = "\u001e"
+
+
+def write_text_files(df: DataFrame, path: str, folder: str, text: str, rows_per_file: int = 1) -> None:
+    """Text files below one folder per value of ``folder``; each row ends with a record separator."""
     (df.select(F.col(folder), F.col(text).alias("value")).write.partitionBy(folder)
-     .option("maxRecordsPerFile", 1).text(path))
+     .option("maxRecordsPerFile", rows_per_file).option("lineSep", RECORD_END).text(path))
+
+
+def records(files: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of files written by ``write_text_files``."""
+    parts = F.split(text, RECORD_END)
+    return files.withColumn(text, F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)))

@@ -2,70 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
-
-ALERT = StructType([StructField("doc_code", StringType()),
-                    StructField("stuck_since", TimestampType())])
-_STATE = StructType([StructField("armed_ms", LongType()), StructField("done", LongType())])
-LATE_MS = 2 * 3600 * 1000
-
 
-class StuckProcessor(StatefulProcessor):
-    """Armed by PROCESSING, cleared by SUCCESS or FAILED; one alert per document at most.
-
-    State per document is two numbers. An alert is due when the next finishing
-    event lies more than two hours after arming, or when the watermark passes
-    that point first.
-    """
+from kbspark.operators import ordered
+from kbspark.streaming.batches import Step
+from kbspark.streaming.carried import CarriedTable
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("stuck", _STATE)
+STATE = "doc_code string, armed_ms bigint, done boolean"
+CLOCK = "name string, max_ms bigint"
+HOUR_MS = 3600 * 1000
+DAY_MS = 24 * HOUR_MS
 
-    def _alert(self, key: Any, armed: int) -> pd.DataFrame:
-        return pd.DataFrame({"doc_code": [key[0]], "stuck_since": [pd.Timestamp(armed, unit="ms")]})
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        armed, done = (int(x) for x in self.state.get()) if self.state.exists() else (-1, 0)
-        was = armed
-        events = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"])
-        for ms, status in events[["ts_ms", "status"]].itertuples(index=False):
-            if done:
-                break
-            if status == "PROCESSING":
-                armed = int(ms) if armed < 0 else armed
-            elif armed >= 0:
-                if ms - armed > LATE_MS:
-                    done = 1
-                    yield self._alert(key, armed)
-                armed = -1
-        if armed != was:
-            if was >= 0:
-                self.handle.deleteTimer(was + LATE_MS)
-            if armed >= 0 and not done:
-                self.handle.registerTimer(armed + LATE_MS)
-        self.state.update((armed, done))
+def stuck_step(state: CarriedTable, clock: CarriedTable, out_path: str, limit_hours: int = 2, delay_hours: int = 1) -> Step:
+    """Alert documents left in PROCESSING for more than the limit, each at most once.
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        armed, done = (int(x) for x in self.state.get())
-        if armed >= 0 and not done:
-            self.state.update((armed, 1))
-            yield self._alert(key, armed)
-
-    def close(self) -> None:
-        pass
-
-
-def stuck_documents(status_events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """``status_events``: doc_code, event_id, ts, status as a stream."""
-    s = (status_events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-         .select("doc_code", "event_id", "status", "ts", F.unix_millis("ts").alias("ts_ms")))
-    return s.groupBy("doc_code").transformWithStateInPandas(
-        statefulProcessor=StuckProcessor(), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
+    A document is armed by PROCESSING and cleared by SUCCESS or FAILED. The
+    alert is due when the finishing event lies beyond the limit, or when the
+    event clock (latest time seen minus the delay) passes it first. ``state``
+    holds the armed time and the alert mark of each document, so every batch
+    also looks at waiting documents that got no event.
+    """
+    late = limit_hours * HOUR_MS
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        events = batch.select("doc_code", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id", "status")
+        seen = events.agg(F.lit("events").alias("name"), F.max("ms").alias("max_ms")).unionByName(clock.before(batch_id))
+        clock.put(seen.groupBy("name").agg(F.max("max_ms").alias("max_ms")), batch_id)
+        now = clock.spark.read.parquet(f"{clock.path}/version={batch_id}").select(F.col("max_ms") - delay_hours * HOUR_MS).scalar()
+        before = state.before(batch_id)
+        waiting = (before.filter("armed_ms >= 0 AND NOT done")
+                   .select("doc_code", F.col("armed_ms").alias("ms"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("PROCESSING").alias("status")))
+        rows = events.unionByName(waiting)
+        rows = ordered.neighbours(rows, ["doc_code"], F.floor(F.col("ms") / DAY_MS), ["ms", "event_id"], "status", prev="was")
+        rows = rows.withColumns({"back_ms": -F.col("ms"), "back_id": -F.col("event_id")})
+        rows = ordered.carry_last(rows, ["doc_code"], F.floor(F.col("back_ms") / DAY_MS), ["back_ms", "back_id"],
+                                  F.when(F.col("status") != "PROCESSING", F.col("ms")), "finish", inclusive=False)
+        armed = rows.filter((F.col("status") == "PROCESSING") & (F.coalesce("was", F.lit("")) != "PROCESSING")).withColumn("now", now)
+        due = F.when(F.col("finish").isNull(), F.col("ms") + late <= F.col("now")).otherwise(F.col("finish") > F.col("ms") + late)
+        per_doc = armed.groupBy("doc_code").agg(F.min(F.when(due, F.col("ms"))).alias("due_ms"),
+                                                F.max(F.when(F.col("finish").isNull(), F.col("ms"))).alias("open_ms"))
+        done = F.coalesce("done", F.lit(False))
+        changed = (per_doc.join(before.select("doc_code", "done"), "doc_code", "left")
+                   .select("doc_code", F.coalesce("open_ms", F.lit(-1)).alias("armed_ms"), (done | F.col("due_ms").isNotNull()).alias("done"),
+                           F.when(~done, F.col("due_ms")).alias("stuck_since_ms")))
+        changed.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        state.put(clock.spark.read.parquet(f"{out_path}/batch={batch_id}").select("doc_code", "armed_ms", "done"), batch_id)
+
+    return step
+
+
+def alerts(out: DataFrame) -> DataFrame:
+    """Alert rows of what the step has written."""
+    return out.filter(F.col("stuck_since_ms").isNotNull()).select("doc_code", "stuck_since_ms")

@@ -13,7 +13,7 @@ from kbspark.sources import files, sinks
 from kbspark.streaming import batches as B
 from kbspark.streaming import windows as W
 from kbspark.streaming.carried import CarriedTable
-from kbspark.streaming.stuck import stuck_documents
+from kbspark.streaming.stuck import CLOCK, STATE, alerts, stuck_step
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -61,11 +61,15 @@ def test_stuck_across_batches_with_closing_event(spark, tmp_path):
           (5, "a", 20, "PROCESSING"), (6, "a", 400, "PROCESSING"), (7, "d", 390, "PROCESSING"), (8, "close", 1000, "SUCCESS"), (9, "late", 990, "PROCESSING")]
     df = spark.createDataFrame([(i, d, T0 + dt.timedelta(minutes=m), s) for i, d, m, s in ev], "event_id bigint, doc_code string, ts timestamp, status string")
     s = as_stream(spark, df, [F.col("event_id") <= 3, F.col("event_id").between(4, 7), F.col("event_id") > 7], "event_id", str(tmp_path / "in"))
-    q = (stuck_documents(s).writeStream.format("memory").queryName("stuck_t").trigger(availableNow=True)
-         .option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start())
-    q.awaitTermination()
-    got = sorted((r["doc_code"], r["stuck_since"]) for r in spark.table("stuck_t").collect())
-    assert got == [("a", T0), ("c", T0 + dt.timedelta(minutes=10)), ("d", T0 + dt.timedelta(minutes=390))]
+    base = str(tmp_path)
+    state, clock = CarriedTable(spark, f"{base}/state", "doc_code", STATE), CarriedTable(spark, f"{base}/clock", "name", CLOCK)
+    step = stuck_step(state, clock, f"{base}/out")
+    B.run_available(s, step, "t3")
+    read = lambda: sorted((r[0], r[1]) for r in alerts(spark.read.parquet(f"{base}/out")).collect())
+    ms = lambda m: 1704067200000 + m * 60000
+    assert read() == [("a", ms(0)), ("c", ms(10)), ("d", ms(390))]
+    step(df.filter("event_id > 7"), 2)  # the last batch again
+    assert read() == [("a", ms(0)), ("c", ms(10)), ("d", ms(390))]
 
 
 def test_session_windows(spark):
