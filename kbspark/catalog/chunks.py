@@ -97,7 +97,7 @@ def r10(spark, d):
 
 STRUCTURED = "。！？；!?;."
 PREFIX = "CASE WHEN array_to_string(list_filter(hierarchy, lambda h: trim(h) <> ''), ' > ') = '' THEN '' ELSE '[' || array_to_string(list_filter(hierarchy, lambda h: trim(h) <> ''), ' > ') || ']' || chr(10) || chr(10) END"
-STRIP = r"regexp_replace(regexp_replace({c}, '\[\[PAGE:\d+\]\]\s*', '', 'g'), '^\s+|\s+$', '', 'g')"
+STRIP = r"regexp_replace(regexp_replace({c}, '\[\[PAGE:\d+\]\]\s*', '', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 PAGES = r"regexp_extract_all({c}, '\[\[PAGE:(\d+)\]\]', 1)"
 
 def chunked_sql(src: str, terms: str) -> str:
@@ -148,7 +148,7 @@ def r11_sizes(spark, d):
     (PARTITION BY doc_code ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM chunks WHERE chunk_type = 'FINE')
   SELECT doc_code, cast(ord AS int) AS chunk_index, CASE WHEN len(p) = 0 THEN coalesce(carried, '1') WHEN p[1] = p[-1] THEN p[1] ELSE p[1] || '-' || p[-1] END AS page_number FROM f""", "v_structured_doc")
 def carried(spark, d):
-    stored = cut_lineage(_chunks(spark, d).select("doc_code", "chunk_type", "chunk_index", "page_number", "raw"))
+    stored = cut_lineage(_chunks(spark, d).select("doc_code", "chunk_type", "chunk_index", "page_number", "last_page"))
     return K.carry_pages(stored).select("doc_code", "chunk_index", "page_number")
 
 

@@ -118,7 +118,7 @@ def page_range(c: str | Column) -> Column:
 
 
 def strip_page_markers(c: str | Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(_col(c), PAGE_MARKER + r"\s*", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(_col(c), PAGE_MARKER + r"\s*", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
 
 
 def file_name_from_url(url: str | Column) -> Column:
@@ -139,7 +139,7 @@ TokenCounter = Callable[[str], int]
 
 
 def regex_token_count(text: str | None) -> int:
-    return sum(1 for _ in _TOKEN.finditer(text)) if text else 0
+    return len(_TOKEN.findall(text)) if text else 0
 
 
 def token_count(c: str | Column) -> Column:

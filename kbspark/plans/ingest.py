@@ -26,15 +26,15 @@ def normalised(uploads: DataFrame) -> DataFrame:
 def admitted(uploads: DataFrame, max_size: int) -> DataFrame:
     """Uploads with their Markdown text and ``reason``, null where the upload may be chunked."""
     with_reason = normalised(uploads).withColumn("reason", admission_reason("file_name", "file_size", max_size))
-    blank = F.coalesce(F.regexp_replace("text", r"\s+", ""), F.lit("")) == ""
-    return with_reason.withColumn("reason", F.coalesce("reason", F.when(blank, NO_TEXT)))
+    has_text = F.coalesce(F.col("content").rlike(r"\S"), F.lit(False))
+    return with_reason.withColumn("reason", F.coalesce("reason", F.when(~has_text, NO_TEXT)))
 
 
 def ingest_chunks(uploads: DataFrame, max_size: int = 50 << 20, **chunking) -> DataFrame:
     """Chunk rows of the uploads that pass."""
     ok = admitted(spread(uploads), max_size).filter(F.col("reason").isNull())
     return (chunk_documents(ok, keep=("tenant_code", "system_type", "file_name"), **chunking)
-            .withColumns({"enabled": F.lit(True), "status": F.lit("SUCCESS")}).drop("raw"))
+            .withColumns({"enabled": F.lit(True), "status": F.lit("SUCCESS")}).drop("last_page"))
 
 
 def ingest_status(uploads: DataFrame, chunks: DataFrame, max_size: int = 50 << 20) -> DataFrame:
