@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +17,10 @@ HIT_SCHEMA = "query_id bigint, query_pos int, chunk_id string, score double"
 # Query vectors held by every task of the single-pass plan: 32 MB at most.
 BROADCAST_BYTES = 32 << 20
 # Chunks compared by one task of the blocked plan, and queries it holds.
-BLOCK_CHUNKS = 200_000
-BLOCK_QUERIES = 4_000
+BLOCK_CHUNKS = 50_000
+BLOCK_QUERIES = 5_000
+# Scores computed at once.
+TILE = 4_000_000
 
 
 def _unit_rows(vectors: pd.Series, dim: int) -> np.ndarray:
@@ -77,6 +80,37 @@ def vector_recall(chunks: DataFrame, queries: DataFrame, k: int = 20, min_score:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _arrow_unit_rows(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit rows of a list column without a Python object per row."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or (lengths != dim).any():
+        raise ValueError(f"embedding dimension differs from {dim}")
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+class _Best:
+    """The k best hits of each query of one (tenant, system) group so far."""
+
+    def __init__(self, size: int, k: int, min_score: float):
+        self.k, self.floor = k, np.full(size, min_score)
+        self.ids: list[np.ndarray] = [np.empty(0, dtype=object)] * size
+        self.scores: list[np.ndarray] = [np.empty(0)] * size
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores of shape (queries, ids); only those at or above a query's current k-th best are looked at."""
+        q, r = np.nonzero(scores >= self.floor[:, None])
+        starts = np.searchsorted(q, np.arange(len(self.floor) + 1))
+        for i in np.unique(q):
+            rows = r[starts[i]:starts[i + 1]]
+            c_ids, c_sc = np.concatenate([self.ids[i], ids[rows]]), np.concatenate([self.scores[i], scores[i, rows]])
+            top = _best(c_ids, c_sc, self.k)
+            self.ids[i], self.scores[i] = c_ids[top], c_sc[top]
+            if len(top) == self.k:
+                self.floor[i] = max(self.floor[i], self.scores[i].min())
+
+
 def _single_pass(chunks: DataFrame, queries: DataFrame, dim: int, k: int, min_score: float, scale: str,
                  scope: str) -> DataFrame:
     held = queries.toPandas()  # size checked by the caller
@@ -84,34 +118,32 @@ def _single_pass(chunks: DataFrame, queries: DataFrame, dim: int, k: int, min_sc
         "id": held["query_id"].to_numpy(), "pos": held["query_pos"].to_numpy(),
         "unit": _unit_rows(held["embedding"], dim), "groups": _group_keys(held)})
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = q.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for pdf in batches:
-            if pdf.empty:
+        best = {g: _Best(len(qi), k, min_score) for g, qi in v["groups"].items()}
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            unit, ids = _unit_rows(pdf["embedding"], dim), pdf["chunk_id"].to_numpy()
-            tenant, system = pdf["tenant_code"].to_numpy(), pdf["system_type"].to_numpy()
+            unit = _arrow_unit_rows(batch.column("embedding"), dim)
+            ids, tenant, system = (np.asarray(batch.column(c).to_pylist(), dtype=object)
+                                   for c in ("chunk_id", "tenant_code", "system_type"))
             for (t, s), qi in v["groups"].items():
                 mask = system == s
                 if not (scope == "admin_all" and t == "0"):
                     mask &= (tenant == t) | (tenant == "0")
                 rows = np.flatnonzero(mask)
-                if not len(rows):
-                    continue
-                scores = _scaled(v["unit"][qi] @ unit[rows].T, scale)
-                for j, one in zip(qi, scores):
-                    ok = one >= min_score
-                    c_ids, c_sc = ids[rows[ok]], one[ok]
-                    if j in best:
-                        c_ids, c_sc = np.concatenate([best[j][0], c_ids]), np.concatenate([best[j][1], c_sc])
-                    top = _best(c_ids, c_sc, k)
-                    best[j] = (c_ids[top], c_sc[top])
-        for j, (c_ids, c_sc) in best.items():
-            if len(c_ids):
-                yield pd.DataFrame({"query_id": v["id"][j], "query_pos": v["pos"][j], "chunk_id": c_ids, "score": c_sc})
-
-    return chunks.mapInPandas(scan, HIT_SCHEMA)
+                step = max(1, TILE // len(qi))
+                for part in (rows[i:i + step] for i in range(0, len(rows), step)):
+                    best[t, s].add(ids[part], _scaled(v["unit"][qi] @ unit[part].T, scale))
+        for g, qi in v["groups"].items():
+            for j, c_ids, c_sc in zip(qi, best[g].ids, best[g].scores):
+                if len(c_ids):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(c_ids), v["id"][j]), pa.int64()), pa.array(np.full(len(c_ids), v["pos"][j]), pa.int32()),
+                        pa.array(c_ids.tolist(), pa.string()), pa.array(c_sc, pa.float64())],
+                        names=["query_id", "query_pos", "chunk_id", "score"])
+
+    return chunks.mapInArrow(scan, HIT_SCHEMA)
 
 
 def _blocked(chunks: DataFrame, queries: DataFrame, dim: int, k: int, min_score: float, scale: str,

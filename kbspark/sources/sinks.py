@@ -25,10 +25,13 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
     return chunks.withColumn(out, run(F.col(text)))
 
 
-def write_chunks(chunks: DataFrame, path: str, mode: str = "error", files_per_partition: int = 64) -> None:
-    """Parquet by tenant and system, so that visibility prunes folders; a hot tenant is spread over several files."""
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(files_per_partition))
-    (chunks.repartition(F.col("tenant_code"), F.col("system_type"), salt)
+def write_chunks(chunks: DataFrame, path: str, mode: str = "error") -> None:
+    """Parquet by tenant and system, so that visibility prunes folders.
+
+    The rebalance hint gathers each folder's rows and lets adaptive execution
+    cut a dominant tenant into tasks of the advisory size.
+    """
+    (chunks.hint("rebalance", F.col("tenant_code"), F.col("system_type"))
      .write.mode(mode).partitionBy("tenant_code", "system_type").parquet(path))
 
 

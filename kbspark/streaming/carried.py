@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,25 +10,30 @@ class CarriedTable:
     """Latest row per key, kept as changed rows per batch in a shared folder.
 
     A batch reads only earlier versions and overwrites its own, so a repeated
-    batch gives the same result. Unlike per-key state handlers, the work of a
-    batch stays a join and may split a hot key.
+    batch gives the same result. Every ``full_every``-th version holds the whole
+    table, which bounds what later batches read. Unlike per-key state handlers,
+    the work of a batch stays a join and may split a hot key.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
-        self.spark, self.path, self.key, self.schema = spark, path, key, schema
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, full_every: int = 20):
+        self.spark, self.path, self.key, self.schema, self.full_every = spark, path, key, schema, full_every
 
     def before(self, batch_id: int) -> DataFrame:
         if batch_id == 0:
             return self.spark.createDataFrame([], self.schema)
-        return self._latest(F.col("version") < batch_id)
+        full = (batch_id - 1) // self.full_every * self.full_every
+        return self._latest((F.col("version") >= full) & (F.col("version") < batch_id))
 
     def put(self, changed: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % self.full_every == 0:
+            rest = self.before(batch_id).join(changed.select(self.key), self.key, "left_anti")
+            changed = rest.unionByName(changed)
         changed.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
 
     def current(self) -> DataFrame:
         return self._latest(F.lit(True))
 
-    def _latest(self, versions) -> DataFrame:
+    def _latest(self, versions: Column) -> DataFrame:
         rows = (self.spark.read.schema(self.schema + ", version int").option("basePath", self.path).parquet(self.path)
                 .filter(versions))
         values = [c for c in rows.columns if c not in (self.key, "version")]

@@ -41,6 +41,18 @@ def test_quota_stream_over_batches(spark, tmp_path):
     assert {r["api_key_id"]: r["used_e8"] for r in used.current().collect()} == {0: 200, 1: 200, 2: 200}
 
 
+def test_carried_table_snapshots(spark, tmp_path):
+    t = CarriedTable(spark, str(tmp_path / "t"), "k", "k bigint, v bigint", full_every=3)
+    want = {}
+    for b in range(8):
+        assert {r["k"]: r["v"] for r in t.before(b).collect()} == want
+        new = {b % 4: b, 10 + b: b}
+        t.put(spark.createDataFrame(list(new.items()), "k bigint, v bigint"), b)
+        want |= new
+    assert {r["k"]: r["v"] for r in t.current().collect()} == want
+    assert spark.read.parquet(str(tmp_path / "t" / "version=6")).count() == 4 + 7
+
+
 def test_trigger_and_delta_over_batches(spark, tmp_path):
     m = spark.range(50).select(F.col("id"), F.lit("s").alias("session_id"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("create_time"))
     s = as_stream(spark, m, [F.col("id") < 13, F.col("id") >= 13], "id", str(tmp_path / "m"))

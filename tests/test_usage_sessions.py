@@ -133,3 +133,10 @@ def test_reports_and_counts(spark):
     assert reports.stats_envelope(reports.unanswered_stats(q.limit(0))).first()[:] == (0, 0)
     assert count_with(spark, "SELECT count(*) FROM {q} WHERE id > :n", {"n": 1}, q=q) == 1
     assert reports.export_rows(q, ids=F.lit("2,zz,")).count() == 1
+
+
+def test_numeric_id_of_uuid(spark):
+    df = spark.createDataFrame([("00000000-0000-0001-0000-000200000003",), ("80000000-0000-0000-0000-000000000000",), ("not-a-uuid",), (None,),
+                                ("ffffffff-0000-0000-0000-000000000000",)], "u string")
+    # 1 ^ 2 ^ 3, the one value without a positive twin, two invalid texts, and minus one
+    assert [r[0] for r in df.select(C.numeric_id("u")).collect()] == [0, -2147483648, None, None, 1]
