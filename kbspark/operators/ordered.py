@@ -5,6 +5,10 @@ helpers cut each key into ordered buckets, combine the buckets (one row each)
 with a window, and finish inside the bucket, so a key holding a large share of
 the rows is spread over as many tasks as it has buckets. ``bucket`` must be
 non-decreasing in ``order``.
+
+What a bucket needs from its neighbours travels as marker rows that sort
+before (``__at`` 0) or after (``__at`` 2) the bucket's own rows and are dropped
+at the end. So the rows themselves are shuffled once, by (key, bucket).
 """
 
 from __future__ import annotations
@@ -14,34 +18,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B = "__bucket"
+_B, _AT = "__bucket", "__at"
+
 
+def _marked(df: DataFrame, *markers: DataFrame) -> DataFrame:
+    out = df.withColumn(_AT, F.lit(1))
+    for m in markers:
+        out = out.unionByName(m, allowMissingColumns=True)
+    return out
 
-def _cols(names: Sequence[str]) -> list[Column]:
-    return [F.col(n) for n in names]
 
+def _inside(keys: Sequence[str], order: Sequence[Column | str]):
+    return Window.partitionBy(*keys, _B).orderBy(_AT, *order)
 
-def _with_bucket_values(df: DataFrame, keys: Sequence[str], per_bucket: DataFrame) -> DataFrame:
-    right = per_bucket.select(*[F.col(k).alias("__k_" + k) for k in (*keys, _B)],
-                              *[c for c in per_bucket.columns if c not in (*keys, _B)])
-    cond = [F.col(k).eqNullSafe(F.col("__k_" + k)) for k in (*keys, _B)]
-    return df.join(right, cond, "inner").drop(*["__k_" + k for k in (*keys, _B)])
+
+def _own(df: DataFrame, *drop: str) -> DataFrame:
+    return df.filter(F.col(_AT) == 1).drop(_B, _AT, *drop)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column],
                 values: dict[str, Column], inclusive: bool = True) -> DataFrame:
     """Running sums in ``order`` within ``keys``; exclusive sums start at 0."""
-    df = df.withColumn(_B, bucket)
-    sums = df.groupBy(*keys, _B).agg(*[F.sum(v).alias("__s_" + n) for n, v in values.items()])
+    names = {n: f"__v_{n}" for n in values}
+    df = df.withColumn(_B, bucket).withColumns({names[n]: v for n, v in values.items()})
+    sums = df.groupBy(*keys, _B).agg(*[F.sum(c).alias(c) for c in names.values()])
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, _B, *[F.coalesce(F.sum("__s_" + n).over(before), F.lit(0)).alias("__o_" + n)
-                                    for n in values])
-    inside = (Window.partitionBy(*keys, _B).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    out = _with_bucket_values(df, keys, sums)
-    return (out.withColumns({n: F.col("__o_" + n) + F.coalesce(F.sum(v).over(inside), F.lit(0))
-                             for n, v in values.items()})
-            .drop(_B, *["__o_" + n for n in values]))
+    offsets = sums.select(*keys, _B, F.lit(0).alias(_AT), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c)
+                                                            for c in names.values()])
+    frame = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = _marked(df, offsets).withColumns({n: F.sum(c).over(frame) for n, c in names.items()})
+    return _own(out, *names.values())
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column], out: str) -> DataFrame:
@@ -53,14 +59,11 @@ def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequen
     """Last non-null ``value`` up to the row (or strictly before it)."""
     df = df.withColumn(_B, bucket).withColumn("__v", value)
     lasts = df.groupBy(*keys, _B).agg(
-        F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__l"))
+        F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__v"))
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    lasts = lasts.select(*keys, _B, F.last("__l", ignorenulls=True).over(before).alias("__c"))
-    inside = (Window.partitionBy(*keys, _B).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    return (_with_bucket_values(df, keys, lasts)
-            .withColumn(out, F.coalesce(F.last("__v", ignorenulls=True).over(inside), F.col("__c")))
-            .drop(_B, "__v", "__c"))
+    carried = lasts.select(*keys, _B, F.lit(0).alias(_AT), F.last("__v", ignorenulls=True).over(before).alias("__v"))
+    frame = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    return _own(_marked(df, carried).withColumn(out, F.last("__v", ignorenulls=True).over(frame)), "__v")
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str,
@@ -71,10 +74,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequen
                                       F.max_by(value, F.struct(*order)).alias("__last"))
     w = Window.partitionBy(*keys).orderBy(_B)
     edges = edges.select(*keys, _B, F.lag("__last").over(w).alias("__p"), F.lead("__first").over(w).alias("__n"))
-    inside = Window.partitionBy(*keys, _B).orderBy(*order)
-    out = _with_bucket_values(df, keys, edges)
-    if prev:
-        out = out.withColumn(prev, F.coalesce(F.lag(value).over(inside), F.col("__p")))
-    if nxt:
-        out = out.withColumn(nxt, F.coalesce(F.lead(value).over(inside), F.col("__n")))
-    return out.drop(_B, "__p", "__n")
+    ends = F.array(F.struct(F.lit(0).alias(_AT), F.col("__p").alias(value)), F.struct(F.lit(2).alias(_AT), F.col("__n").alias(value)))
+    inside = _inside(keys, order)
+    added = {name: step(value).over(inside) for name, step in ((prev, F.lag), (nxt, F.lead)) if name}
+    return _own(_marked(df, edges.select(*keys, _B, F.inline(ends))).withColumns(added))
