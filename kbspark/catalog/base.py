@@ -9,7 +9,7 @@ from kbspark.functions import scalars as C
 from kbspark.functions.predicates import range_defaults
 from kbspark.operators import maintenance as M
 from kbspark.operators import reports
-from kbspark.sources import files, sinks
+from kbspark.sources import files, schemas, sinks
 from kbspark.sources.fixtures import view
 from kbspark.sources.tables import query_with, read_table
 
@@ -88,3 +88,16 @@ def s9(spark, d):
     q = view(spark, d, "v_unanswered")
     lo, hi = range_defaults(F.lit(None).cast("string"), F.lit("2024-01-15"), F.lit("2024-06-01").cast("timestamp"))
     return reports.export_rows(q, lo, hi).unionByName(reports.export_rows(q, ids=F.lit("5, 11,x,15,,29,35")))
+
+
+@register("schema_evolution", """
+SELECT doc_code, status, chunk_count, enabled, file_size, 0 AS retry_count, error_message FROM (
+  SELECT doc_code, status, cast(chunk_count AS int) AS chunk_count, enabled, file_size, CAST(NULL AS string) AS error_message FROM v_document_info WHERE status = 'SUCCESS'
+  UNION ALL SELECT doc_code, 'PROCESSING', 0, true, file_size, NULL FROM v_document_info WHERE status <> 'SUCCESS') t""", "v_document_info")
+def schema_evolution(spark, d):
+    """Rows of today's layout and older rows without the later columns, brought to one schema."""
+    docs = view(spark, d, "v_document_info")
+    new = docs.filter("status = 'SUCCESS'").drop("retry_count")
+    old = docs.filter("status <> 'SUCCESS'").select("doc_code", "file_size")
+    both = schemas.conform(new, "document_info").unionByName(schemas.conform(old, "document_info"))
+    return both.select("doc_code", "status", "chunk_count", "enabled", "file_size", "retry_count", "error_message")

@@ -65,7 +65,7 @@ MERGED = HITS + """, merged AS (SELECT * FROM (SELECT *, row_number() OVER (PART
     ORDER BY query_pos, score DESC, chunk_id) AS rn FROM hits) t WHERE rn = 1)"""
 CAND = MERGED + f""", qt AS (SELECT cast(query_id AS bigint) AS query_id, tenant_code, system_type, list_distinct({topics_sql("question")}) AS q_topics FROM v_question),
   cand AS (SELECT m.*, qt.tenant_code, c.tenant_code AS doc_tenant, c.content, c.parent_chunk_id, qt.q_topics,
-    list_distinct(list_filter(regexp_extract_all(lower(c.content), '\\p{{L}}[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ({NOISE}))) AS d_topics
+    list_distinct(list_filter(regexp_extract_all(lower(coalesce(c.content, '')), '\\p{{L}}[\\p{{L}}\\p{{N}}]+'), lambda w: w NOT IN ({NOISE}))) AS d_topics
     FROM merged m JOIN qt ON qt.query_id = m.query_id JOIN v_chunk_vec c ON c.chunk_id = m.chunk_id),
   topical AS (SELECT *, len(q_topics) = 0 OR len(d_topics) = 0 OR len(list_intersect(q_topics, d_topics)) >= 2
     OR (len(q_topics) <= 2 AND len(list_intersect(q_topics, d_topics)) = len(q_topics)) AS on_topic FROM cand)"""
@@ -171,7 +171,7 @@ CONTEXT = """texts AS (SELECT query_id, t, min(rank * 2 + side) AS first_at FROM
   v AS (SELECT r.query_id, string_agg(c.content, chr(10) || '---' || chr(10) ORDER BY position) AS v, count(*) AS n_sources, max(source) AS rank_source
     FROM ranked r JOIN v_chunk_vec c ON c.chunk_id = r.chunk_id GROUP BY 1),
   p AS (SELECT query_id, string_agg(content, chr(10) || '---' || chr(10) ORDER BY chunk_id) AS p FROM parents GROUP BY 1)
-  SELECT v.query_id, '[Retrieved passages]' || chr(10) || v.v || CASE WHEN coalesce(p.p, '') <> '' THEN chr(10) || '[Wider context]' || chr(10) || p.p ELSE '' END
+  SELECT v.query_id, '[Retrieved passages]' || chr(10) || coalesce(v.v, '') || CASE WHEN coalesce(p.p, '') <> '' THEN chr(10) || '[Wider context]' || chr(10) || p.p ELSE '' END
     || chr(10) || '[Related by graph]' || chr(10) || coalesce(g.g, '') AS context, v.n_sources, v.rank_source
   FROM v LEFT JOIN p ON p.query_id = v.query_id LEFT JOIN g ON g.query_id = v.query_id"""
 
