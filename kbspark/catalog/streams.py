@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kbspark.catalog import register
 from kbspark.catalog.chunks import chunked_sql
 from kbspark.catalog.usage import CALL_ORDER, PRICED, SUMMARY, USAGE
+from kbspark.operators import ordered
 from kbspark.operators import usage as U
 from kbspark.sources.files import scratch_dir
 from kbspark.sources.fixtures import view
@@ -90,12 +91,22 @@ def x3(spark, d):
     return alerts(spark.read.parquet(f"{base}/out"))
 
 
-@register("x4_activity_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + interval '2' hour
-    OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS first FROM events),
-  s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM g)
-  SELECT user_id, min(ts) AS session_start, max(ts) + interval '2' hour AS session_end, count(*) AS uses FROM s GROUP BY user_id, n""")
+ACTIVITY = """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + interval '2' hour
+    OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS first FROM events),
+  s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM g),
+  a AS (SELECT user_id, min(ts) AS session_start, max(ts) + interval '2' hour AS session_end, count(*) AS uses FROM s GROUP BY user_id, n)
+  SELECT * FROM a"""
+
+
+@register("x4_activity_sessions", ACTIVITY)
 def x4(spark, d):
-    return W.activity_sessions(read_table(spark, d, "events"))
+    return W.activity_sessions_batch(read_table(spark, d, "events"))
+
+
+@register("x4_activity_stream", ACTIVITY + " WHERE session_end <= (SELECT max(ts) - interval '1' hour FROM events)")
+def x4_stream(spark, d):
+    s = stream_table(spark, d, "events").select("user_id", "ts")
+    return _sink(W.activity_sessions(s), scratch_dir(spark, "x4"), "x4")
 
 
 @register("x5_quota_admission_stream", f"""WITH {PRICED}, costed AS (SELECT *, input_cost_e8 + output_cost_e8 + cache_cost_e8 AS total_cost_e8 FROM priced),
@@ -147,12 +158,10 @@ def x8(spark, d):
     event_type || repeat('.', cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) % 7 AS int)) AS text FROM events) f) t WHERE length(text) > length(prev)""")
 def x9(spark, d):
     """Fragments written as their own table first, then streamed."""
-    from pyspark.sql import Window
-
     base = scratch_dir(spark, "x9")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    frag = read_table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"),
-                                                 F.concat(F.col("event_type"), F.repeat(F.lit("."), (n % 7).cast("int"))).alias("text"))
+    rows = read_table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "event_type")
+    rows = ordered.row_numbers(rows, ["session_id"], F.floor(F.col("seq") / 1000), [F.col("seq")], "n")
+    frag = rows.select("session_id", "seq", F.concat(F.col("event_type"), F.repeat(F.lit("."), (F.col("n") % 7).cast("int"))).alias("text"))
     frag.repartitionByRange(4, "seq").write.parquet(f"{base}/in")
     last = CarriedTable(spark, f"{base}/last", "session_id", "session_id bigint, text string")
     s = spark.readStream.schema(frag.schema).parquet(f"{base}/in")

@@ -143,7 +143,9 @@ def _single_pass(chunks: DataFrame, queries: DataFrame, dim: int, k: int, min_sc
                         pa.array(c_ids.tolist(), pa.string()), pa.array(c_sc, pa.float64())],
                         names=["query_id", "query_pos", "chunk_id", "score"])
 
-    return chunks.mapInArrow(scan, HIT_SCHEMA)
+    # Each task sends k rows per query, so a few waves of larger tasks send less than one task per split.
+    waves = 4 * chunks.sparkSession.sparkContext.defaultParallelism
+    return chunks.coalesce(waves).mapInArrow(scan, HIT_SCHEMA)
 
 
 def _blocked(chunks: DataFrame, queries: DataFrame, dim: int, k: int, min_score: float, scale: str,

@@ -20,6 +20,7 @@ def build_session(app: str = "kbspark", master: str | None = None,
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
          .config("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
     if master:

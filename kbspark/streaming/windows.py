@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.operators import ordered
+
 
 def as_event_time(df: DataFrame, ts: str = "create_time") -> DataFrame:
     """Zone-less event times become timestamps, which watermarks need."""
@@ -20,12 +22,23 @@ def sliding_digest(questions: DataFrame, size: str = "24 hours", slide: str = "6
 
 
 def activity_sessions(events: DataFrame, ttl: str = "2 hours", delay: str = "1 hour", user: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Activity per user whose expiry is pushed out by every use; closed sessions only when streaming."""
+    """Activity per user of a stream; every use pushes the expiry out, closed sessions only."""
     return (as_event_time(events, ts).withWatermark(ts, delay)
             .groupBy(F.session_window(ts, ttl).alias("w"), user).agg(F.count(F.lit(1)).alias("uses"))
             .select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "uses"))
 
 
+def activity_sessions_batch(events: DataFrame, ttl: str = "2 hours", user: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """The same over a finished table: gaps are found and numbered day by day, so no user's events meet in one task."""
+    expiry = F.expr(f"INTERVAL {ttl}")
+    rows = as_event_time(events, ts).select(user, F.col(ts).alias("t"), F.col(ts).alias("at"), F.col(order).alias("o"))
+    rows = ordered.neighbours(rows, [user], F.to_date("at"), ["at", "o"], "t", prev="before")
+    starts = F.when(F.col("before").isNull() | (F.col("at") > F.col("before") + expiry), 1).otherwise(0).cast("bigint")
+    rows = ordered.running_sum(rows, [user], F.to_date("at"), [F.col("at"), F.col("o")], {"session_no": starts})
+    return (rows.groupBy(user, "session_no").agg(F.min("at").alias("session_start"), (F.max("at") + expiry).alias("session_end"),
+                                                 F.count(F.lit(1)).alias("uses")).drop("session_no"))
+
+
 def daily_buckets(questions: DataFrame, delay: str = "1 hour") -> DataFrame:
     return (as_event_time(questions).withWatermark("create_time", delay)
             .groupBy(F.window("create_time", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("cnt"))

@@ -85,8 +85,11 @@ def test_stuck_across_batches_with_closing_event(spark, tmp_path):
 
 
 def test_session_windows(spark):
-    df = spark.createDataFrame([(1, T0), (1, T0 + dt.timedelta(minutes=119)), (1, T0 + dt.timedelta(minutes=300))], "user_id bigint, ts timestamp")
-    assert sorted(r["uses"] for r in W.activity_sessions(df).collect()) == [1, 2]
+    rows = [(1, i, T0 + dt.timedelta(minutes=m)) for i, m in enumerate((0, 119, 300, 420, 539, 1400, 1500, 2900))] + [(2, 9, T0)]
+    df = spark.createDataFrame(rows, "user_id bigint, event_id bigint, ts timestamp")
+    a, b = W.activity_sessions(df), W.activity_sessions_batch(df)
+    assert sorted(r["uses"] for r in b.collect()) == [1, 1, 2, 2, 3]
+    assert a.exceptAll(b.select(a.columns)).count() == 0 and b.select(a.columns).exceptAll(a).count() == 0
 
 
 def test_ingest_run_twice_is_the_same(spark, tmp_path):
