@@ -52,11 +52,13 @@ SECTIONS = rf"""lns AS (SELECT doc_code, i, l, CASE WHEN regexp_matches(l, '\[\[
     last_value(CASE WHEN level <= 2 THEN struct_pack(lv := level, tt := title) END IGNORE NULLS) OVER w AS l2
     FROM sec WHERE level > 0 WINDOW w AS (PARTITION BY doc_code ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
   bodies AS (SELECT doc_code, s, regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY i), ''), {EDGE}) AS content FROM sec WHERE level = 0 GROUP BY 1, 2),
-  sections AS (SELECT b.doc_code, cast(row_number() OVER (PARTITION BY b.doc_code ORDER BY b.s) - 1 AS int) AS section_no, content,
+  parsed AS (SELECT b.doc_code, cast(row_number() OVER (PARTITION BY b.doc_code ORDER BY b.s) - 1 AS int) AS section_no, content,
     CASE WHEN h.s IS NULL THEN [] WHEN h.level = 1 THEN [h.title]
       WHEN h.level = 2 THEN [CASE WHEN h.l1.lv = 1 THEN h.l1.tt ELSE '' END, h.title]
       ELSE [CASE WHEN h.l1.lv = 1 THEN h.l1.tt ELSE '' END, CASE WHEN h.l2.lv = 2 THEN h.l2.tt ELSE '' END, h.title] END AS hierarchy
-    FROM bodies b LEFT JOIN heads h ON h.doc_code = b.doc_code AND h.s = b.s WHERE content <> '')"""
+    FROM bodies b LEFT JOIN heads h ON h.doc_code = b.doc_code AND h.s = b.s WHERE content <> ''),
+  sections AS (SELECT doc_code, section_no, content, hierarchy FROM parsed UNION ALL
+    SELECT doc_code, 0, regexp_replace(text, {EDGE}), cast([] AS varchar[]) FROM {{src}} WHERE doc_code NOT IN (SELECT doc_code FROM parsed))"""
 
 
 @register("r9_sections", f"WITH {SECTIONS.replace('{src}', 'v_structured_doc')} SELECT doc_code, section_no, array_to_string(hierarchy, ' > ') AS hierarchy, content FROM sections", "v_structured_doc")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kbspark.functions.predicates import visible_in_graph_view
@@ -232,21 +232,27 @@ def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relation
 
 def visible_relations(relations: DataFrame, mentions: DataFrame, chunks: DataFrame, tenant: str | None,
                       system: str | None) -> DataFrame:
-    """Relations with an end mentioned by an own or global chunk, and, with a system, an end mentioned in it."""
-    out = relations
-
-    def touched(names: DataFrame) -> DataFrame:
-        n = names.distinct()
-        a = out.join(n.withColumnRenamed("entity_name", "src"), "src", "left_semi").select(*relations.columns)
-        b = out.join(n.withColumnRenamed("entity_name", "dst"), "dst", "left_semi").select(*relations.columns)
-        return a.unionByName(b).distinct()
-
-    m = mentions.join(chunks.select("chunk_id", "tenant_code", "system_type"), "chunk_id")
-    if tenant is not None and tenant != "0":
-        out = touched(m.filter(F.col("tenant_code").isin(tenant, "0")).select("entity_name"))
-    if system is not None:
-        out = touched(m.filter(F.col("system_type") == system).select("entity_name"))
-    return out
+    """Relations with an end mentioned by an own or global chunk, and, with a system, an end mentioned in it.
+
+    Each entity gets both flags in one aggregation; the two ends then look them up.
+    """
+    any_tenant = tenant is None or tenant == "0"
+    if any_tenant and system is None:
+        return relations
+    own = F.lit(True) if any_tenant else F.col("tenant_code").isin(tenant, "0")
+    inside = F.lit(True) if system is None else F.col("system_type") == system
+    flags = (mentions.join(chunks.select("chunk_id", "tenant_code", "system_type"), "chunk_id").groupBy("entity_name")
+             .agg(F.max(own).alias("own"), F.max(inside).alias("inside")))
+
+    def end(name: str) -> DataFrame:
+        return flags.select(F.col("entity_name").alias(name), F.col("own").alias(f"{name}_own"), F.col("inside").alias(f"{name}_inside"))
+
+    def either(flag: str) -> Column:
+        return F.coalesce(F.col(f"src_{flag}"), F.lit(False)) | F.coalesce(F.col(f"dst_{flag}"), F.lit(False))
+
+    found = relations.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    cond = (F.lit(True) if any_tenant else either("own")) & (F.lit(True) if system is None else either("inside"))
+    return found.filter(cond).select(*relations.columns)
 
 
 def graph_view(chunks: DataFrame, mentions: DataFrame, entities: DataFrame, relations: DataFrame, tenant: str | None = None,

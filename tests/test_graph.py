@@ -109,3 +109,15 @@ def test_mark_sources_deleted_edges(spark):
     got = {r["id"]: r["sources"] for r in out.collect()}
     assert got[1] is None and got[2] == "[]" and got[4] == rows[3][1] and got[5] == "not json"
     assert got[3] == '[{"docCode":"A","deleted":true},{"docCode":"B","deleted":true}]'
+
+
+def test_visible_relations_cases(spark):
+    ch = spark.createDataFrame([("c1", "1", "s"), ("c2", "2", "t"), ("c0", "0", "t")], "chunk_id string, tenant_code string, system_type string")
+    me = spark.createDataFrame([("c1", "a"), ("c2", "b"), ("c0", "c")], "chunk_id string, entity_name string")
+    re = spark.createDataFrame([("a", "b", "x"), ("b", "b", "x"), ("b", "c", "x"), ("d", "d", "x")], "src string, dst string, type string")
+    seen = lambda t, s: sorted((r["src"], r["dst"]) for r in G.visible_relations(re, me, ch, t, s).collect())
+    assert seen(None, None) == seen("0", None) == [("a", "b"), ("b", "b"), ("b", "c"), ("d", "d")]
+    assert seen("1", None) == [("a", "b"), ("b", "c")]
+    assert seen("2", None) == [("a", "b"), ("b", "b"), ("b", "c")]
+    assert seen("0", "s") == [("a", "b")]
+    assert seen("1", "t") == [("a", "b"), ("b", "c")]
