@@ -205,19 +205,24 @@ def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relation
     per_step = Window.partitionBy("query_id").orderBy(*step_order)
     steps = steps.withColumn("step", F.row_number().over(per_step)).filter(F.col("step") <= limit)
 
+    # A step yields at least as many rows as its larger list has texts, and one at least;
+    # what earlier steps surely yield need not be filled again. Only the sizes of the lists
+    # are joined to decide this, the lists themselves to the few steps that remain.
     texts = first_other_texts(chunks, mentions, limit)
-    narrow = texts.select(F.col("e2").alias("n_e2"), F.col("scope").alias("n_scope"), F.col("others").alias("near"))
-    wide = texts.filter("scope = 'global'").select(F.col("e2").alias("w_e2"), F.col("others").alias("far"))
     scope = F.when(t == "0", "all").otherwise(F.concat_ws("|", F.lit("own"), t, s))
-    found = (steps.withColumn("scope", scope)
-             .join(narrow, (F.col("e2") == F.col("n_e2")) & (F.col("scope") == F.col("n_scope")), "left")
-             .join(wide, (F.col("e2") == F.col("w_e2")) & (t != "0"), "left"))
-    # A step yields at least as many rows as its larger list has texts, and one at least;
-    # what earlier steps surely yield need not be filled again.
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    sure = F.greatest(F.lit(1), size("near"), size("far"))
+
+    def with_lists(df: DataFrame, value: Column, near: str, far: str) -> DataFrame:
+        narrow = texts.select(F.col("e2").alias("n_e2"), F.col("scope").alias("n_scope"), value.alias(near))
+        wide = texts.filter("scope = 'global'").select(F.col("e2").alias("w_e2"), value.alias(far))
+        return (df.join(narrow, (F.col("e2") == F.col("n_e2")) & (F.col("scope") == F.col("n_scope")), "left").drop("n_e2", "n_scope")
+                .join(wide, (F.col("e2") == F.col("w_e2")) & (t != "0"), "left").drop("w_e2"))
+
+    sized = with_lists(steps.withColumn("scope", scope), F.size("others"), "near_n", "far_n")
+    sure = F.greatest(F.lit(1), F.coalesce("near_n", F.lit(0)), F.coalesce("far_n", F.lit(0)))
     before = Window.partitionBy("query_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("room", F.lit(limit) - F.coalesce(F.sum(sure).over(before), F.lit(0)).cast("int")).filter("room > 0")
+    needed = (sized.withColumn("room", F.lit(limit) - F.coalesce(F.sum(sure).over(before), F.lit(0)).cast("int")).filter("room > 0")
+              .drop("near_n", "far_n"))
+    found = with_lists(needed, F.col("others"), "near", "far")
     none = F.array().cast("array<struct<other_id:string,content:string>>")
     both = F.concat(F.slice(F.coalesce("near", none), F.lit(1), F.col("room")), F.slice(F.coalesce("far", none), F.lit(1), F.col("room")))
     rows = (found.withColumn("others", both).select("query_id", "step", "source_id", "content", "e1", "e2", F.explode_outer("others").alias("o"))

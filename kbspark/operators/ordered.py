@@ -1,10 +1,10 @@
 """Ordered per-key computations that do not push a whole key through one task.
 
-A plain window over ``key`` sends all rows of the key to one task. These
-helpers cut each key into ordered buckets, combine the buckets (one row each)
-with a window, and finish inside the bucket, so a key holding a large share of
-the rows is spread over as many tasks as it has buckets. ``bucket`` must be
-non-decreasing in ``order``.
+A plain window over ``key`` sends all rows of the key to one task, which is
+best for small keys. Keys of more than ``HOT_ROWS`` rows are cut into ordered
+buckets: the buckets (one row each) are combined with a window and the rest is
+done inside the bucket, so such a key is spread over as many tasks as it has
+buckets. ``bucket`` must be non-decreasing in ``order``.
 
 What a bucket needs from its neighbours travels as marker rows that sort
 before (``__at`` 0) or after (``__at`` 2) the bucket's own rows and are dropped
@@ -18,7 +18,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_B, _AT = "__bucket", "__at"
+# Rows one task takes for a key without cutting it.
+HOT_ROWS = 1_000_000
+_B, _AT, _HOT = "__bucket", "__at", "__hot"
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> tuple[DataFrame, DataFrame]:
+    """All rows with a bucket where their key is hot (null elsewhere), and the rows of the hot keys."""
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS)
+           .select(*[F.col(k).alias("__k_" + k) for k in keys], F.lit(True).alias(_HOT)))
+    same = [F.col(k).eqNullSafe(F.col("__k_" + k)) for k in keys]
+    # At most (rows / HOT_ROWS) keys can be hot, so the list is small enough to send to every task.
+    out = (df.join(F.broadcast(hot), same, "left").drop(*["__k_" + k for k in keys])
+           .withColumn(_B, F.when(F.col(_HOT), bucket)))
+    return out.drop(_HOT), out.filter(_HOT).drop(_HOT)
 
 
 def _marked(df: DataFrame, *markers: DataFrame) -> DataFrame:
@@ -40,13 +53,13 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
                 values: dict[str, Column], inclusive: bool = True) -> DataFrame:
     """Running sums in ``order`` within ``keys``; exclusive sums start at 0."""
     names = {n: f"__v_{n}" for n in values}
-    df = df.withColumn(_B, bucket).withColumns({names[n]: v for n, v in values.items()})
-    sums = df.groupBy(*keys, _B).agg(*[F.sum(c).alias(c) for c in names.values()])
+    df, hot = _bucketed(df.withColumns({names[n]: v for n, v in values.items()}), keys, bucket)
+    sums = hot.groupBy(*keys, _B).agg(*[F.sum(c).alias(c) for c in names.values()])
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, _B, F.lit(0).alias(_AT), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c)
                                                             for c in names.values()])
     frame = _inside(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = _marked(df, offsets).withColumns({n: F.sum(c).over(frame) for n, c in names.items()})
+    out = _marked(df, offsets).withColumns({n: F.coalesce(F.sum(c).over(frame), F.lit(0)) for n, c in names.items()})
     return _own(out, *names.values())
 
 
@@ -57,8 +70,8 @@ def row_numbers(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
 def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: Column, out: str,
                inclusive: bool = True) -> DataFrame:
     """Last non-null ``value`` up to the row (or strictly before it)."""
-    df = df.withColumn(_B, bucket).withColumn("__v", value)
-    lasts = df.groupBy(*keys, _B).agg(
+    df, hot = _bucketed(df.withColumn("__v", value), keys, bucket)
+    lasts = hot.groupBy(*keys, _B).agg(
         F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__v"))
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(*keys, _B, F.lit(0).alias(_AT), F.last("__v", ignorenulls=True).over(before).alias("__v"))
@@ -69,8 +82,8 @@ def carry_last(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequen
 def neighbours(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], value: str,
                prev: str | None = None, nxt: str | None = None) -> DataFrame:
     """Value of the previous and next row in ``order`` within ``keys``."""
-    df = df.withColumn(_B, bucket)
-    edges = df.groupBy(*keys, _B).agg(F.min_by(value, F.struct(*order)).alias("__first"),
+    df, hot = _bucketed(df, keys, bucket)
+    edges = hot.groupBy(*keys, _B).agg(F.min_by(value, F.struct(*order)).alias("__first"),
                                       F.max_by(value, F.struct(*order)).alias("__last"))
     w = Window.partitionBy(*keys).orderBy(_B)
     edges = edges.select(*keys, _B, F.lag("__last").over(w).alias("__p"), F.lead("__first").over(w).alias("__n"))

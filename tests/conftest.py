@@ -21,3 +21,12 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_dir():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(params=[0, 5, 1_000_000], ids=["all-hot", "some-hot", "none-hot"])
+def hot_rows(request, monkeypatch):
+    """Thresholds that put every key, some keys and no key on the bucketed path."""
+    from kbspark.operators import ordered
+
+    monkeypatch.setattr(ordered, "HOT_ROWS", request.param)
+    return request.param

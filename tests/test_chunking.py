@@ -48,7 +48,7 @@ def test_split_edges():
     assert K.split_at_boundaries("a b c d e f g h", 0, 0, 0)  # a zero budget still moves forward
 
 
-def test_chunk_invariants(spark):
+def test_chunk_invariants(spark, hot_rows):
     body = "\n".join(f"Sentence number {i} of the text; it goes on." for i in range(900))
     rows = [("d1", f"# Top\n[[PAGE:1]]\n{body}\n## Sub\n[[PAGE:2]]\n{body}"), ("d2", ""), ("d3", "tiny")]
     df = spark.createDataFrame(rows, "doc_code string, text string")

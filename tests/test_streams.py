@@ -25,7 +25,7 @@ def as_stream(spark, df, parts, by, path):
     return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path))
 
 
-def test_quota_stream_over_batches(spark, tmp_path):
+def test_quota_stream_over_batches(spark, tmp_path, hot_rows):
     calls = spark.range(60).select((F.col("id") % 3).alias("api_key_id"), F.lit("s").alias("session_id"), F.col("id").alias("n"),
                                    (F.lit(T0) + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("created_time"), F.lit(10).cast("bigint").alias("total_cost_e8"))
     keys = spark.createDataFrame([(0, -1), (1, 55), (2, 0)], "id bigint, quota_e8 bigint")
@@ -53,7 +53,7 @@ def test_carried_table_snapshots(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t" / "version=6")).count() == 4 + 7
 
 
-def test_trigger_and_delta_over_batches(spark, tmp_path):
+def test_trigger_and_delta_over_batches(spark, tmp_path, hot_rows):
     m = spark.range(50).select(F.col("id"), F.lit("s").alias("session_id"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("create_time"))
     s = as_stream(spark, m, [F.col("id") < 13, F.col("id") >= 13], "id", str(tmp_path / "m"))
     c = CarriedTable(spark, str(tmp_path / "c"), "session_id", "session_id string, message_count bigint")
@@ -68,7 +68,7 @@ def test_trigger_and_delta_over_batches(spark, tmp_path):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
-def test_stuck_across_batches_with_closing_event(spark, tmp_path):
+def test_stuck_across_batches_with_closing_event(spark, tmp_path, hot_rows):
     ev = [(0, "a", 0, "PROCESSING"), (1, "b", 5, "PROCESSING"), (2, "b", 30, "SUCCESS"), (3, "c", 10, "PROCESSING"), (4, "c", 200, "FAILED"),
           (5, "a", 20, "PROCESSING"), (6, "a", 400, "PROCESSING"), (7, "d", 390, "PROCESSING"), (8, "close", 1000, "SUCCESS"), (9, "late", 990, "PROCESSING")]
     df = spark.createDataFrame([(i, d, T0 + dt.timedelta(minutes=m), s) for i, d, m, s in ev], "event_id bigint, doc_code string, ts timestamp, status string")
@@ -84,7 +84,7 @@ def test_stuck_across_batches_with_closing_event(spark, tmp_path):
     assert read() == [("a", ms(0)), ("c", ms(10)), ("d", ms(390))]
 
 
-def test_session_windows(spark):
+def test_session_windows(spark, hot_rows):
     rows = [(1, i, T0 + dt.timedelta(minutes=m)) for i, m in enumerate((0, 119, 300, 420, 539, 1400, 1500, 2900))] + [(2, 9, T0)]
     df = spark.createDataFrame(rows, "user_id bigint, event_id bigint, ts timestamp")
     a, b = W.activity_sessions(df), W.activity_sessions_batch(df)
