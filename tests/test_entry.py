@@ -11,6 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from check import norm  # noqa: E402
+from kbspark import catalog  # noqa: E402
 from kbspark.sources.tables import BASE_TABLES  # noqa: E402
 
 
@@ -23,14 +24,15 @@ def con(sf_dir):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.CHECKS)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf_dir, con, name):
     df = entry.queries()[name](spark, sf_dir)
     got = [tuple(norm(r[c]) for c in sorted(df.columns)) for r in df.collect()]
