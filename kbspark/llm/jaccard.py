@@ -6,8 +6,8 @@ shingle and position. Two linked sets share an indexed shingle, so a list of the
 A list is sorted by set size; a set skips, by position, the blocks of sizes too small or with too few shingles left.
 
 Answers are derived from those of similar sets: a first round tries only neighbours in each list. Sets that it links share
-a class, and every answer within a class follows from theirs. The second round tries the pairs of a list that still cross classes,
-so a large group of near copies costs its size and not the square of it. Linked pairs are verified on the full sets.
+a class, and every answer within a class follows from theirs. A second tries sets against one of the largest class of a list, and the
+last tries all pairs of a list that still cross classes, so a large group of near copies costs about its size and not the square of it. Linked pairs are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -165,16 +165,26 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         new = np.ones(len(e), bool)
         new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["s"][1:] != e["s"][:-1])
         e = e[new]
-        fits = (e["h"][1:] == e["h"][:-1]) & (100 * e["n"][:-1].astype(np.int64) >= percent * e["n"][1:].astype(np.int64))
+        h, n = e["h"], e["n"].astype(np.int64)
+        fits = (h[1:] == h[:-1]) & (100 * n[:-1] >= percent * n[1:])
         keep = np.full(len(e), group["bucket"][0].as_py() < 0)
         keep[1:] |= fits
         keep[:-1] |= fits
-        after = np.append(fits, False)
-        follow = np.roll(e, -1)
-        columns = {"shingle": e["h"].view(np.int64), "n": e["n"], "set_id": e["s"], "place": e["p"]}
+        # the partner is the list's leader, the same in most lists of like sets, or else the neighbour by size
+        cut = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
+        size = np.diff(np.append(cut, len(h)))
+        token = C.mix(e["s"].view(np.uint64))
+        # few rarer shingles before the shared one: few of its own, so near to what the list has in common
+        leader = np.lexsort((token, e["p"], h))[cut]  # lists stay where they are, each with its leader first
+        leader = np.repeat(leader, size)
+        led = 100 * np.minimum(n, n[leader]) >= percent * np.maximum(n, n[leader])
+        before = np.arange(len(e)) - 1
+        partner = np.where(led, leader, before)
+        paired = (partner != np.arange(len(e))) & (led | np.append(False, fits))
+        columns = {"shingle": h.view(np.int64), "n": e["n"], "set_id": e["s"], "place": e["p"]}
         out = {k: pa.array(v[keep]) for k, v in columns.items()}
-        for k, v in (("n_2", follow["n"]), ("set_id_2", follow["s"]), ("place_2", follow["p"])):
-            out[k] = pa.array(v[keep], mask=~after[keep])
+        for k in ("n", "set_id", "place"):
+            out[f"{k}_2"] = pa.array(columns[k][partner][keep], mask=~paired[keep])
         return pa.table(out)
 
     entries = C.written(rows.select("text").mapInArrow(index, "bucket bigint, entries binary").groupBy("bucket")
@@ -184,51 +194,77 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     links = C.written(_verified(rows, member, first, percent), "jaccard-links")
     classes = components(links)
 
-    labelled = (entries.select("shingle", "n", "set_id", "place").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
-                .withColumn("class", F.coalesce("component", "set_id")).drop("component"))
-    open_lists = (labelled.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n_sets"))
-                  .filter("lo < hi").select("shingle", F.ceil(F.col("n_sets") / LIST_PART).cast("int").alias("parts")))
-    own = F.pmod("set_id", "parts").cast("int")
     meets = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = (labelled.join(open_lists, "shingle").withColumn("own", own).withColumn("other", meets)
-             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-             .withColumn("bucket", F.when(F.col("parts") == 1, F.pmod("shingle", F.lit(buckets))).otherwise(F.col("shingle"))))
+    tried = first
+    for leaders in (True, False):
+        labelled = (entries.select("shingle", "n", "set_id", "place").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
+                    .withColumn("class", F.coalesce("component", "set_id")).drop("component"))
+        open_lists = (labelled.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n_sets"))
+                      .filter("lo < hi").select("shingle", F.ceil(F.col("n_sets") / LIST_PART).cast("int").alias("parts")))
+        dealt = (labelled.join(open_lists, "shingle").withColumn("own", F.pmod("set_id", "parts").cast("int")).withColumn("other", meets)
+                 .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+                 .withColumn("bucket", F.when(F.col("parts") == 1, F.pmod("shingle", F.lit(buckets))).otherwise(F.col("shingle"))))
+        pairs = C.written(dealt.groupBy("bucket", "lo", "hi").applyInArrow(_crossing(percent, leaders), "a bigint, b bigint").distinct()
+                          .join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = _verified(rows, member, pairs, percent)
+        tried = tried.unionByName(pairs)
+        # what is known of classes is a star for each, so their links needn't be kept
+        classes = components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
 
-    def crossing(group: pa.Table) -> pa.Table:
-        """Pairs of a list, or of two of its parts, whose sets are in different classes, as far as sizes and positions allow a link."""
+    # one row for each set with its smallest key; then the smallest key of each class
+    sets = member.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    sets = sets.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("class", F.coalesce("component", "set_id"))
+    best = sets.groupBy("class").agg(F.min("least").alias("component_id"))
+    named = sets.join(best, "class").select("set_id", "component_id")
+    return (member.filter("n > 0").join(named, "set_id").select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+            .unionByName(member.filter("n = 0").select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+
+
+def _crossing(percent: int, leaders: bool):
+    """Kernel for pairs of a list, or of two of its parts, whose sets are in different classes, as far as sizes and positions allow a link.
+
+    With ``leaders`` only pairs with one set of the list's largest class, and with the neighbour by size.
+    """
+    def kernel(group: pa.Table) -> pa.Table:
         h, n, s, p, c, part = (group[x].to_numpy() for x in ("shingle", "n", "set_id", "place", "class", "own"))
         order = np.lexsort((s, n, h))
         h, n, s, p, c, part = h[order], n[order].astype(np.int64), s[order], p[order].astype(np.int64), c[order], part[order]
         two = group["lo"][0].as_py() != group["hi"][0].as_py()
         cut = np.append(np.flatnonzero(np.diff(h, prepend=h[0] - 1)), len(h)).tolist()
+        token = C.mix(s.view(np.uint64))
         out_a, out_b = [], []
         for begin, end in zip(cut, cut[1:]):
             if c[begin:end].min() == c[begin:end].max():
                 continue
+            if leaders:
+                names, number = np.unique(c[begin:end], return_counts=True)
+                inside = np.flatnonzero(c[begin:end] == names[number.argmax()]) + begin
+                lead = inside[np.lexsort((token[inside], p[inside]))[0]]
+                i = np.concatenate([np.arange(begin, end), np.arange(begin + 1, end)])
+                j = np.concatenate([np.full(end - begin, lead), np.arange(begin, end - 1)])
+                keep = (c[i] != c[j]) & _may_link(n, p, i, j, percent)
+                out_a.append(s[i[keep]])
+                out_b.append(s[j[keep]])
+                continue
             limit = begin + np.searchsorted(100 * n[begin:end], percent * n[begin:end], side="left")  # skips the blocks of too small sizes
             for i, first_fit in zip(range(begin + 1, end), limit[1:].tolist()):
                 j = slice(first_fit, i)
                 other = np.flatnonzero((c[j] != c[i]) & ((part[j] != part[i]) | (not two))) + first_fit
                 if len(other):
-                    left = np.minimum(n[other] - p[other], n[i] - p[i])
-                    other = other[(100 + percent) * left >= percent * (n[other] + n[i])]
+                    other = other[_may_link(n, p, other, i, percent)]
                     out_a.append(s[other])
                     out_b.append(np.full(len(other), s[i]))
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
-    second = C.written(dealt.groupBy("bucket", "lo", "hi").applyInArrow(crossing, "a bigint, b bigint").distinct()
-                       .join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = C.written(_verified(rows, member, second, percent), "jaccard-links")
-    final = components(links.unionByName(more))
+    return kernel
 
-    # one row for each set with its smallest key; then the smallest key of each class
-    sets = member.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    sets = sets.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("class", F.coalesce("component", "set_id"))
-    best = sets.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = sets.join(best, "class").select("set_id", "component_id")
-    return (member.filter("n > 0").join(named, "set_id").select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), "component_id")
-            .unionByName(member.filter("n = 0").select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+
+def _may_link(n: np.ndarray, p: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes, and the shingles left from the shared one on, allow the entries to be linked."""
+    left, sizes = np.minimum(n[i] - p[i], n[j] - p[j]), n[i] + n[j]
+    return ((100 + percent) * left >= percent * sizes) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
 
 
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
