@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from kbspark.llm import common as C
 
 #: Pre-tokens whose counts are sent to every task: at most so many, of at most so many characters.
-COMMON, COMMON_CHARS = 1 << 16, 32
+COMMON, COMMON_CHARS = 1 << 18, 32
 
 
 def _model_bytes(path: str) -> bytes:
@@ -59,20 +59,20 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
 
     Frequencies of pre-tokens are summed over the corpus, each distinct one is encoded once, and the table of counts is written.
     Counts of at most ``COMMON`` very frequent ones go to every task. The others of each document are joined by pre-token.
-    Rows are told apart by key and two hashes of the text, and equal rows are counted together and repeated at the end.
+    Rows are told apart by a 64-bit hash of key and text, and equal rows are counted together and repeated at the end.
     """
     spark = docs.sparkSession
     model = _model_bytes(model_path)
     check_model(model)
     rows = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
+    rows = rows.select("doc", F.xxhash64("doc", "text").alias("h"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, seen = re.compile(PRE_TOKEN), Counter()
         for b in batches:
             for t in C.strings(b.column(0)):
                 seen.update(pre_tokens(p, t))
-                if len(seen) > 400_000:
+                if len(seen) > 1_000_000:
                     yield pa.RecordBatch.from_pydict({"w": list(seen), "n": pa.array(seen.values(), pa.int64())})
                     seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(seen.values(), pa.int64())], ["w", "n"])
@@ -90,9 +90,9 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row with what the frequent pre-tokens give, and one for each other pre-token of the text."""
         p, get = re.compile(PRE_TOKEN), common.get
-        names = ["doc", "h", "c", "n_bytes", "w", "n", "rows"]
+        names = ["doc", "h", "n_bytes", "w", "n", "rows"]
         for b in batches:
-            texts = C.strings(b.column(4))
+            texts = C.strings(b.column(3))
             for lo, hi in C.slices(texts, 1 << 22):
                 at, w, n, one = [], [], [], []
                 for i in range(lo, hi):
@@ -107,11 +107,12 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
                     w += [None, *rest]
                     n += [sure, *rest.values()]
                     one += [1] + [0] * len(rest)
-                back = pa.array(at)
-                yield pa.RecordBatch.from_arrays([*(b.column(k).take(back) for k in range(4)), pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(one, pa.int64())], names)
+                # key and size stand in the first row of a text only, so that the others are short
+                back, head = pa.array(at), pa.array([i if x else None for i, x in zip(at, one)], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(head), b.column(1).take(back), b.column(2).take(head), pa.array(w, pa.string()), pa.array(n, pa.int64()), pa.array(one, pa.int64())], names)
 
     cells = rows.mapInArrow(documents, rows.drop("text").schema.simpleString()[7:-1].replace(":", " ") + ", w string, n bigint, rows bigint")
-    found = (cells.filter("w IS NOT NULL").join(table.select("w", "pieces"), "w").select("doc", "h", "c", "n_bytes", (F.col("n") * F.col("pieces")).alias("n"), "rows")
+    found = (cells.filter("w IS NOT NULL").join(table.select("w", "pieces"), "w").select("doc", "h", "n_bytes", (F.col("n") * F.col("pieces")).alias("n"), "rows")
              .unionByName(cells.filter("w IS NULL").drop("w")))
-    total = found.groupBy("doc", "h", "c", "n_bytes").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    total = found.groupBy("h").agg(F.max("doc").alias("doc"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     return total.select(F.col("doc").alias(key), "n_bytes", (F.col("n") / F.col("rows")).cast("bigint").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("bigint"), "rows")).alias("__copy")).drop("__copy")
