@@ -70,27 +70,25 @@ def r9(spark, d):
 TOKENS = r"""len(regexp_extract_all({t}, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{ac00}}-\x{{d7af}}]|[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x0b\x1c-\x1f\x{{85}}]'))"""
 
 
-def _span(pos: str, k: str) -> str:
-    n = TOKENS.format(t=f"substring(text, {pos} + 1, 3 * ({k}))")
-    return (f"CASE WHEN ({k}) <= 0 THEN 0 WHEN {n} = 0 THEN 2 * ({k}) ELSE "
-            f"cast(floor(cast(length(substring(text, {pos} + 1, 3 * ({k}))) * ({k}) AS double) / {n} * cast(0.9 AS double)) AS bigint) END")
-
-
-def split_sql(name: str, src: str, maximum: int, terms: str) -> str:
-    """Recursive form of the boundary split over rows (k, text, target, overlap)."""
-    return rf"""{name}_run AS (
-    SELECT k, text, target, overlap, cast(0 AS bigint) AS n, cast(0 AS bigint) AS pos, cast(NULL AS string) AS piece FROM {src}
-    UNION ALL
-    SELECT k, text, target, overlap, n + 1, CASE WHEN fin >= len THEN len ELSE nxt END, regexp_replace(substring(text, pos + 1, cut - pos), {EDGE}) FROM (
-      SELECT *, CASE WHEN overlap > 0 AND cut < len THEN greatest(cut - ({_span('(cut - 1)', 'overlap')}), pos + 1) ELSE cut END AS nxt FROM (
-        SELECT *, CASE WHEN fin >= len THEN len WHEN found > pos THEN found ELSE least(greatest(pos + ({_span('pos', str(maximum))}), pos + 1), len) END AS cut FROM (
-          SELECT *, CASE WHEN win IS NULL OR win = '' OR NOT regexp_matches(win, '[{terms}]') THEN -1 ELSE fin + length(regexp_extract(win, '(?s)^(.*[{terms}])', 1)) END AS found FROM (
-            SELECT *, CASE WHEN fin < len THEN substring(text, fin + 1, least(200, len - fin)) END AS win FROM (
-              SELECT *, length(text) AS len, pos + ({_span('pos', 'target')}) AS fin FROM {name}_run WHERE pos < length(text)) a) b) c) e) f),
-  {name} AS (SELECT k, n, piece FROM {name}_run WHERE n > 0 AND piece <> '')"""
-
-
-@register("r10_boundary_split", f"""WITH RECURSIVE asked AS (SELECT doc_id AS k, text, 120 AS target, 30 AS overlap FROM documents), {split_sql('cuts', 'asked', 160, '。！？；!?;')}
+UNIT = r"(?s).*?(?:" + TOKENS[TOKENS.index("'") + 1:TOKENS.rindex("'")].replace("{{", "{").replace("}}", "}") + ")"
+
+
+def split_sql(name: str, src: str, terms: str) -> str:
+    """Recursive form of the boundary split over rows (k, text, target, overlap, maximum): ranges of tokens, with each token's end and the last sentence end so far as lists."""
+    to = "least(first + maximum, n)"
+    cut = f"CASE WHEN n - first <= target THEN n WHEN ls[{to}] >= first + target THEN ls[{to}] ELSE {to} END"
+    return rf"""{name}_u AS (SELECT k, unnest(u) AS u, generate_subscripts(u, 1) AS i FROM (SELECT k, regexp_extract_all(text, '{UNIT}') AS u FROM {src}) t),
+  {name}_w AS (SELECT k, i, sum(length(u)) OVER w AS e, max(CASE WHEN regexp_matches(right(u, 1), '[{terms}]') THEN i ELSE 0 END) OVER w AS l FROM {name}_u WINDOW w AS (PARTITION BY k ORDER BY i)),
+  {name}_l AS (SELECT k, list(cast(e AS bigint) ORDER BY i) AS es, list(cast(l AS bigint) ORDER BY i) AS ls FROM {name}_w GROUP BY k),
+  {name}_in AS (SELECT s.k, text, greatest(target, 1) AS target, greatest(overlap, 0) AS overlap, greatest(maximum, target, 1) AS maximum, coalesce(len(es), 0) AS n, es, ls
+    FROM {src} s LEFT JOIN {name}_l l ON s.k = l.k WHERE regexp_matches(text, '\S')),
+  {name}_run AS (SELECT k, cast(1 AS bigint) AS m, cast(0 AS bigint) AS first, cast({cut} AS bigint) AS last FROM (SELECT *, 0 AS first FROM {name}_in) t
+    UNION ALL SELECT k, m, first, cast({cut} AS bigint) FROM (SELECT i.*, m + 1 AS m, greatest(last - overlap, first + 1) AS first FROM {name}_run r JOIN {name}_in i ON r.k = i.k WHERE last < n) t),
+  {name} AS (SELECT k, m AS n, piece FROM (SELECT r.k, m, regexp_replace(substring(text, (CASE WHEN first = 0 THEN 0 ELSE es[first] END) + 1,
+    (CASE WHEN last = n THEN length(text) ELSE es[last] END) - (CASE WHEN first = 0 THEN 0 ELSE es[first] END)), {EDGE}) AS piece FROM {name}_run r JOIN {name}_in i ON r.k = i.k) t WHERE piece <> '')"""
+
+
+@register("r10_boundary_split", f"""WITH RECURSIVE asked AS (SELECT doc_id AS k, text, 120 AS target, 30 AS overlap, 160 AS maximum FROM documents), {split_sql('cuts', 'asked', '。！？；!?;')}
   SELECT k AS doc_id, cast(row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS int) AS piece_no, piece FROM cuts""")
 def r10(spark, d):
     docs = spread(read_table(spark, d, "documents"))
@@ -107,12 +105,12 @@ def chunked_sql(src: str, terms: str) -> str:
     return rf"""{SECTIONS.replace('{src}', src)},
   pre AS (SELECT *, {PREFIX} AS prefix FROM sections),
   sized AS (SELECT *, {TOKENS.format(t='prefix')} AS pt FROM pre),
-  c_in AS (SELECT doc_code || '|' || cast(section_no AS string) AS k, content AS text, 1280 - pt AS target, cast(floor((1280 - pt) * cast(0.2 AS double)) AS bigint) AS overlap FROM sized),
-  {split_sql('c_cut', 'c_in', 1536, terms)},
+  c_in AS (SELECT doc_code || '|' || cast(section_no AS string) AS k, content AS text, 1280 - pt AS target, cast(floor((1280 - pt) * cast(0.2 AS double)) AS bigint) AS overlap, 1536 - pt AS maximum FROM sized),
+  {split_sql('c_cut', 'c_in', terms)},
   coarse AS (SELECT s.doc_code, s.section_no, s.prefix, s.pt, row_number() OVER (PARTITION BY s.doc_code ORDER BY s.section_no, c.n) - 1 AS ord, c.piece
     FROM c_cut c JOIN sized s ON s.doc_code || '|' || cast(s.section_no AS string) = c.k),
-  f_in AS (SELECT doc_code || '|' || cast(ord AS string) AS k, piece AS text, 448 - pt AS target, cast(floor((448 - pt) * cast(0.25 AS double)) AS bigint) AS overlap FROM coarse),
-  {split_sql('f_cut', 'f_in', 512, terms)},
+  f_in AS (SELECT doc_code || '|' || cast(ord AS string) AS k, piece AS text, 448 - pt AS target, cast(floor((448 - pt) * cast(0.25 AS double)) AS bigint) AS overlap, 512 - pt AS maximum FROM coarse),
+  {split_sql('f_cut', 'f_in', terms)},
   fine AS (SELECT s.doc_code, s.section_no, s.prefix, s.ord AS parent_ord, row_number() OVER (PARTITION BY s.doc_code ORDER BY s.ord, f.n) - 1 AS ord, f.piece
     FROM f_cut f JOIN coarse s ON s.doc_code || '|' || cast(s.ord AS string) = f.k),
   every AS (SELECT doc_code, section_no, prefix, 'COARSE' AS chunk_type, cast(NULL AS bigint) AS parent_ord, ord, piece FROM coarse
@@ -154,7 +152,7 @@ def carried(spark, d):
     return K.carry_pages(stored).select("doc_code", "chunk_index", "page_number")
 
 
-@register("chunk_text_udtf", f"""WITH RECURSIVE asked AS (SELECT doc_id AS k, text, 200 AS target, 50 AS overlap FROM documents), {split_sql('cuts', 'asked', 256, '。！？；!?;')}
+@register("chunk_text_udtf", f"""WITH RECURSIVE asked AS (SELECT doc_id AS k, text, 200 AS target, 50 AS overlap, 256 AS maximum FROM documents), {split_sql('cuts', 'asked', '。！？；!?;')}
   SELECT k AS doc_id, cast(row_number() OVER (PARTITION BY k ORDER BY n) - 1 AS int) AS piece_no, piece FROM cuts""")
 def udtf_pieces(spark, d):
     from kbspark.functions.udtf import register_chunk_text

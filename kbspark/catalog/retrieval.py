@@ -29,8 +29,7 @@ def topics_sql(c: str) -> str:
 
 RAW = r"regexp_replace(question, '^\s+|\s+$', '', 'g')"
 VARIANTS = rf"""raw_q AS (SELECT *, {RAW} AS raw FROM asked),
-  std0 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?i)^((?:{_alt(X.POLITE_PREFIXES)})\s*)+', ''),
-    '[？?！!。.，,、；;：:"''\s]+$', ''), '(?i)(?:{_alt(X.TRAILING_PARTICLES)})$', ''), '^\s+|\s+$', '', 'g') AS s0 FROM raw_q),
+  std0 AS (SELECT *, regexp_extract(raw, '{X.question_pattern()}', 1) AS s0 FROM raw_q),
   std AS (SELECT *, CASE WHEN s0 = '' THEN raw ELSE s0 END AS standard FROM std0),
   kw0 AS (SELECT *, {topics_sql('raw')} AS k0 FROM std),
   kw AS (SELECT *, CASE WHEN len(k0) = 0 THEN [standard] ELSE k0 END AS k FROM kw0),

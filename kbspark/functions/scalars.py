@@ -150,6 +150,14 @@ def regex_token_count(text: str | None) -> int:
     return len((_TOKEN if _CJK.search(text) else _PLAIN).findall(text)) if text else 0
 
 
+TokenEnds = Callable[[str], list[int]]
+
+
+def token_ends(text: str) -> list[int]:
+    """End of each token that ``regex_token_count`` counts."""
+    return [m.end() for m in (_TOKEN if _CJK.search(text) else _PLAIN).finditer(text)]
+
+
 def token_count(c: str | Column) -> Column:
     """Default token counter as a built-in expression."""
     return F.regexp_count(F.coalesce(_col(c), F.lit("")), F.lit(TOKEN_SQL))
