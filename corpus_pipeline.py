@@ -10,7 +10,7 @@ from kbspark.llm import decontaminate, jaccard, language, mixing, shards
 from kbspark.sources.tables import read_table
 
 #: A document without letters, or with less than this share of them in its main language, is rejected.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
