@@ -80,13 +80,18 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", max_rows:
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([part.column(3), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(bound), pa.array(at, pa.int32()))], ["shard", "y", "h", "x"])
 
-    rows = C.written(sample.mapInArrow(extract, "shard int, y int, h bigint, x array<int>"), "toxic-sample")
+    rows = C.written(sample.mapInArrow(extract, "shard int, y int, h bigint, x array<int>").repartition(shards, "shard"), "toxic-sample")
     dims = (1 << BITS) + 1  # the last is the bias
-    z, n = np.zeros(dims), np.zeros(dims)
+    z, n = np.zeros(dims, np.float32), np.zeros(dims, np.float32)
     for _ in range(rounds):
-        hold = {"z": z.astype(np.float32), "n": n.astype(np.float32)}
-
-        def learn(table: pa.Table) -> pa.Table:
+        hold = {"z": z, "n": n}
+
+        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """A pass over the task's rows in order of their hashes; the state after it, and which coordinates it met."""
+            parts = [b for b in batches if b.num_rows]
+            if not parts:
+                return
+            table = pa.Table.from_batches(parts)
             z, n = hold["z"].astype(np.float64), hold["n"].astype(np.float64)
             met = np.zeros(dims, bool)
             x, y = table["x"].combine_chunks(), table["y"].to_pylist()
@@ -98,14 +103,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", max_rows:
                 z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
                 n[at] += g * g
                 met[at] = True
-            at = np.flatnonzero(met)
-            return pa.table({"at": pa.array(at, pa.int32()), "dz": z[at] - hold["z"][at], "dn": n[at] - hold["n"][at]})
-
-        got = (rows.groupBy("shard").applyInArrow(learn, "at int, dz double, dn double").groupBy("at")
-               .agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).orderBy("at").toArrow())
-        at = got["at"].to_numpy()
-        z[at] += got["dz"].to_numpy()
-        n[at] += got["dn"].to_numpy()
+            yield pa.RecordBatch.from_pydict({"z": [z.astype(np.float32).tobytes()], "n": [n.astype(np.float32).tobytes()], "met": [met.tobytes()]})
+
+        # a row of 9 MB from each shard, whatever the corpus
+        states = [[np.frombuffer(r[k], kind) for k, kind in enumerate((np.float32, np.float32, bool))] for r in rows.mapInArrow(learn, "z binary, n binary, met binary").collect()]
+        times = np.maximum(sum((m.astype(np.int32) for _, _, m in states), np.zeros(dims, np.int32)), 1)
+        z, n = (old + sum((np.where(s[2], s[k] - old, 0) for s in states), np.zeros(dims, np.float32)) / times for k, old in enumerate((z, n)))
+        z, n = z.astype(np.float32), n.astype(np.float32)
     w = _weights(z[:-1], n[:-1], alpha, beta, l1, l2)
     at = np.flatnonzero(w)
     return ToxicityModel(at, w[at].astype(np.float32), float(_weights(z[-1:], n[-1:], alpha, beta, 0.0, l2)[0]))
