@@ -37,7 +37,7 @@ def shingle_sets(texts: list[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarr
     """Distinct shingle hashes of each text, ascending, and the bounds of each text's part (one entry more than texts)."""
     word, first = C.space_words(texts)
     h = np.zeros(len(word), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(word))):
         h[:len(word) - k] = h[:len(word) - k] * np.uint64(0xD6E8FEB86659FD93) + word[k:]
     count = np.diff(first)
     owner = np.repeat(np.arange(len(texts)), count)

@@ -149,6 +149,15 @@ def test_jaccard_join_equals_all_pairs(spark, docs, odd, none, monkeypatch):
     assert jaccard.near_copies(none).count() == 0 and jaccard.near_copies(odd).count() == len(ODD)
 
 
+def test_shingles_of_batches_with_fewer_words_than_a_shingle():
+    for texts in ([], [""], ["a b c"], ["", "a", "b c"], ["a b c", "a b c d"]):
+        h, bound = jaccard.shingle_sets(texts)
+        assert np.diff(bound).tolist() == [int(bool(t.split())) for t in texts]
+        for t, k in zip(texts, bound):
+            if t:  # the same whatever stands beside it
+                assert h[k] == jaccard.shingle_sets([t, "q r s t u v w"])[0][0]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     assert dict(map(tuple, components(edges).collect())) == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
