@@ -7,7 +7,9 @@ A list is sorted by set size; a set skips, by position, the blocks of sizes too
 
 Answers are derived from those of similar sets: a first round tries only neighbours in each list. Sets that it links share
 a class, and every answer within a class follows from theirs. A second tries sets against one of the largest class of a list, and the
-last tries all pairs of a list that still cross classes, so a large group of near copies costs about its size and not the square of it. Linked pairs are verified on the full sets.
+last tries all pairs of a list that still cross classes, so a large group of near copies costs about its size and not the square of it.
+
+Pairs whose parity bits prove too many differences are dropped, which loses no link; the others are verified on the full sets.
 """
 
 from __future__ import annotations
@@ -69,6 +71,24 @@ def _set_ids(h: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return ids.view(np.int64)
 
 
+def parity_bits(h: np.ndarray, bound: np.ndarray) -> list[bytes]:
+    """For each set a power of two of bits, two for each shingle at least: bit k tells whether an odd number of its hashes end in k."""
+    size = np.diff(bound)
+    width = np.int64(1) << np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    at = np.repeat(begin[:-1], size) + (h & (np.repeat(width, size) - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits(np.bincount(at, minlength=begin[-1]) & 1, bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist())]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Lower bound of the shingles that only one of two sets holds: bits that differ, the wider ones folded to the width of the others."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _fresh(ids: np.ndarray, seen: set[int]) -> np.ndarray:
     """Marks the first of each id that is not in ``seen``, and adds all ids to it."""
     out = np.zeros(len(ids), bool)
@@ -93,8 +113,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, and counts of shingles that several sets of a batch hold."""
-        names = ["doc_id", "n", "set_id", "shingle", "sets"]
+        """A row for each document, with parity bits for each new set of a batch, and counts of shingles that several sets of a batch hold."""
+        names = ["doc_id", "n", "set_id", "bits", "shingle", "sets"]
         for b in batches:
             texts = C.strings(b.column(1))
             seen, found = set(), []
@@ -102,15 +122,18 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                 h, bound = shingle_sets(texts[i:j])
                 ids, size = _set_ids(h, bound), np.diff(bound)
                 none = pa.nulls(j - i, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(ids), none, none], names)
-                found.append(h[np.repeat(_fresh(ids, seen), size)])
+                fresh = _fresh(ids, seen)
+                bits = pa.array([x if new else None for x, new in zip(parity_bits(h, bound), (fresh & (size > 0)).tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(ids), bits, none, none], names)
+                found.append(h[np.repeat(fresh, size)])
             shingle, sets = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             shingle, sets = shingle[sets > 1].view(np.int64), sets[sets > 1]
             none = pa.nulls(len(shingle), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(shingle), pa.array(sets, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(shingle), pa.binary()), pa.array(shingle), pa.array(sets, pa.int64())], names)
 
-    both = C.written(rows.mapInArrow(members, "doc_id bigint, n bigint, set_id bigint, shingle bigint, sets bigint"), "jaccard-members")
+    both = C.written(rows.mapInArrow(members, "doc_id bigint, n bigint, set_id bigint, bits binary, shingle bigint, sets bigint"), "jaccard-members")
     member = both.filter("set_id IS NOT NULL").select("doc_id", "n", "set_id")
+    bits = both.filter("bits IS NOT NULL").select("set_id", "n", "bits")
     frequent = (both.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("sets").alias("sets")).filter("sets >= 4")
                 .orderBy(F.desc("sets"), "shingle").limit(FREQUENT).orderBy("shingle").toArrow())
     often = frequent["shingle"].to_numpy().astype(np.int64).view(np.uint64)
@@ -191,7 +214,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                         .applyInArrow(lists, "shingle bigint, n int, set_id bigint, place int, n_2 int, set_id_2 bigint, place_2 int"), "jaccard-lists")
     first = C.written(_possible(entries.filter("set_id_2 IS NOT NULL"), percent).select(
         F.least("set_id", "set_id_2").alias("a"), F.greatest("set_id", "set_id_2").alias("b")).distinct(), "jaccard-pairs")
-    links = C.written(_verified(rows, member, first, percent), "jaccard-links")
+    links = C.written(_verified(rows, member, _near(bits, first, percent), percent), "jaccard-links")
     classes = components(links)
 
     meets = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -206,7 +229,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                  .withColumn("bucket", F.when(F.col("parts") == 1, F.pmod("shingle", F.lit(buckets))).otherwise(F.col("shingle"))))
         pairs = C.written(dealt.groupBy("bucket", "lo", "hi").applyInArrow(_crossing(percent, leaders), "a bigint, b bigint").distinct()
                           .join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-        more = _verified(rows, member, pairs, percent)
+        more = _verified(rows, member, _near(bits, pairs, percent), percent)
         tried = tried.unionByName(pairs)
         # what is known of classes is a star for each, so their links needn't be kept
         classes = components(classes.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
@@ -274,6 +297,23 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter((small * 100 >= large * percent) & (left * (100 + percent) >= (small + large) * percent))
 
 
+def _near(bits: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the parity bits of their sets allow to be linked."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    some = bits.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"])
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = np.add(b.column(2).to_numpy(), b.column(3).to_numpy())
+            differ = np.fromiter(map(least_difference, b.column(4).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
+            # at most (both - differ) / 2 shingles are shared
+            yield b.filter(pa.array((100 + percent) * (both - differ) >= 2 * percent * both)).select(["a", "b"])
+
+    ends = [some.select(F.col("set_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in ("a", "b")]
+    joined = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return C.written(joined.mapInArrow(possible, "a bigint, b bigint"), "jaccard-near")
+
+
 def _verified(rows: DataFrame, member: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are linked. Only texts of one document for each set of a pair are read into sets again."""
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()

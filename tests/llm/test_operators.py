@@ -158,6 +158,19 @@ def test_shingles_of_batches_with_fewer_words_than_a_shingle():
                 assert h[k] == jaccard.shingle_sets([t, "q r s t u v w"])[0][0]
 
 
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    pool = common.mix(np.arange(5000, dtype=np.uint64))
+    for n in (1, 5, 31, 32, 33, 400, 1500):
+        x = pool[:n]
+        for shared in {0, n // 2, n - 1, n}:
+            y = np.concatenate([x[:shared], pool[2000:2000 + int(rng.integers(1, n + 2))]])
+            two = jaccard.parity_bits(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+            assert jaccard.least_difference(*two) <= len(np.setxor1d(x, y))
+        assert jaccard.least_difference(two[0], two[0]) == 0
+    assert [len(b) for b in jaccard.parity_bits(np.zeros(0, np.uint64), np.array([0, 0, 0]))] == [8, 8]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     assert dict(map(tuple, components(edges).collect())) == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
