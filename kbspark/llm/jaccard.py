@@ -30,6 +30,8 @@ WORDS, PERCENT = 5, 75
 FREQUENT = 1 << 17
 #: Entries of a list that meet in one group; longer lists are cut, and their parts meet in pairs.
 LIST_PART = 4096
+#: Lists up to this length are searched for entries that no other set of the list can be linked with; longer ones keep all.
+SHORT = 16
 ENTRY = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
 #: Bits of the filter that keeps texts of other documents out of a join; it passes more when it fills up, never less.
 FILTER = 1 << 22
@@ -179,8 +181,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array([entry[a:z].tobytes() for a, z in zip(cut, ends)], pa.binary())], ["bucket", "entries"])
 
     def lists(group: pa.Table) -> pa.Table:
-        """Entries of the lists that hold more than one set, each with its neighbour by size; without those that all other sets of the list skip.
+        """Pairs of a set with its list's leader or its neighbour by size, and entries that later rounds need again (``again``).
 
+        A list of two sets has no other pair; in others an entry goes when all other sets of the list skip it by size and position.
         Negative buckets hold parts of lists that are too long for one group; those keep all entries.
         """
         e = np.concatenate([np.frombuffer(x, ENTRY) for x in group["entries"].to_pylist()])
@@ -190,28 +193,28 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         e = e[new]
         h, n = e["h"], e["n"].astype(np.int64)
         fits = (h[1:] == h[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        keep = np.full(len(e), group["bucket"][0].as_py() < 0)
-        keep[1:] |= fits
-        keep[:-1] |= fits
         # the partner is the list's leader, the same in most lists of like sets, or else the neighbour by size
         cut = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
         size = np.diff(np.append(cut, len(h)))
+        size = np.repeat(size, size)
         token = C.mix(e["s"].view(np.uint64))
         # few rarer shingles before the shared one: few of its own, so near to what the list has in common
         leader = np.lexsort((token, e["p"], h))[cut]  # lists stay where they are, each with its leader first
-        leader = np.repeat(leader, size)
+        leader = np.repeat(leader, size[cut])
         led = 100 * np.minimum(n, n[leader]) >= percent * np.maximum(n, n[leader])
         before = np.arange(len(e)) - 1
         partner = np.where(led, leader, before)
         paired = (partner != np.arange(len(e))) & (led | np.append(False, fits))
+        again = (size > 2) & _meets(h, n, e["p"].astype(np.int64), size, percent) if group["bucket"][0].as_py() >= 0 else np.ones(len(e), bool)
+        keep = again | paired
         columns = {"shingle": h.view(np.int64), "n": e["n"], "set_id": e["s"], "place": e["p"]}
-        out = {k: pa.array(v[keep]) for k, v in columns.items()}
+        out = {k: pa.array(v[keep]) for k, v in columns.items()} | {"again": pa.array(again[keep])}
         for k in ("n", "set_id", "place"):
             out[f"{k}_2"] = pa.array(columns[k][partner][keep], mask=~paired[keep])
         return pa.table(out)
 
     entries = C.written(rows.select("text").mapInArrow(index, "bucket bigint, entries binary").groupBy("bucket")
-                        .applyInArrow(lists, "shingle bigint, n int, set_id bigint, place int, n_2 int, set_id_2 bigint, place_2 int"), "jaccard-lists")
+                        .applyInArrow(lists, "shingle bigint, n int, set_id bigint, place int, again boolean, n_2 int, set_id_2 bigint, place_2 int"), "jaccard-lists")
     first = C.written(_possible(entries.filter("set_id_2 IS NOT NULL"), percent).select(
         F.least("set_id", "set_id_2").alias("a"), F.greatest("set_id", "set_id_2").alias("b")).distinct(), "jaccard-pairs")
     links = C.written(_verified(rows, member, _near(bits, first, percent), percent), "jaccard-links")
@@ -220,7 +223,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     meets = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     tried = first
     for leaders in (True, False):
-        labelled = (entries.select("shingle", "n", "set_id", "place").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
+        labelled = (entries.filter("again").select("shingle", "n", "set_id", "place").join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
                     .withColumn("class", F.coalesce("component", "set_id")).drop("component"))
         open_lists = (labelled.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n_sets"))
                       .filter("lo < hi").select("shingle", F.ceil(F.col("n_sets") / LIST_PART).cast("int").alias("parts")))
@@ -243,6 +246,19 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
             .unionByName(member.filter("n = 0").select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
 
 
+def _meets(h: np.ndarray, n: np.ndarray, p: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Marks entries, ordered by list and set size, that can be linked with another of their list, and all entries of lists longer than ``SHORT``."""
+    out = size > SHORT
+    i, step = np.flatnonzero(~out), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(h)]
+        i = i[(h[i + step] == h[i]) & (100 * n[i] >= percent * n[i + step])]  # sizes ascend: too small for this one, too small for the rest
+        ok = i[_may_link(n, p, i, i + step, percent)]
+        out[ok] = out[ok + step] = True
+    return out
+
+
 def _crossing(percent: int, leaders: bool):
     """Kernel for pairs of a list, or of two of its parts, whose sets are in different classes, as far as sizes and positions allow a link.
 
