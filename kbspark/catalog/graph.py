@@ -101,7 +101,7 @@ def j13(spark, d):
     return G.merge_edges(G.known_endpoints(r, entities), "batch_id", "pos")
 
 
-BATCHED = """fine AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_code ORDER BY chunk_index, chunk_id) AS rn FROM {src} WHERE chunk_index >= 0) t WHERE rn <= 200),
+BATCHED = """fine AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_code ORDER BY chunk_index, chunk_id) AS rn FROM {src} WHERE chunk_index >= 0) t {cap}),
   counted AS (SELECT *, count(*) OVER (PARTITION BY doc_code) AS n FROM fine),
   batched AS (SELECT *, cast(floor((rn - 1) / CASE WHEN n <= 50 THEN 3 WHEN n <= 150 THEN 5 ELSE 8 END) AS int) AS batch_no FROM counted),
   texts AS (SELECT doc_code, batch_no, string_agg(content, chr(10) || '---' || chr(10) ORDER BY rn) AS text, list(chunk_id ORDER BY rn) AS chunk_ids
@@ -118,20 +118,20 @@ def _big(spark, d):
     return view(spark, d, "v_graph_chunk").select("chunk_id", "content", "chunk_index", code.alias("doc_code"))
 
 
-@register("w11_first_chunks_per_document", f"WITH {BIG}, {BATCHED.format(src='big')} SELECT doc_code, chunk_id, cast(rn AS int) AS rn, n, batch_no FROM batched", GV)
+@register("w11_first_chunks_per_document", f"WITH {BIG}, {BATCHED.format(src='big', cap='WHERE rn <= 200')} SELECT doc_code, chunk_id, cast(rn AS int) AS rn, n, batch_no FROM batched", GV)
 def w11(spark, d):
-    return G.extraction_batches(_big(spark, d)).select("doc_code", "chunk_id", "rn", "n", "batch_no")
+    return G.extraction_batches(_big(spark, d), 200).select("doc_code", "chunk_id", "rn", "n", "batch_no")
 
 
-@register("a12_extraction_batches", f"WITH {BIG}, {BATCHED.format(src='big')} SELECT doc_code, batch_no, text, array_to_string(chunk_ids, ',') AS chunk_ids FROM texts", GV)
+@register("a12_extraction_batches", f"WITH {BIG}, {BATCHED.format(src='big', cap='')} SELECT doc_code, batch_no, text, array_to_string(chunk_ids, ',') AS chunk_ids FROM texts", GV)
 def a12(spark, d):
     return (G.batch_texts(G.extraction_batches(_big(spark, d)))
             .select("doc_code", "batch_no", "text", F.array_join("chunk_ids", ",").alias("chunk_ids")))
 
 
-PHRASES = BATCHED.format(src="v_chunk_vec") + r""", words AS (SELECT doc_code, batch_no, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}])(\p{Lu}[\p{L}\p{N}]{3,})', 1)) AS w FROM texts
+PHRASES = BATCHED.format(src="v_chunk_vec", cap="") + r""", words AS (SELECT doc_code, batch_no, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}])(\p{Lu}[\p{L}\p{N}]{3,})', 1)) AS w FROM texts
     WHERE trim(text) <> ''),
-  top AS (SELECT * FROM (SELECT doc_code, batch_no, w, row_number() OVER (PARTITION BY doc_code, batch_no ORDER BY count(*) DESC, w) AS r FROM words GROUP BY 1, 2, 3) t WHERE r <= 8)"""
+  top AS (SELECT * FROM (SELECT doc_code, batch_no, w, row_number() OVER (PARTITION BY doc_code, batch_no ORDER BY count(*) DESC, w) AS r FROM words GROUP BY 1, 2, 3) t)"""
 
 
 @register("r14_extract_entities", f"""WITH {PHRASES} SELECT doc_code, batch_no, array_to_string(list(w ORDER BY r), ' ') AS names, count(*) AS n FROM top GROUP BY 1, 2""", "v_chunk_vec")
@@ -148,15 +148,15 @@ def r14(spark, d):
   UNION ALL SELECT DISTINCT 'mention', c, w FROM (SELECT t.w, unnest(x.chunk_ids) AS c FROM top t JOIN texts x ON x.doc_code = t.doc_code AND x.batch_no = t.batch_no) m
   UNION ALL SELECT 'relation', src, dst FROM edges""", "v_chunk_vec")
 def r15(spark, d):
-    e, m, r = G.build_graph(view(spark, d, "v_chunk_vec"))
+    e, m, r, _ = G.build_graph(view(spark, d, "v_chunk_vec"))
     return (e.select(F.lit("entity").alias("kind"), F.col("name").alias("a"), F.col("type").alias("b"))
             .unionByName(m.select(F.lit("mention").alias("kind"), F.col("chunk_id").alias("a"), F.col("entity_name").alias("b")))
             .unionByName(r.select(F.lit("relation").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))))
 
 
 VIEWED = RELATIONS + """, mrows AS (SELECT c.chunk_id, c.file_name, c.content, c.chunk_index, m.entity_name, e.type FROM v_mention m JOIN v_graph_chunk c ON c.chunk_id = m.chunk_id
-    LEFT JOIN v_entity e ON e.name = m.entity_name WHERE (c.tenant_code = '1' OR c.tenant_code = '0') AND c.system_type = 'P' ORDER BY c.chunk_id, m.entity_name LIMIT 200),
-  rrows AS (SELECT * FROM visible ORDER BY src, dst LIMIT 200),
+    LEFT JOIN v_entity e ON e.name = m.entity_name WHERE (c.tenant_code = '1' OR c.tenant_code = '0') AND c.system_type = 'P'),
+  rrows AS (SELECT * FROM visible),
   nodes AS (SELECT DISTINCT 'chunk_' || chunk_id AS id, coalesce(file_name, 'chunk') || '#' || cast(chunk_index AS string) AS label, 'chunk' AS "group", NULL AS type,
       CASE WHEN length(content) > 60 THEN substring(content, 1, 60) || '...' ELSE content END AS title, 0 AS pri FROM mrows
     UNION ALL SELECT DISTINCT 'entity_' || entity_name, entity_name, 'entity', coalesce(type, 'unknown'), NULL, 0 FROM mrows

@@ -36,7 +36,7 @@ INGESTED = r"""up AS (SELECT doc_code, file_name, file_size, tenant_code, system
     lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls, lower(regexp_extract(file_name, '\.([^.]+)$', 1)) AS ext FROM v_document_info),
   norm AS (SELECT doc_code, ext, file_size, CASE WHEN ext = 'md' THEN content ELSE array_to_string(list_transform(ls, lambda x: CASE WHEN ext IN ('doc', 'docx')
     AND length(x) < 100 AND NOT contains(x, '.') AND regexp_matches(x, '[A-Z]') THEN '## ' ELSE '' END || x || chr(10) || chr(10)), '') END AS text FROM up),
-  judged AS (SELECT doc_code, text, CASE WHEN file_size = 0 THEN 'file is empty' WHEN file_size > 20000 THEN 'file exceeds 0 MB' WHEN ext = 'exe' THEN 'file type is not supported'
+  judged AS (SELECT doc_code, text, CASE WHEN file_size = 0 THEN 'file is empty' WHEN file_size > 52428800 THEN 'file exceeds 50 MB' WHEN ext = 'exe' THEN 'file type is not supported'
     WHEN trim(text) = '' THEN 'no text content' END AS reason FROM norm),
   passed AS (SELECT doc_code, text FROM judged WHERE reason IS NULL)"""
 
@@ -45,16 +45,15 @@ INGESTED = r"""up AS (SELECT doc_code, file_name, file_size, tenant_code, system
   SELECT j.doc_code, CASE WHEN reason IS NULL AND n.n > 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, reason AS error_message, coalesce(n.n, 0) AS chunk_count,
     reason IS NULL AS enabled FROM judged j LEFT JOIN n ON n.doc_code = j.doc_code""", "v_document_info")
 def g1(spark, d):
-    """Size limit of 20,000 characters, so that the largest documents are refused with their reason."""
     uploads = view(spark, d, "v_document_info").select("doc_code", "file_name", "file_size", "tenant_code", "system_type", "content")
-    return ingest.ingest_status(uploads, ingest.ingest_chunks(uploads, 20000), 20000)
+    return ingest.ingest_status(uploads, ingest.ingest_chunks(uploads))
 
 
 @register("g1_ingest_chunks", f"""WITH RECURSIVE {INGESTED}, {chunked_sql('passed', '。！？；!?;')} SELECT c.doc_code, tenant_code, system_type, chunk_id, chunk_type, c.content
   FROM chunks c JOIN v_document_info i ON i.doc_code = c.doc_code""", "v_document_info")
 def g1_chunks(spark, d):
     uploads = view(spark, d, "v_document_info").select("doc_code", "file_name", "file_size", "tenant_code", "system_type", "content")
-    return ingest.ingest_chunks(uploads, 20000).select("doc_code", "tenant_code", "system_type", "chunk_id", "chunk_type", "content")
+    return ingest.ingest_chunks(uploads).select("doc_code", "tenant_code", "system_type", "chunk_id", "chunk_type", "content")
 
 
 TRANSITIONS = """tr AS (SELECT 'D' || lpad(cast(doc_id AS string), 8, '0') AS doc_code, CASE WHEN quality = 1 THEN 'FAILED' ELSE 'SUCCESS' END AS new_status,

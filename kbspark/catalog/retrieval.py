@@ -165,8 +165,7 @@ PATHS = """seed AS (SELECT r.query_id, q.tenant_code AS t, q.system_type AS s, c
     FROM paths) t WHERE rank <= 30)"""
 CONTEXT = """texts AS (SELECT query_id, t, min(rank * 2 + side) AS first_at FROM (SELECT query_id, rank, 0 AS side, source_content AS t FROM hop
     UNION ALL SELECT query_id, rank, 1, other_content FROM hop) x WHERE t IS NOT NULL GROUP BY 1, 2),
-  g0 AS (SELECT query_id, string_agg(t, chr(10) || '***' || chr(10) ORDER BY first_at) AS g FROM texts GROUP BY 1),
-  g AS (SELECT query_id, CASE WHEN length(g) > 6000 THEN substring(g, 1, 6000) || chr(10) || '... (graph context cut)' ELSE g END AS g FROM g0),
+  g AS (SELECT query_id, string_agg(t, chr(10) || '***' || chr(10) ORDER BY first_at) AS g FROM texts GROUP BY 1),
   v AS (SELECT r.query_id, string_agg(c.content, chr(10) || '---' || chr(10) ORDER BY position) AS v, count(*) AS n_sources, max(source) AS rank_source
     FROM ranked r JOIN v_chunk_vec c ON c.chunk_id = r.chunk_id GROUP BY 1),
   p AS (SELECT query_id, string_agg(content, chr(10) || '---' || chr(10) ORDER BY chunk_id) AS p FROM parents GROUP BY 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.predicates import visible_in_graph_view
 from kbspark.functions.scalars import ellipsis
+from kbspark.session import cut_lineage
 
 EXTRACTION = ("struct<entities:array<struct<name:string,type:string>>,"
               "relations:array<struct<source:string,target:string,type:string>>>")
@@ -17,14 +18,12 @@ EXTRACTION = ("struct<entities:array<struct<name:string,type:string>>,"
 
 # --- building -----------------------------------------------------------------------------------
 
-def extraction_batches(chunks: DataFrame, cap: int = 200) -> DataFrame:
-    """Fine chunks of each document in batches of 3, 5 or 8 by chunk count; at most ``cap`` chunks take part.
-
-    The cap is the operator's own rule: chunks past it are stored but not read for entities.
-    """
+def extraction_batches(chunks: DataFrame, cap: int | None = None) -> DataFrame:
+    """Fine chunks of each document in batches of 3, 5 or 8 by chunk count; with ``cap`` only the first ``cap`` chunks."""
     w = Window.partitionBy("doc_code").orderBy("chunk_index", "chunk_id")
-    fine = (chunks.filter(F.col("chunk_index") >= 0).withColumn("rn", F.row_number().over(w))
-            .filter(F.col("rn") <= cap))
+    fine = chunks.filter(F.col("chunk_index") >= 0).withColumn("rn", F.row_number().over(w))
+    if cap is not None:
+        fine = fine.filter(F.col("rn") <= cap)
     n = F.count(F.lit(1)).over(Window.partitionBy("doc_code"))
     size = F.when(F.col("n") <= 50, 3).when(F.col("n") <= 150, 5).otherwise(8)
     return fine.withColumn("n", n).withColumn("batch_no", F.floor((F.col("rn") - 1) / size).cast("int"))
@@ -63,33 +62,39 @@ Extractor = Callable[[str], str]
 
 
 def extract(batches: DataFrame, extractor: Extractor) -> DataFrame:
-    """JSON extraction of each batch text by any callable, Arrow-batched; a failed call leaves null."""
+    """JSON extraction of each batch text by any callable, Arrow-batched; a failed call leaves null and its error."""
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf.assign(extraction=[_attempt(extractor, t) for t in pdf["text"]])
+            done = [_attempt(extractor, t) for t in pdf["text"]]
+            yield pdf.drop(columns="text").assign(extraction=[x for x, _ in done], error=[e for _, e in done])
 
-    return batches.mapInPandas(run, "doc_code string, batch_no int, text string, chunk_ids array<string>, extraction string")
+    return batches.select("doc_code", "batch_no", "text", "chunk_ids").mapInPandas(
+        run, "doc_code string, batch_no int, chunk_ids array<string>, extraction string, error string")
 
 
-def _attempt(extractor: Extractor, text: str, attempts: int = 2) -> str | None:
+def _attempt(extractor: Extractor, text: str, attempts: int = 2) -> tuple[str | None, str | None]:
+    """Result of the first call that succeeds, or the error of the last."""
+    error = None
     for _ in range(attempts):
         try:
-            return extractor(text)
-        except Exception:  # noqa: BLE001
-            continue
-    return None
+            return extractor(text), None
+        except Exception as e:  # noqa: BLE001
+            error = f"{type(e).__name__}: {e}"
+    return None, error
 
 
 CAPITALISED = r"(?:^|[^\p{L}\p{N}])(\p{Lu}[\p{L}\p{N}]{3,})"
 
 
-def phrase_extraction(batches: DataFrame, max_entities: int = 8) -> DataFrame:
-    """Default extractor: the most frequent capitalised words of a batch, each related to the next in rank."""
+def phrase_extraction(batches: DataFrame, max_entities: int | None = None) -> DataFrame:
+    """Default extractor: the capitalised words of a batch by frequency, each related to the next in rank; with ``max_entities`` only the first ones."""
     keys = ["doc_code", "batch_no"]
     words = batches.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(CAPITALISED), F.lit(1))).alias("w"))
     counted = words.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
     by_rank = Window.partitionBy(*keys).orderBy(F.col("n").desc(), "w")
-    top = counted.withColumn("r", F.row_number().over(by_rank)).filter(F.col("r") <= max_entities)
+    top = counted.withColumn("r", F.row_number().over(by_rank))
+    if max_entities is not None:
+        top = top.filter(F.col("r") <= max_entities)
     found = top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("t"))
     ents = F.transform("t", lambda w: F.struct(w.alias("name"), F.lit("term").alias("type")))
     pairs = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.struct(
@@ -117,30 +122,34 @@ def known_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
             .join(names.withColumnRenamed("name", "dst"), "dst", "left_semi").select(*relations.columns))
 
 
-def build_graph(chunks: DataFrame, extractor: Extractor | None = None, cap: int = 200,
-                attach: str = "batch") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, mentions and relations of documents from their fine chunks.
+def build_graph(chunks: DataFrame, extractor: Extractor | None = None, cap: int | None = None,
+                attach: str = "batch") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Entities, mentions and relations of documents from their fine chunks, and the batches whose extraction failed.
 
-    ``attach='batch'`` ties the entities of a batch to all its chunks,
+    Extractions are written once to the checkpoint folder, and every result comes from that table, so a model is
+    asked once for each batch. Failed batches come back with chunk ids and ``error``. ``attach='batch'`` ties the entities of a batch to all its chunks,
     ``'chunk'`` only to the chunks whose text holds the name.
     """
     batches = batch_texts(extraction_batches(chunks, cap))
+    keys = ["doc_code", "batch_no"]
     if extractor is None:
-        found = phrase_extraction(batches)
+        found = cut_lineage(phrase_extraction(batches))
+        members = batches.select(*keys, F.explode("chunk_ids").alias("chunk_id"))
+        failures = batches.select(*keys, "chunk_ids", F.lit("").alias("error")).filter(F.lit(False))
     else:
-        found = extract(batches, extractor)
-    keys = ["doc_code", "batch_no"]
+        found = cut_lineage(extract(batches, extractor))
+        members = found.select(*keys, F.explode("chunk_ids").alias("chunk_id"))
+        failures = found.filter("error IS NOT NULL").select(*keys, "chunk_ids", "error")
     ents, rels = parse_extraction(found, keys)
     order = [*keys, "pos"]
     entities = merge_entities(ents, order)
     has = ents.select(*keys).distinct()
     relations = merge_edges(known_endpoints(rels.join(has, keys, "left_semi"), entities), *order)
-    members = batches.select(*keys, F.explode("chunk_ids").alias("chunk_id"))
     mentions = ents.select(*keys, F.col("name").alias("entity_name")).distinct().join(members, keys)
     if attach == "chunk":
         mentions = (mentions.join(chunks.select("chunk_id", "content"), "chunk_id")
                     .filter(F.contains("content", F.col("entity_name"))))
-    return entities, mentions.select("chunk_id", "entity_name").distinct(), relations
+    return entities, mentions.select("chunk_id", "entity_name").distinct(), relations, failures
 
 
 # --- multi-hop retrieval --------------------------------------------------------------------------
@@ -261,15 +270,16 @@ def visible_relations(relations: DataFrame, mentions: DataFrame, chunks: DataFra
 
 
 def graph_view(chunks: DataFrame, mentions: DataFrame, entities: DataFrame, relations: DataFrame, tenant: str | None = None,
-               system: str | None = None, limit: int = 200, unnamed: str = "chunk", unknown: str = "unknown",
+               system: str | None = None, limit: int | None = None, unnamed: str = "chunk", unknown: str = "unknown",
                mention_label: str = "mentions") -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the first ``limit`` mention rows and the first ``limit`` relations."""
-    m = (mentions.join(chunks.filter(visible_in_graph_view(tenant, system))
-                       .select("chunk_id", "file_name", "content", "chunk_index"), "chunk_id")
-         .orderBy("chunk_id", "entity_name").limit(limit)
+    """Nodes and edges of the visible mention rows and relations; with ``limit`` of the first ones of each."""
+    def first(df: DataFrame, *order: str) -> DataFrame:
+        return df if limit is None else df.orderBy(*order).limit(limit)
+
+    seen = chunks.filter(visible_in_graph_view(tenant, system)).select("chunk_id", "file_name", "content", "chunk_index")
+    m = (first(mentions.join(seen, "chunk_id"), "chunk_id", "entity_name")
          .join(entities.select(F.col("name").alias("entity_name"), "type"), "entity_name", "left"))
-    r = (visible_relations(relations, mentions, chunks, tenant, system)
-         .orderBy("src", "dst").limit(limit))
+    r = first(visible_relations(relations, mentions, chunks, tenant, system), "src", "dst")
     cid, eid = (lambda c: F.concat(F.lit("chunk_"), c)), (lambda c: F.concat(F.lit("entity_"), c))
     none = F.lit(None).cast("string")
 

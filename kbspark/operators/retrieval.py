@@ -296,12 +296,14 @@ def joined(rows: DataFrame, order: list[str], text: str, sep: str, out: str) ->
         F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), sep).alias(out))
 
 
-def graph_context(paths: DataFrame, max_chars: int = 6000, cut_mark: str = "\n... (graph context cut)") -> DataFrame:
-    """Distinct source and other texts in path order, joined and cut at ``max_chars``."""
+def graph_context(paths: DataFrame, max_chars: int | None = None, cut_mark: str = "\n... (graph context cut)") -> DataFrame:
+    """Distinct source and other texts in path order, joined; with ``max_chars`` cut there and marked."""
     flat = paths.select("query_id", "rank", F.posexplode(F.array("source_content", "other_content")).alias("side", "t"))
     first = (flat.filter(F.col("t").isNotNull()).groupBy("query_id", "t")
              .agg(F.min(F.struct("rank", "side")).alias("at")))
     text = joined(first, ["at"], "t", "\n***\n", "g")
+    if max_chars is None:
+        return text.withColumnRenamed("g", "graph_context")
     return text.select("query_id", F.when(F.length("g") > max_chars, F.concat(F.substring("g", 1, max_chars), F.lit(cut_mark)))
                        .otherwise(F.col("g")).alias("graph_context"))
 

@@ -23,7 +23,7 @@ class RetrievalSettings:
     floor: float = 0.85
     external_threshold: float = 0.85
     hop_rows: int = 30
-    graph_chars: int = 6000
+    graph_chars: int | None = None
     keep: str = "first"
     scale: str = "unit"
     scope: str = "strict"

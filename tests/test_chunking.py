@@ -91,3 +91,14 @@ def test_token_counter_agrees_with_builtin(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", token_count("t").alias("n"))
     for r in df.collect():
         assert r["n"] == regex_token_count(r["t"]), r["t"]
+
+
+def test_upload_above_the_limit_is_refused_and_others_are_chunked_whole(spark):
+    from kbspark.plans import ingest
+
+    rows = [("big", "a.md", 5000, "1", "P", "One sentence here. " * 250), ("small", "b.md", 40, "1", "P", "One sentence here."), ("empty", "c.md", 0, "1", "P", "")]
+    up = spark.createDataFrame(rows, "doc_code string, file_name string, file_size bigint, tenant_code string, system_type string, content string")
+    low = {r["doc_code"]: (r["status"], r["error_message"]) for r in ingest.ingest_status(up, ingest.ingest_chunks(up, 1000), 1000).collect()}
+    assert low["big"] == ("FAILED", "file exceeds 0 MB") and low["small"] == ("SUCCESS", None) and low["empty"][0] == "FAILED"
+    all_in = {r["doc_code"]: r["status"] for r in ingest.ingest_status(up, ingest.ingest_chunks(up)).collect()}
+    assert all_in == {"big": "SUCCESS", "small": "SUCCESS", "empty": "FAILED"}

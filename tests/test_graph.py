@@ -67,25 +67,38 @@ def test_hub_stays_linear(spark):
 def test_extraction_batches_sizes_and_cap(spark):
     sizes = {"a": 50, "b": 51, "c": 151, "d": 230}
     rows = [(d, f"{d}{i:04d}", i, f"T {i}") for d, n in sizes.items() for i in range(n)] + [("e", "e0", -1, "coarse")]
-    b = G.extraction_batches(spark.createDataFrame(rows, "doc_code string, chunk_id string, chunk_index int, content string"))
-    n = {r["doc_code"]: (r["n"], r["m"]) for r in b.groupBy("doc_code").agg(F.count("*").alias("n"), F.max("batch_no").alias("m")).collect()}
-    assert n == {"a": (50, 16), "b": (51, 10), "c": (151, 18), "d": (200, 24)}
-
-
-def test_build_graph_with_failing_extractor_and_attach(spark):
+    ch = spark.createDataFrame(rows, "doc_code string, chunk_id string, chunk_index int, content string")
+    for cap, d in ((200, (200, 24)), (None, (230, 28))):
+        b = G.extraction_batches(ch, cap)
+        n = {r["doc_code"]: (r["n"], r["m"]) for r in b.groupBy("doc_code").agg(F.count("*").alias("n"), F.max("batch_no").alias("m")).collect()}
+        assert n == {"a": (50, 16), "b": (51, 10), "c": (151, 18), "d": d}
+    _, mentions, _, _ = G.build_graph(ch)
+    assert mentions.count() == 0
+    _, mentions, _, _ = G.build_graph(ch.withColumn("content", F.lit("Alpha")))
+    assert mentions.count() == sum(sizes.values())
+
+
+def test_build_graph_with_failing_extractor_and_attach(spark, tmp_path):
     ch = spark.createDataFrame([("D", "c0", 0, "Alpha meets Beta"), ("D", "c1", 1, "Beta only"), ("E", "c2", 0, "boom")],
                                "doc_code string, chunk_id string, chunk_index int, content string")
 
+    calls = str(tmp_path / "calls")
+
     def extractor(text: str) -> str:
+        with open(calls, "a") as f:
+            f.write("x")
         if "boom" in text:
             raise RuntimeError("no")
         return '{"entities":[{"name":" Alpha "},{"name":"Beta","type":"T"},{"name":" "}],"relations":[{"source":"Alpha","target":"Beta"},{"source":"Alpha","target":"Nobody","type":"x"}]}'
 
-    e, m, r = G.build_graph(ch, extractor)
+    e, m, r, failed = G.build_graph(ch, extractor)
     assert {tuple(x) for x in e.collect()} == {("Alpha", "unknown"), ("Beta", "T")}
     assert m.count() == 4
     assert [tuple(x) for x in r.collect()] == [("Alpha", "Beta", "related")]
-    _, m2, _ = G.build_graph(ch, extractor, attach="chunk")
+    assert [tuple(x) for x in failed.collect()] == [("E", 0, ["c2"], "RuntimeError: no")]
+    with open(calls) as f:
+        assert f.read() == "xxx"  # one batch, and one that is tried twice
+    _, m2, _, _ = G.build_graph(ch, extractor, attach="chunk")
     assert {tuple(x) for x in m2.collect()} == {("c0", "Alpha"), ("c0", "Beta"), ("c1", "Beta")}
 
 
