@@ -21,8 +21,10 @@ from kbspark.llm import common as C
 
 SEGMENT, BLOCK, ENTRIES = 32, 8, 512
 K1, B = 1.2, 0.75
-#: Terms of more than this share of the segments don't count in the blocks' maxima.
+#: Terms of more than this share of the segments don't count in the maxima of blocks that need other terms to reach the threshold.
 COMMON_SHARE = 0.1
+#: Sums of float32 impacts are off by less; the bound must not fall below the score by it.
+ROUNDING = 1e-4
 #: Characters of benchmark text in one index; a larger benchmark is taken in several.
 INDEX_CHARS = 8 << 20
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -122,15 +124,19 @@ class Index:
             order = known[np.argsort(owner[known] * len(vocabulary) + at[known], kind="stable")]
             same = (at[order[1:]] == at[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
             before[order[1:][same]] = order[:-1][same]
-            rare = known[~often[at[known]]]
+            # where common terms alone can reach the threshold they count in the maxima too, and nothing is taken off the bar
+            reached = slack > threshold - ROUNDING
+            bar = np.ceil(1000 * (threshold - ROUNDING - np.where(reached, 0, slack))).clip(1)
             bound = np.zeros((2, len(half_start), most.shape[1]), np.uint16)
-            for back, out in enumerate(bound):  # maxima of the words new in this half, and of those new since the half before
-                new = rare[before[rare] < half_start[half[rare]] - back * SEGMENT]
-                begin = np.flatnonzero(np.diff(half[new], prepend=-1))
-                if len(new):
-                    out[half[new][begin]] = np.add.reduceat(most[at[new]], begin, axis=0, dtype=np.uint16)
+            for blocks, counted in ((np.flatnonzero(~reached), known[~often[at[known]]]), (np.flatnonzero(reached), known)):
+                peaks = most if len(blocks) == most.shape[1] else most[:, blocks]
+                for back, out in enumerate(bound):  # maxima of the words new in this half, and of those new since the half before
+                    new = counted[before[counted] < half_start[half[counted]] - back * SEGMENT]
+                    begin = np.flatnonzero(np.diff(half[new], prepend=-1))
+                    if len(new) and len(blocks):
+                        out[half[new][begin][:, None], blocks] = np.add.reduceat(peaks[at[new]], begin, axis=0, dtype=np.uint16)
             bound[0, :-1] += np.where(follows[:-1, None], bound[1, 1:], np.uint16(0))
-            window, block = np.nonzero(bound[0] >= np.ceil(1000 * (threshold - slack)).clip(1))
+            window, block = np.nonzero(bound[0] >= bar)
             for k in range(0, len(window), 4096):
                 h, blk = window[k:k + 4096], block[k:k + 4096]
                 lo = half_start[h][:, None]

@@ -244,6 +244,30 @@ def test_benchmark_passages(spark, sf_dir, docs, odd, none):
     assert (most >= 1000 * exact.max(axis=2) - 1e-3).all()
 
 
+def test_small_and_repeated_benchmarks_equal_every_window_scored():
+    rng = np.random.default_rng(4)
+    text = lambda n, m=4000: " ".join(f"w{k}" for k in rng.integers(0, m, n))
+    copy, others = text(60), [text(int(rng.integers(20, 90)), 600) for _ in range(40)]
+    docs = [text(300) + " " + x + " " + text(200) for x in (copy, others[0], others[1])] + [copy, text(400), text(500, 600), "w1", ""]
+    docs += [" ".join(w if rng.random() > 0.15 else "lost" for w in x.split()) for x in (copy, *others[:10])]
+    for texts in ([copy], [copy, others[0]], [copy] * 5, [copy] * 20 + others, [copy] * 300 + others * 15):
+        index = decontaminate.Index(list(range(len(texts))), texts, 8)
+        want = {}
+        for t, doc in enumerate(docs):
+            w = decontaminate.words([doc])[0]
+            for at in range(0, len(w), decontaminate.SEGMENT):
+                for vocabulary, exact, _, _, _, items in index.blocks:
+                    scores = exact[:-1].reshape(len(vocabulary), -1)[np.isin(vocabulary, w[at:at + 2 * decontaminate.SEGMENT])].sum(axis=0)
+                    for e in np.flatnonzero(scores >= 0.7).tolist():
+                        item = items[e]
+                        size = index.items[item][1]
+                        if min(index._overlaps(item, w[max(0, at - size):at + 2 * decontaminate.SEGMENT + size])) >= 0.6:
+                            want[t, item] = max(want.get((t, item), 0), float(scores[e]))
+        got = {(t, i): s for t, i, s, *_ in index.search(docs, 0.7, 0.6)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+        assert {(0, 0), (3, 0)} <= got.keys()
+
+
 def test_mixing(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.mix(docs).collect()
