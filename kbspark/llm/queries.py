@@ -61,7 +61,7 @@ SELECT page_id, n AS payload_bytes, s AS payload_digest, CASE WHEN least <> page
 
 
 def op7_line_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return templates.drop_recurring_lines(read_table(spark, d, "documents").select("doc_id", "text"))
+    return templates.drop_recurring_lines(read_table(spark, d, "documents").select("doc_id", "text"), short_lines=True)
 
 
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:

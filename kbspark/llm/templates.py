@@ -2,7 +2,8 @@
 
 A line's leaf is its number of tokens and its leading tokens, a token with a digit standing for any. In a leaf that
 enough documents reach, a token stays in the template where enough documents have it at its place, and is variable elsewhere.
-Lines whose template keeps enough tokens and recurs in enough documents are dropped.
+Lines whose template keeps enough tokens and recurs in enough documents are dropped. A line is also a constant template of its own, with all
+its tokens as they stand; the longer it is, the fewer texts make it recurring.
 """
 
 from __future__ import annotations
@@ -15,8 +16,12 @@ from kbspark.llm import common as C
 ANY = "<*>"
 
 
+def _spaced(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " "))
+
+
 def _tokens(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " ")), " ")
+    return F.split(_spaced(line), " ")
 
 
 def _masked(token: Column) -> Column:
@@ -24,25 +29,39 @@ def _masked(token: Column) -> Column:
 
 
 def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 4, min_docs: int = 10, kept_share: float = 0.5,
-                         min_tokens: int = 4) -> DataFrame:
+                         min_tokens: int = 4, constant_tokens: int = 80, short_lines: bool = False) -> DataFrame:
     """``docs`` with the lines of recurring templates taken out of ``text``, and ``n_lines`` and ``n_dropped``.
 
     ``depth`` leading tokens choose the leaf; ``min_docs`` documents make a leaf, a token's place or a template recurring; a template must keep
-    ``kept_share`` of its tokens; lines under ``min_tokens`` tokens stay. Repeats in one document count once. A null text stays null with 0 lines,
+    ``kept_share`` of its tokens. Repeats in one document count once. A null text stays null with 0 lines,
     an empty one has one empty line. A row is told by key and text; equal rows count as one document, and so do rows of one key and text.
 
+    A line of ``n`` tokens with the same tokens, digits too, in ``min_docs`` documents goes, and so does one in ``constant_tokens / n`` different texts,
+    two at least: copies of one text don't take each other's lines. Lines under ``min_tokens`` tokens stay, unless ``short_lines`` lets them go
+    by this rule for ``min_docs`` documents; lines without tokens always stay.
+
     Leaves and templates are counted on hashes, in each document first. Only lines of recurring leaves are cut into tokens, with their places.
     """
     extra = ("n_lines", "n_dropped")
     base = docs.drop(*extra).withColumn("__row", F.xxhash64(F.col(key), F.col(text)))
     lines = F.split(F.col(text), "\n")
-    head = F.transform(lines, lambda x: F.struct(F.size(_tokens(x)).alias("n"), F.transform(F.slice(_tokens(x), 1, depth), _masked).alias("lead")))
-    leaf = F.transform(head, lambda h: F.when(h["n"] >= min_tokens, F.xxhash64(h["n"], h["lead"])))
-    with_leaf = base.filter(F.col(text).isNotNull()).select("__row", leaf.alias("leaves"))
+    cut = F.transform(F.transform(lines, _spaced), lambda x: F.struct(x.alias("line"), F.split(x, " ").alias("tokens")))
+    head = F.transform(cut, lambda c: F.struct(F.when(c["line"] == "", 0).otherwise(F.size(c["tokens"])).alias("n"), F.xxhash64(c["line"]).alias("whole"),
+                                               F.transform(F.slice(c["tokens"], 1, depth), _masked).alias("lead")))
+    known = F.transform(head, lambda h: F.struct(h["n"].alias("n"), h["whole"].alias("whole"),
+                                                 F.when(h["n"] >= min_tokens, F.xxhash64(h["n"], h["lead"])).alias("leaf")))
+    ids = C.written(base.filter(F.col(text).isNotNull()).select("__row", F.xxhash64(F.col(text)).alias("text_id"), known.alias("known")), "line-ids")
     # documents of each leaf; a leaf of few documents can hold no recurring template
-    leaves = (with_leaf.select("__row", F.explode(F.array_distinct(F.filter("leaves", lambda x: x.isNotNull()))).alias("leaf"))
+    leaves = (ids.select("__row", F.explode(F.array_distinct(F.filter("known.leaf", lambda x: x.isNotNull()))).alias("leaf"))
               .groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf"))
     leaves = C.written(leaves, "line-leaves")
+    places = ids.select("__row", "text_id", F.posexplode("known").alias("at", "x")).select("__row", "text_id", "at", "x.n", "x.whole")
+    places = places.filter(F.col("n") >= (1 if short_lines else min_tokens))
+    constant = (places.groupBy("whole", "n", "text_id").agg(F.count_distinct("__row").alias("docs"))
+                .groupBy("whole", "n").agg(F.sum("docs").alias("docs"), F.count("*").alias("texts"))
+                .filter((F.col("docs") >= min_docs) | ((F.col("n") >= min_tokens) & (F.col("texts") >= F.greatest(F.lit(2), F.ceil(F.lit(constant_tokens) / F.col("n")))))))
+    constant = places.join(C.written(constant.select("whole", "n"), "line-constant"), ["whole", "n"], "left_semi").select("__row", "at")
+    leaf = F.transform(head, lambda h: F.when(h["n"] >= min_tokens, F.xxhash64(h["n"], h["lead"])))
     each = base.filter(F.col(text).isNotNull()).select("__row", F.posexplode(F.arrays_zip(lines.alias("line"), leaf.alias("leaf"))).alias("at", "x"))
     likely = (each.filter("x.leaf IS NOT NULL").select("__row", "at", F.col("x.leaf").alias("leaf"), F.col("x.line").alias("line")).join(leaves, "leaf", "left_semi"))
     # equal lines are one from here on: the line's hash stands for it, with the number of documents that have it
@@ -56,7 +75,7 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     shaped = C.written(shaped.filter(F.col("share") >= kept_share), "line-templates")
     recurring = shaped.groupBy("leaf", "template").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "template")
     bad = shaped.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "line_id")
-    drops = likely.join(bad, ["leaf", "line_id"], "left_semi").groupBy("__row").agg(F.collect_set("at").alias("__at"))
+    drops = likely.join(bad, ["leaf", "line_id"], "left_semi").select("__row", "at").unionByName(constant).groupBy("__row").agg(F.collect_set("at").alias("__at"))
     out = base.join(drops, "__row", "left")
     kept = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("__at", i), F.lit(False)))
     return out.select(*[F.array_join(kept, "\n").alias(text) if c == text else F.col(c) for c in docs.drop(*extra).columns],

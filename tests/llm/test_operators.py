@@ -212,6 +212,26 @@ def test_recurring_templates(spark, docs, odd, none):
     assert templates.drop_recurring_lines(unique).agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def test_constant_lines_short_and_long(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    long = {n: " ".join(f"n{n}word{k}" for k in range(n)) for n in (12, 25, 45)}
+    rows = []
+    for i in range(12):
+        lines = [f"own{letters(i)} text{letters(i)}", "", "Les.", "Les."] + ["in nine."] * (i < 9) + ["7"] * (i > 0)
+        lines += [long[45]] * (i < 2) + [long[25]] * (i < 4) + [long[12].replace(" ", "  ", i)] * (i < 6)
+        rows.append((i, "\n".join(lines), "en", "a", 0))
+    copies = [(100 + i, " ".join(f"copied{k}" for k in range(60)) + "\nLes.", "en", "b", 0) for i in range(2)]
+    rows += copies + [(200, long[45].upper(), "en", "c", 0)]
+    frame = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in templates.drop_recurring_lines(frame, short_lines=True).collect()}
+    for i, text, *_ in rows:
+        keep = [x for x in text.split("\n") if x not in ("Les.", "7", long[45], long[25])]
+        assert got[i].text == "\n".join(keep) and got[i].n_dropped == text.count("\n") + 1 - len(keep)
+    more = spark.createDataFrame(rows + [(300, "other\n" + long[12], "en", "d", 0)], DOCS)  # a seventh text: 7 * 12 >= 80
+    got = {r.doc_id: r.text for r in templates.drop_recurring_lines(more).collect()}
+    assert got[300] == "other" and "n12word" not in "".join(got.values()) and "Les." in got[0] and got[100] == copies[0][1]
+
+
 def test_shards(spark, docs, odd, none):
     every = docs.union(odd).withColumn("slot", F.lit("clash"))
     got = shards.shard(every).select("doc_id", "shard", "slot").collect()
