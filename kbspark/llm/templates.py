@@ -64,18 +64,26 @@ def drop_recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     leaf = F.transform(head, lambda h: F.when(h["n"] >= min_tokens, F.xxhash64(h["n"], h["lead"])))
     each = base.filter(F.col(text).isNotNull()).select("__row", F.posexplode(F.arrays_zip(lines.alias("line"), leaf.alias("leaf"))).alias("at", "x"))
     likely = (each.filter("x.leaf IS NOT NULL").select("__row", "at", F.col("x.leaf").alias("leaf"), F.col("x.line").alias("line")).join(leaves, "leaf", "left_semi"))
-    # equal lines are one from here on: the line's hash stands for it, with the number of documents that have it
+    # equal lines are one from here on: the line's hash stands for it
     likely = C.written(likely.select("__row", "at", "leaf", F.xxhash64("line").alias("line_id"), "line"), "line-candidates")
-    distinct = C.written(likely.select("__row", "leaf", "line_id", "line").groupBy("leaf", "line_id").agg(F.first("line").alias("line"), F.count_distinct("__row").alias("docs")), "line-distinct")
-    tokens = distinct.select("leaf", "line_id", "docs", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("place", "token"))
-    steady = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).filter((F.col("n") >= min_docs) & (F.col("token") != ANY)).drop("n")
+    distinct = C.written(likely.groupBy("leaf", "line_id").agg(F.first("line").alias("line")), "line-distinct")
+    tokens = distinct.select("leaf", "line_id", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("place", "token"))
+    # documents of a token: one with a single line of the leaf counts with that line, in the others each token counts once
+    own = C.written(likely.groupBy("__row", "leaf").agg(F.min("line_id").alias("line_id"), F.max("line_id").alias("other")), "line-rows")
+    alone = own.filter("line_id = other").groupBy("leaf", "line_id").agg(F.count("*").alias("n"))
+    several = likely.join(own.filter("line_id <> other").select("__row", "leaf"), ["__row", "leaf"], "left_semi")
+    several = (several.select("__row", "leaf", F.posexplode(F.transform(_tokens(F.col("line")), _masked)).alias("place", "token")).filter(F.col("token") != ANY)
+               .groupBy("leaf", "place", "token").agg(F.count_distinct("__row").alias("n")))
+    steady = tokens.filter(F.col("token") != ANY).join(alone, ["leaf", "line_id"]).select("leaf", "place", "token", "n").unionByName(several)
+    steady = steady.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).drop("n")
     shaped = (tokens.join(steady.withColumn("keep", F.lit(True)), ["leaf", "place", "token"], "left")
-              .groupBy("leaf", "line_id", "docs").agg(F.avg(F.when(F.col("keep"), 1.0).otherwise(0.0)).alias("share"),
-                                                      F.xxhash64(F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("place", "token"))))).alias("template")))
-    shaped = C.written(shaped.filter(F.col("share") >= kept_share), "line-templates")
-    recurring = shaped.groupBy("leaf", "template").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "template")
-    bad = shaped.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "line_id")
-    drops = likely.join(bad, ["leaf", "line_id"], "left_semi").select("__row", "at").unionByName(constant).groupBy("__row").agg(F.collect_set("at").alias("__at"))
+              .groupBy("leaf", "line_id").agg(F.avg(F.when(F.col("keep"), 1.0).otherwise(0.0)).alias("share"),
+                                              F.xxhash64(F.sort_array(F.collect_list(F.when(F.col("keep"), F.struct("place", "token"))))).alias("template")))
+    shaped = shaped.filter(F.col("share") >= kept_share).select("leaf", "line_id", "template")
+    tagged = C.written(likely.select("__row", "at", "leaf", "line_id").join(shaped, ["leaf", "line_id"]).select("__row", "at", "leaf", "template"), "line-templates")
+    recurring = tagged.groupBy("leaf", "template").agg(F.count_distinct("__row").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "template")
+    drops = (tagged.join(recurring, ["leaf", "template"], "left_semi").select("__row", "at").unionByName(constant)
+             .groupBy("__row").agg(F.collect_set("at").alias("__at")))
     out = base.join(drops, "__row", "left")
     kept = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("__at", i), F.lit(False)))
     return out.select(*[F.array_join(kept, "\n").alias(text) if c == text else F.col(c) for c in docs.drop(*extra).columns],

@@ -232,6 +232,20 @@ def test_constant_lines_short_and_long(spark):
     assert got[300] == "other" and "n12word" not in "".join(got.values()) and "Les." in got[0] and got[100] == copies[0][1]
 
 
+def test_templates_count_documents_not_lines(spark):
+    letters = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    lead = "alpha beta gamma delta"
+    # the leaf is common, but the tokens behind it are each document's own, except in one log and in what eleven documents share
+    rows = [(i, "\n".join(f"{lead} " + " ".join(f"{x}{letters(i)}" for x in "pqrstu") for _ in range(2)), "en", "a", 0) for i in range(12)]
+    log = "\n".join(f"{lead} took long to end with{letters(k)} then{letters(k)}" for k in range(30))
+    shared = [(100 + i, "\n".join(f"{lead} took care of all in{letters(i)}x{k} here" for k in "ab"[:1 + i % 2]) + f"\n{lead} one{letters(i)} more{letters(i)} line that is{letters(i)} mine{letters(i)}", "en", "a", 0)
+              for i in range(11)]
+    got = {r.doc_id: r for r in templates.drop_recurring_lines(spark.createDataFrame(rows + [(50, log, "en", "a", 0)], DOCS)).collect()}
+    assert got[50].text == log and all(r.n_dropped == 0 for r in got.values())
+    got = {r.doc_id: r for r in templates.drop_recurring_lines(spark.createDataFrame(rows + shared, DOCS)).collect()}
+    assert all("took care" not in got[100 + i].text and got[100 + i].n_dropped >= 1 + i % 2 for i in range(11))
+
+
 def test_shards(spark, docs, odd, none):
     every = docs.union(odd).withColumn("slot", F.lit("clash"))
     got = shards.shard(every).select("doc_id", "shard", "slot").collect()
