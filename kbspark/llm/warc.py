@@ -1,6 +1,6 @@
 """WARC archives: writing one gzip member for each record, and a reader that salvages what damage leaves.
 
-The reader walks the members of a file. A member that fails to unpack, or a record that fails its checks, starts a search for
+The reader walks the members of a file and the records of each member. A member that fails to unpack, or a record that fails its checks, starts a search for
 the next valid member (or version line, where an archive isn't compressed); the bytes in between are quarantined and logged, and the records behind them are read.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 LEAST = 100
 RECORDS = ("file string, offset bigint, length bigint, problem string, record_type string, record_id string, refers_to string, uri string, "
-           "payload_digest string, payload_bytes bigint, payload binary")
+           "payload_digest string, payload_bytes bigint, payload binary, inner_offset bigint, inner_length bigint")
 NAMES = [x.split()[0] for x in RECORDS.split(", ")]
 
 
@@ -75,17 +75,18 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _parse(data: bytes) -> tuple[dict | None, str]:
-    """Record of a member's content, or why there is none."""
-    head, sep, rest = data.partition(b"\r\n\r\n")
-    first, *lines = head.split(b"\r\n")
-    if not sep or not first.startswith(VERSION):
+def _parse(data: bytes, at: int) -> tuple[dict | None, str]:
+    """Record that begins at a place of unpacked bytes, or why there is none."""
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0 or not data.startswith(VERSION, at):
         return None, "no version line"
+    head, begin = data[at:end], end + 4
+    lines = head.split(b"\r\n")[1:]
     fields = {k.strip().lower().decode("ascii", "replace"): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
     length = fields.get("content-length", "")
-    if not length.isascii() or not length.isdigit() or len(rest) < int(length):
+    if not length.isascii() or not length.isdigit() or len(data) - begin < int(length):
         return None, "bad content length"
-    block = rest[:int(length)]
+    block = data[begin:begin + int(length)]
     kind, sha = fields.get("warc-type", ""), fields.get("warc-block-digest", "")
     if sha.startswith("sha256:") and hashlib.sha256(block).hexdigest() != sha[7:]:
         return None, "block digest differs"
@@ -100,35 +101,63 @@ def _parse(data: bytes) -> tuple[dict | None, str]:
             "payload": None if kind == "revisit" else payload, "length": len(head) + 4 + int(length)}, ""
 
 
+def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
+    """(offset, length, record, problem) of the records and gaps in bytes that aren't compressed, in order and without holes."""
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        record, problem = _parse(data, at) if data.startswith(VERSION, at) else (None, "no version line")
+        if record:
+            if gap is not None:
+                yield gap, at - gap, None, why
+                gap = None
+            step = record["length"]
+            while data.startswith(b"\r\n", at + step):
+                step += 2
+            yield at, step, record, ""
+            at += step
+            continue
+        if gap is None:
+            gap, why = at, problem
+        at = data.find(VERSION, at + 1)
+        at = len(data) if at < 0 else at
+    if gap is not None:
+        yield gap, len(data) - gap, None, why
+
+
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records of an archive in order, and a row with ``problem`` for each gap that was passed over."""
+    """Records of an archive in order, and a row with ``problem`` for each gap that was passed over.
+
+    A member may hold any number of records. Offset and length are those in the file, so all records of a member, and the gaps between them, have the member's;
+    ``inner_offset`` and ``inner_length`` tell the place in its content. A member without any record is a gap of the file.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
-        step, record, problem = 0, None, "no member or version line"
+        step, rows, problem = 0, [], "no member or version line"
         if data.startswith(MAGIC, at):
             unpack = zlib.decompressobj(31)
             try:
                 content = unpack.decompress(memoryview(data)[at:])
                 if unpack.eof:
                     step = len(data) - at - len(unpack.unused_data)
-                    if content:
-                        record, problem = _parse(content)
-                    else:
-                        problem = ""  # an empty member says nothing
+                    inner = list(_plain(content))
+                    rows = [(r or {"problem": p}) | {"inner_offset": a, "inner_length": n} for a, n, r, p in inner]
+                    # an empty member says nothing
+                    problem = "" if not content or any(r for _, _, r, _ in inner) else inner[0][3]
                 else:
                     problem = "member is cut off"
             except zlib.error:
                 problem = "member does not unpack"
         elif data.startswith(VERSION, at):
-            record, problem = _parse(data[at:])
+            record, problem = _parse(data, at)
             step = record["length"] if record else 0
             step += 4 if record and data.startswith(b"\r\n\r\n", at + step) else 0
+            rows = [record] if record else []
         if not problem:
             if gap is not None:
                 yield {"offset": gap, "length": at - gap, "problem": why}
                 gap = None
-            if record:
-                yield record | {"offset": at, "length": step}
+            for row in rows:
+                yield row | {"offset": at, "length": step}
             at += step
             continue
         if gap is None:
@@ -141,6 +170,7 @@ def salvage(data: bytes) -> Iterator[dict]:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives below ``path``, and one with ``problem`` for each quarantined gap (its place and length in the file, no record).
+    A compressed member may hold many records; the ``inner`` columns tell the place of each, and of the gaps between them, in its content.
 
     Digests and lengths are checked; a record's ``payload_digest`` and ``payload_bytes`` are of the full payload, for revisits as the record states them.
     Empty files have no row. A file is read as a whole by one task, so archives should be of moderate size, as ``write_archive`` makes them.

@@ -200,6 +200,22 @@ def test_warc_round_trip_and_salvage(spark, sf_dir, tmp_path):
     assert list(warc.salvage(b"")) == [] and gzip.decompress(packed[0]) == record[0] and packed[0][-1] == 0
 
 
+def test_warc_members_of_many_records(spark, tmp_path):
+    record = [warc._record("response", i, "u", b"x" * 300 + bytes([i]), hashlib.sha256(b"x" * 300 + bytes([i])).hexdigest(), None) for i in range(4)]
+    bad = record[0].replace(b"xxx", b"yyy", 1)
+    two, whole = gzip.compress(bad + record[1]), gzip.compress(b"".join(record))
+    found = list(warc.salvage(two))
+    assert [(f.get("record_id"), f.get("problem")) for f in found] == [(None, "block digest differs"), ("<urn:page:1>", None)]
+    assert [(f["inner_offset"], f["inner_length"]) for f in found] == [(0, len(bad)), (len(bad), len(record[1]))]
+    assert all((f["offset"], f["length"]) == (0, len(two)) for f in found)
+    assert [f.get("record_id") for f in warc.salvage(whole)] == [f"<urn:page:{i}>" for i in range(4)]
+    middle = list(warc.salvage(gzip.compress(record[0] + bad + b"noise" + record[2]) + gzip.compress(bad) + warc.member(record[3])))
+    assert [f.get("record_id") for f in middle] == ["<urn:page:0>", None, "<urn:page:2>", None, "<urn:page:3>"]
+    (tmp_path / "two.warc.gz").write_bytes(two + whole)
+    got = warc.read_archive(spark, str(tmp_path)).collect()
+    assert [r.record_id for r in got if r.problem is None] == [f"<urn:page:{i}>" for i in (1, 0, 1, 2, 3)] and len(got) == 6
+
+
 def test_recurring_templates(spark, docs, odd, none):
     rows = [(i, f"page {i} of 120 printed on {i % 7}\nown line number x{i} y{i} z{i} here {i}\nshort", "en", "a", 0) for i in range(40)]
     got = templates.drop_recurring_lines(spark.createDataFrame(rows + ODD, DOCS)).collect()
