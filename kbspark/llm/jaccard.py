@@ -113,10 +113,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("row_id", F.xxhash64("doc_id", "text"))  # names rows without key too
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, with parity bits for each new set of a batch, and counts of shingles that several sets of a batch hold."""
-        names = ["doc_id", "n", "set_id", "bits", "shingle", "sets"]
+        names = ["doc_id", "row_id", "n", "set_id", "bits", "shingle", "sets"]
         for b in batches:
             texts = C.strings(b.column(1))
             seen, found = set(), []
@@ -126,15 +127,15 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                 none = pa.nulls(j - i, pa.int64())
                 fresh = _fresh(ids, seen)
                 bits = pa.array([x if new else None for x, new in zip(parity_bits(h, bound), (fresh & (size > 0)).tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(ids), bits, none, none], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(size, pa.int64()), pa.array(ids), bits, none, none], names)
                 found.append(h[np.repeat(fresh, size)])
             shingle, sets = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             shingle, sets = shingle[sets > 1].view(np.int64), sets[sets > 1]
             none = pa.nulls(len(shingle), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(shingle), pa.binary()), pa.array(shingle), pa.array(sets, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(shingle), pa.binary()), pa.array(shingle), pa.array(sets, pa.int64())], names)
 
-    both = C.written(rows.mapInArrow(members, "doc_id bigint, n bigint, set_id bigint, bits binary, shingle bigint, sets bigint"), "jaccard-members")
-    member = both.filter("set_id IS NOT NULL").select("doc_id", "n", "set_id")
+    both = C.written(rows.mapInArrow(members, "doc_id bigint, row_id bigint, n bigint, set_id bigint, bits binary, shingle bigint, sets bigint"), "jaccard-members")
+    member = both.filter("set_id IS NOT NULL").select("doc_id", "row_id", "n", "set_id")
     bits = both.filter("bits IS NOT NULL").select("set_id", "n", "bits")
     frequent = (both.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("sets").alias("sets")).filter("sets >= 4")
                 .orderBy(F.desc("sets"), "shingle").limit(FREQUENT).orderBy("shingle").toArrow())
@@ -333,9 +334,11 @@ def _near(bits: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _verified(rows: DataFrame, member: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets are linked. Only texts of one document for each set of a pair are read into sets again."""
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    one = member.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(wanted, "set_id", "left_semi").filter("doc_id IS NOT NULL")
+    # a row with key where there is one: rows without key and of one text have one name
+    row = F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), F.col("row_id"))), F.min("row_id"))
+    one = member.groupBy("set_id").agg(row.alias("row_id")).join(wanted, "set_id", "left_semi")
 
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER)).cast("int")
+    bit = F.pmod("row_id", F.lit(FILTER)).cast("int")
     bits = np.zeros(FILTER // 8, np.uint8)
     set_bits = one.select(bit.alias("bit")).distinct().toArrow()["bit"].to_numpy()
     np.bitwise_or.at(bits, set_bits >> 3, (1 << (set_bits & 7)).astype(np.uint8))
@@ -343,20 +346,20 @@ def _verified(rows: DataFrame, member: DataFrame, pairs: DataFrame, percent: int
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(2).to_numpy()
-            yield b.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1)).select(["doc_id", "text"])
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1)).select(["row_id", "text"])
 
-    some = rows.filter("doc_id IS NOT NULL").withColumn("bit", bit).mapInArrow(passing, "doc_id bigint, text string")
+    some = rows.select("row_id", "text", bit.alias("bit")).mapInArrow(passing, "row_id bigint, text string")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, ids = C.strings(b.column(1)), b.column(0).to_numpy()
             for i, j in C.slices(texts):
                 h, bound = shingle_sets(texts[i:j])
-                same = _set_ids(h, bound) == ids[i:j]  # a repeated key may have another text
+                same = _set_ids(h, bound) == ids[i:j]  # two rows may agree in their hash
                 packed = [h[x:y].tobytes() for x, y in zip(bound[:-1][same], bound[1:][same])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][same]), pa.array(packed, pa.binary())], ["set_id", "shingles"])
 
-    sets = C.written(some.join(one, "doc_id").select("set_id", "text").mapInArrow(full, "set_id bigint, shingles binary"), "jaccard-sets").dropDuplicates(["set_id"])
+    sets = C.written(some.join(one, "row_id").select("set_id", "text").mapInArrow(full, "set_id bigint, shingles binary"), "jaccard-sets").dropDuplicates(["set_id"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -149,6 +149,14 @@ def test_jaccard_join_equals_all_pairs(spark, docs, odd, none, monkeypatch):
     assert jaccard.near_copies(none).count() == 0 and jaccard.near_copies(odd).count() == len(ODD)
 
 
+def test_jaccard_join_through_a_row_without_key(spark):
+    base = [f"w{k}" for k in range(60)]
+    ends = [" ".join(base[:k] + ["other"] + base[k + 1:]) for k in (10, 40)]  # linked with the base, not with each other
+    rows = [(5, ends[0], "en", "a", 0), (9, ends[1], "en", "a", 0), (None, " ".join(base), "en", "a", 0), (None, " ".join(base), "en", "a", 0), (20, "far off " * 9, "en", "a", 0)]
+    got = jaccard.near_copies(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == {(5, 5): 1, (9, 5): 1, (None, 5): 2, (20, 20): 1}
+
+
 def test_shingles_of_batches_with_fewer_words_than_a_shingle():
     for texts in ([], [""], ["a b c"], ["", "a", "b c"], ["a b c", "a b c d"]):
         h, bound = jaccard.shingle_sets(texts)
