@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,17 @@ def slices(texts: Sequence[str], chars: int = 1 << 20) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
+def text_slices(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of rows of about so many bytes and their texts, null as empty; a longer text is a range of its own."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    end, begin = np.cumsum(length, dtype=np.int64), 0
+    while begin < len(length):
+        before = end[begin - 1] if begin else 0
+        upto = max(int(np.searchsorted(end, before + size, side="right")), begin + 1)
+        yield begin, upto, strings(column.slice(begin, upto - begin))
+        begin = upto
+
+
 def strings(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 

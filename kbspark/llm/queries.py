@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm import common as C
-from kbspark.llm import decontaminate, fingerprint, jaccard, language, mixing, shards, templates, tokens, toxicity, warc
+from kbspark.llm import decontaminate, fingerprint, jaccard, language, mixing, periodic, shards, templates, tokens, toxicity, warc
 from kbspark.sources.tables import read_table
 
 #: Path of the tokenizer model; a parameter of the operator.
@@ -79,7 +79,25 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    words = read_table(spark, d, "documents").select("doc_id", "text", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({C.WORD})")).alias("words"))
+    # a tenth of the texts, by a checksum of their id, repeats its first p words from word a on
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = (words.select("doc_id", "text", "words", F.size("words").alias("n"), h.alias("h"), F.expr("crc32(CAST(CAST(doc_id AS string) AS binary)) div 10").alias("g"))
+            .withColumn("a", F.expr("CAST(pmod(g, greatest(n, 1)) AS int)")).withColumn("p", F.expr("CAST(1 + ((n - a) div (3 + g % 8)) AS int)")))
+    again = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), CAST(((n - a) div p) AS int) + 1)), 1, n - a)), ' ')")
+    rows = rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+    found = periodic.periodic_runs(rows)
+    # least of (-length, start, period): the longest run, then the first, then the smallest period
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length AS minus, r.start AS start, r.period AS period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", (-F.col("best.minus")).alias("length"), "best.period",
+                    F.expr("(-1000 * best.minus) div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+                    F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_fingerprints, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_warc, op7_line_dedup, op8_sharding,
-    op9_benchmark_decontamination, op10_mixing)}
+    op9_benchmark_decontamination, op10_mixing, op11_periodic_runs)}
 CHECKS: dict[str, str] = {"op6_warc": OP6}
