@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm import common as C
-from kbspark.llm import decontaminate, fingerprint, jaccard, language, mixing, periodic, shards, templates, tokens, toxicity, warc
+from kbspark.llm import decontaminate, fingerprint, jaccard, language, mixing, nra, periodic, rtree, shards, templates, tokens, toxicity, warc
 from kbspark.sources.tables import read_table
 
 #: Path of the tokenizer model; a parameter of the operator.
@@ -97,7 +97,32 @@ def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
                     F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
 
 
+def op12_topk_inner_product(spark: SparkSession, d: str) -> DataFrame:
+    return nra.top_k(read_table(spark, d, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+VECTORS = """
+WITH v AS (SELECT vec_id, label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""
+OP12 = VECTORS + """,
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
+
+
+def op13_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(read_table(spark, d, "embeddings"), F.col("id") % 50 == 0, label)
+
+
+OP13 = VECTORS + """,
+w AS (SELECT vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+  n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY rank <= 3"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_fingerprints, op3_toxicity, op4_token_counts, op5_jaccard_join, op6_warc, op7_line_dedup, op8_sharding,
-    op9_benchmark_decontamination, op10_mixing, op11_periodic_runs)}
-CHECKS: dict[str, str] = {"op6_warc": OP6}
+    op9_benchmark_decontamination, op10_mixing, op11_periodic_runs, op12_topk_inner_product, op13_hard_negatives)}
+CHECKS: dict[str, str] = {"op6_warc": OP6, "op12_topk_inner_product": OP12, "op13_hard_negatives": OP13}
