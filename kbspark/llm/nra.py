@@ -33,23 +33,27 @@ def _index(group: pa.Table) -> pa.Table:
 
 
 class Lists:
-    """Sorted lists of one block, each from its largest and from its smallest value."""
+    """Sorted lists of one block, each from its largest and from its smallest value, in ``STEPS`` parts."""
 
     def __init__(self, v: np.ndarray, lists: np.ndarray) -> None:
         self.v, self.n, self.dim = v, len(v), v.shape[1]
         falling = np.take_along_axis(v.T, lists, axis=1)
-        # list d falls; list dim + d is the same from its end, with the sign of its values turned
-        self.member = np.concatenate([lists, lists[:, ::-1]]).astype(np.int64)
-        self.value = np.concatenate([falling, -falling[:, ::-1]])
+        step = -(-self.n // STEPS)
+        fill = ((0, 0), (0, step * STEPS - self.n))
+        # list d falls; list dim + d is the same from its end, with the sign of its values turned; filled up by a row that is not there
+        member = np.pad(np.concatenate([lists, lists[:, ::-1]]).astype(np.int64), fill, constant_values=self.n)
+        self.member = member.reshape(2 * self.dim, STEPS, step)
+        self.value = np.pad(np.concatenate([falling, -falling[:, ::-1]]), fill, mode="edge").reshape(2 * self.dim, STEPS, step)
 
     def top(self, q: np.ndarray, k: int, bar: float, skip: int | None) -> tuple[np.ndarray, int]:
         """Rows that may be among the k best of at least ``bar``, without row ``skip``, and how many list entries were read."""
-        n, step, weight = self.n, -(-self.n // STEPS), np.abs(q)
+        n, weight = self.n, np.abs(q)
         line = np.flatnonzero(weight)
         at, weight = np.where(q[line] > 0, line, line + self.dim), weight[line]
-        last = weight * self.value[at, -1]
-        front = weight * self.value[at, 0]
-        low = np.full(n, last.sum(), self.v.dtype)  # with nothing read, every row may have each list's last value
+        last = weight * self.value[at, -1, -1]
+        front = weight * self.value[at, 0, 0]
+        bound = np.full(n + 1, last.sum(), self.v.dtype)
+        low = bound[:n]  # with nothing read, every row may have each list's last value
         depth, read = np.zeros(len(at), np.int64), 0
         if skip is not None:
             low[skip] -= np.abs(front - last).sum() + np.abs(low[0]) + 1  # never a bound for others; it is dropped at the end
@@ -61,18 +65,16 @@ class Lists:
             if rest == 0 or len(left) <= max(LEFT_ROWS, n // LEFT_SHARE):
                 return left[left != skip] if skip is not None else left, read
             most = np.flatnonzero((front > last) & ((front - last) * len(at) >= rest))
-            place = depth[most, None] + np.arange(step)
-            inside = place < n
-            place = np.minimum(place, n - 1)
-            shown = (weight[most, None] * self.value[at[most, None], place] - last[most, None]) * inside
-            members = self.member[at[most, None], place]
+            part = (at[most], depth[most])
+            shown = weight[most, None] * self.value[part] - last[most, None]
             if self.v.dtype == np.float64:
-                low += np.bincount(members.ravel(), shown.ravel(), n)
+                bound += np.bincount(self.member[part].ravel(), shown.ravel(), n + 1)
             else:
-                np.add.at(low, members.ravel(), shown.ravel())
-            read += int(inside.sum())
-            depth[most] += step
-            front[most] = np.where(depth[most] < n, weight[most] * self.value[at[most], np.minimum(depth[most], n - 1)], last[most])
+                np.add.at(bound, self.member[part].ravel(), shown.ravel())
+            read += shown.size
+            depth[most] += 1
+            open_lists = depth[most] < STEPS
+            front[most] = np.where(open_lists, weight[most] * self.value[at[most], np.minimum(depth[most], STEPS - 1), 0], last[most])
 
 
 def _search(k: int):
