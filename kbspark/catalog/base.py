@@ -11,6 +11,7 @@ from kbspark.operators import maintenance as M
 from kbspark.operators import reports
 from kbspark.sources import files, schemas, sinks
 from kbspark.sources.fixtures import view
+from kbspark.sources.store import ChunkStore
 from kbspark.sources.tables import query_with, read_table
 
 
@@ -50,6 +51,28 @@ def s4(spark, d):
     return sinks.read_chunks(spark, path).select("chunk_id", "doc_code", "tenant_code", "system_type", "content")
 
 
+@register("s4_store_upsert", """
+SELECT chunk_id, tenant_code, system_type, chunk_type, version, content, len(embedding) AS dim FROM (
+  SELECT chunk_id, tenant_code, system_type, 'FINE' AS chunk_type, CASE WHEN vec_id % 10 < 3 THEN 2 ELSE 1 END AS version, CASE WHEN vec_id % 10 < 3 THEN 'new ' ELSE '' END || coalesce(content, '') AS content,
+    embedding FROM v_chunk_vec
+  UNION ALL SELECT 'p' || chunk_id, tenant_code, system_type, 'COARSE', 2, coalesce(title, ''), NULL FROM v_chunk_vec) t""", "v_chunk_vec")
+def s4_upsert(spark, d):
+    """A store of all vectors, then new texts of some fine rows and new coarse rows by another version; the same rows once more change nothing."""
+    chunks = view(spark, d, "v_chunk_vec").withColumn("content", F.coalesce("content", F.lit("")))
+    keep = ["chunk_id", "tenant_code", "system_type", "content", "embedding"]
+    fine = chunks.select("vec_id", *keep).withColumns({"chunk_type": F.lit("FINE"), "version": F.lit(1)})
+    some = fine.filter("vec_id % 10 < 3").withColumns({"content": F.concat(F.lit("new "), "content"), "version": F.lit(2)})
+    coarse = chunks.select(F.concat(F.lit("p"), "chunk_id").alias("chunk_id"), "tenant_code", "system_type", F.coalesce("title", F.lit("")).alias("content"),
+                           F.lit(None).cast("array<float>").alias("embedding"), F.lit("COARSE").alias("chunk_type"), F.lit(2).alias("version"))
+    store = ChunkStore(spark, files.scratch_dir(spark, "s4-store"))
+    store.upsert(fine.drop("vec_id"))
+    second = some.drop("vec_id").unionByName(coarse)
+    done = store.upsert(second)
+    if store.upsert(second) != done:
+        raise RuntimeError("the same rows made another version")
+    return store.read(done).select("chunk_id", "tenant_code", "system_type", "chunk_type", "version", "content", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("bigint").alias("dim"))
+
+
 @register("s5_csv_export", """
 SELECT cast(id AS string) AS id, question, answer FROM v_unanswered""", "v_unanswered")
 def s5(spark, d):

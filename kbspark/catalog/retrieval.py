@@ -9,8 +9,11 @@ from kbspark.catalog import register
 from kbspark.functions import text as X
 from kbspark.operators import retrieval as R
 from kbspark.operators.layout import spread
+from kbspark.operators.pruned import recall_from_store
 from kbspark.plans import answer_context as A
+from kbspark.sources import files
 from kbspark.sources.fixtures import view
+from kbspark.sources.store import ChunkStore
 from kbspark.sources.tables import read_table
 
 SETTINGS = A.RetrievalSettings(threshold=0.55, floor=0.55, external_threshold=0.4)
@@ -97,6 +100,16 @@ def r3_blocked(spark, d):
     return R.vector_recall(chunks, queries, broadcast_bytes=0)
 
 
+@register("r3_recall_from_store", f"WITH {HITS} SELECT query_id, query_pos, chunk_id, score, cast(rank AS int) AS rank FROM hits", VEC)
+def r3_store(spark, d):
+    """Recall from a written store: folders pruned by tenant and system, cells by the triangle inequality."""
+    chunks, queries, _ = _vec(spark, d)
+    store = ChunkStore(spark, files.scratch_dir(spark, "r3-store"))
+    store.upsert(chunks.select("chunk_id", "tenant_code", "system_type", "enabled", "status", "content", "embedding", F.lit("FINE").alias("chunk_type")))
+    hits, _ = recall_from_store(store, queries)
+    return hits.select("query_id", "query_pos", "chunk_id", "score", "rank")
+
+
 @register("w9_top_k_per_query", """SELECT query_id, chunk_id, rerank_score, cast(rn AS int) AS rank FROM (SELECT *, row_number() OVER
   (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, chunk_id) AS rn FROM v_rerank_score) t WHERE rn <= 5""", VEC)
 def w9(spark, d):

@@ -154,91 +154,90 @@ def build_graph(chunks: DataFrame, extractor: Extractor | None = None, cap: int
 
 # --- multi-hop retrieval --------------------------------------------------------------------------
 
-def reachable(relations: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` entities (by name) one or two directed steps away, no edge used twice in a path.
+def reachable(relations: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
+    """(e1, e2): for each ``e1`` of ``starts`` the first ``limit`` entities (by name) one or two directed steps away, no edge used twice in a path.
 
-    Exact under the limit: a middle node adds its first ``limit + 1`` targets
-    at most, since one of them (the edge just walked, a self loop) may be
-    barred. So a hub adds edges x limit rows, not in-degree x out-degree.
+    Only edges of entities that the search has reached are kept, by a semi-join for each step. Exact under the limit: a middle node adds its
+    first ``limit + 1`` targets at most, since one of them (the edge just walked, a self loop) may be barred. So a hub adds edges x limit
+    rows, not in-degree x out-degree.
     """
-    edges = relations.select("src", "dst").distinct()
+    edges = relations.select("src", "dst")
+    first = edges.join(starts.select(F.col("e1").alias("src")).distinct(), "src", "left_semi").distinct()
+    middle = first.select(F.col("dst").alias("src")).distinct()
     w = Window.partitionBy("src").orderBy("dst")
-    out = edges.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit + 1).drop("r")
-    second = (edges.select(F.col("src").alias("e1"), F.col("dst").alias("mid"))
-              .join(out.select(F.col("src").alias("mid"), F.col("dst").alias("e2")), "mid")
-              .filter(~((F.col("e1") == F.col("mid")) & (F.col("mid") == F.col("e2"))))
-              .select("e1", "e2"))
-    first = out.select(F.col("src").alias("e1"), F.col("dst").alias("e2"))
-    both = first.unionByName(second).distinct()
+    out = (edges.join(middle, "src", "left_semi").distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit + 1)
+           .groupBy(F.col("src").alias("mid")).agg(F.collect_list("dst").alias("targets")))
+    second = (first.select(F.col("src").alias("e1"), F.col("dst").alias("mid")).join(out, "mid").select("e1", "mid", F.explode("targets").alias("e2"))
+              .filter(~((F.col("e1") == F.col("mid")) & (F.col("mid") == F.col("e2")))).select("e1", "e2"))
+    both = first.select(F.col("src").alias("e1"), F.col("dst").alias("e2")).unionByName(second).distinct()
     w1 = Window.partitionBy("e1").orderBy("e2")
     return both.withColumn("r", F.row_number().over(w1)).filter(F.col("r") <= limit).drop("r")
 
 
-def first_other_texts(chunks: DataFrame, mentions: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` distinct texts (by their smallest chunk id) that mention an entity, per visibility scope.
+def first_other_texts(asked: DataFrame, live: DataFrame, mentions: DataFrame, limit: int) -> DataFrame:
+    """(e2, scope, others): the first ``limit`` distinct texts (by their smallest chunk id) that mention an entity, for each ``asked`` (e2, scope).
 
-    One row per entity and scope with an array of at most ``limit`` (other_id,
-    content). Scopes: 'own|tenant|system', 'global' for tenant '0' in every
-    system, and 'all' for the super tenant. A question reads one or two.
+    ``live`` has chunk_id, tenant_code, system_type and text_id. Scopes: 'own|tenant|system', 'global' for tenant '0' in every system, and 'all'
+    for the super tenant. Only mentions of asked entities meet the chunks.
     """
-    live = mentions.join(chunks.filter("enabled").select("chunk_id", "content", "tenant_code", "system_type"), "chunk_id")
     own = F.concat_ws("|", F.lit("own"), "tenant_code", "system_type")
     scopes = F.when(F.col("tenant_code") == "0", F.array(F.lit("global"), F.lit("all"))).otherwise(F.array(own, F.lit("all")))
-    texts = (live.select(F.col("entity_name").alias("e2"), F.explode(scopes).alias("scope"), "content", "chunk_id")
-             .groupBy("e2", "scope", "content").agg(F.min("chunk_id").alias("other_id")))
+    near = mentions.select("chunk_id", F.col("entity_name").alias("e2")).join(asked.select("e2").distinct(), "e2", "left_semi")
+    texts = (near.join(live, "chunk_id").select("e2", F.explode(scopes).alias("scope"), "text_id", "chunk_id").join(asked, ["e2", "scope"], "left_semi")
+             .groupBy("e2", "scope", "text_id").agg(F.min("chunk_id").alias("other_id")))
     w = Window.partitionBy("e2", "scope").orderBy("other_id")
     return (texts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit)
-            .groupBy("e2", "scope").agg(F.array_sort(F.collect_list(F.struct("other_id", "content"))).alias("others")))
+            .groupBy("e2", "scope").agg(F.array_sort(F.collect_list(F.struct("other_id", "text_id"))).alias("others")))
 
 
 def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relations: DataFrame, limit: int = 30) -> DataFrame:
     """Paths seed chunk -> entity -> entity (1-2 steps) -> other chunk, first ``limit`` per question.
 
-    ``seeds``: query_id, chunk_id, tenant_code, system_type. Rows are distinct
-    on (source text, entity1, entity2, other text) and ordered by (seed id,
-    entity1, entity2, other id). Every step keeps only what can still be among
-    the first ``limit`` rows: each kept prefix yields one row or more, so the
-    cuts are exact and no step grows with the size of a hub.
+    ``seeds``: query_id, chunk_id, tenant_code, system_type. Rows are distinct on (source text, entity1, entity2, other text) and ordered by
+    (seed id, entity1, entity2, other id). The search goes outward from the seeds: each step meets only the mentions, edges and chunk headers of
+    what it has reached, and keeps only what can still be among the first ``limit`` rows of a question: each kept prefix yields one row or more, so
+    the cuts are exact and no step grows with the size of a hub. Texts are told apart by the column ``text_id`` of a chunk store
+    (by their SHA-256 where ``chunks`` has none) and fetched at the end, by the ids of the rows that remain.
     """
     t, s = F.col("t"), F.col("s")
     seen = ((t == "0") | ((F.col("tenant_code") == t) & (F.col("system_type") == s)) | (F.col("tenant_code") == "0"))
+    text_id = F.col("text_id") if "text_id" in chunks.columns else F.sha2(F.col("content").cast("binary"), 256)
+    live = chunks.filter("enabled").select("chunk_id", "tenant_code", "system_type", text_id.alias("text_id"))
     q = seeds.select("query_id", "chunk_id", F.col("tenant_code").alias("t"), F.col("system_type").alias("s"))
-    source = (q.join(chunks.filter("enabled").select("chunk_id", "content", "tenant_code", "system_type"), "chunk_id")
-              .filter(seen).select("query_id", "t", "s", "chunk_id", "content"))
-    starts = (source.join(mentions.select("chunk_id", F.col("entity_name").alias("e1")), "chunk_id")
-              .groupBy("query_id", "t", "s", "content", "e1").agg(F.min("chunk_id").alias("source_id")))
-    per_q = Window.partitionBy("query_id").orderBy("source_id", "e1", "content")
-    starts = starts.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= limit).drop("r")
-    steps = starts.join(reachable(relations, limit), "e1", "left")
-    step_order = ["source_id", "e1", "content", F.col("e2").asc_nulls_first()]
-    per_step = Window.partitionBy("query_id").orderBy(*step_order)
-    steps = steps.withColumn("step", F.row_number().over(per_step)).filter(F.col("step") <= limit)
+    starts = (q.join(live, "chunk_id").filter(seen).select("query_id", "t", "s", "chunk_id", "text_id")
+              .join(mentions.select("chunk_id", F.col("entity_name").alias("e1")), "chunk_id")
+              .groupBy("query_id", "t", "s", "text_id", "e1").agg(F.min("chunk_id").alias("source_id")))
+    per_q = Window.partitionBy("query_id").orderBy("source_id", "e1", "text_id")
+    # the frontier after each step is written: the next step reads it twice, and what led to it isn't computed again
+    starts = cut_lineage(starts.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= limit).drop("r"))
+    steps = starts.join(reachable(relations, starts, limit), "e1", "left")
+    per_step = Window.partitionBy("query_id").orderBy("source_id", "e1", "text_id", F.col("e2").asc_nulls_first())
+    scopes = F.when(t == "0", F.array(F.lit("all"))).otherwise(F.array(F.concat_ws("|", F.lit("own"), t, s), F.lit("global")))
+    steps = cut_lineage(steps.withColumn("step", F.row_number().over(per_step)).filter(F.col("step") <= limit).withColumn("scopes", scopes))
 
     # A step yields at least as many rows as its larger list has texts, and one at least;
     # what earlier steps surely yield need not be filled again. Only the sizes of the lists
     # are joined to decide this, the lists themselves to the few steps that remain.
-    texts = first_other_texts(chunks, mentions, limit)
-    scope = F.when(t == "0", "all").otherwise(F.concat_ws("|", F.lit("own"), t, s))
-
-    def with_lists(df: DataFrame, value: Column, near: str, far: str) -> DataFrame:
-        narrow = texts.select(F.col("e2").alias("n_e2"), F.col("scope").alias("n_scope"), value.alias(near))
-        wide = texts.filter("scope = 'global'").select(F.col("e2").alias("w_e2"), value.alias(far))
-        return (df.join(narrow, (F.col("e2") == F.col("n_e2")) & (F.col("scope") == F.col("n_scope")), "left").drop("n_e2", "n_scope")
-                .join(wide, (F.col("e2") == F.col("w_e2")) & (t != "0"), "left").drop("w_e2"))
-
-    sized = with_lists(steps.withColumn("scope", scope), F.size("others"), "near_n", "far_n")
-    sure = F.greatest(F.lit(1), F.coalesce("near_n", F.lit(0)), F.coalesce("far_n", F.lit(0)))
+    asked = steps.filter("e2 IS NOT NULL").select("e2", F.explode("scopes").alias("scope")).distinct()
+    lists = cut_lineage(first_other_texts(asked, live, mentions, limit))
+    each = steps.select("query_id", "step", "e2", F.explode("scopes").alias("scope"))
+    sized = (each.join(lists.select("e2", "scope", F.size("others").alias("n")), ["e2", "scope"], "left")
+             .groupBy("query_id", "step").agg(F.greatest(F.lit(1), F.coalesce(F.max("n"), F.lit(0))).alias("sure")))
     before = Window.partitionBy("query_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    needed = (sized.withColumn("room", F.lit(limit) - F.coalesce(F.sum(sure).over(before), F.lit(0)).cast("int")).filter("room > 0")
-              .drop("near_n", "far_n"))
-    found = with_lists(needed, F.col("others"), "near", "far")
-    none = F.array().cast("array<struct<other_id:string,content:string>>")
-    both = F.concat(F.slice(F.coalesce("near", none), F.lit(1), F.col("room")), F.slice(F.coalesce("far", none), F.lit(1), F.col("room")))
-    rows = (found.withColumn("others", both).select("query_id", "step", "source_id", "content", "e1", "e2", F.explode_outer("others").alias("o"))
-            .groupBy("query_id", "step", F.col("content").alias("source_content"), F.col("e1").alias("entity1"), F.col("e2").alias("entity2"),
-                     F.col("o.content").alias("other_content")).agg(F.min("o.other_id").alias("other_id")))
+    needed = (sized.withColumn("room", F.lit(limit) - F.coalesce(F.sum("sure").over(before), F.lit(0)).cast("int")).filter("room > 0")
+              .select("query_id", "step", "room"))
+    others = (each.join(needed, ["query_id", "step"]).join(lists, ["e2", "scope"])
+              .select("query_id", "step", F.explode(F.expr("slice(others, 1, room)")).alias("o"))
+              .groupBy("query_id", "step", "o.text_id").agg(F.min("o.other_id").alias("other_id")).drop("text_id"))
+    rows = steps.join(needed, ["query_id", "step"]).select("query_id", "step", "source_id", "e1", "e2").join(others, ["query_id", "step"], "left")
     w = Window.partitionBy("query_id").orderBy("step", F.col("other_id").asc_nulls_first())
-    return (rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    rows = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    # the only place where texts are read: both ids of a row meet the chunks in one join
+    ids = rows.select("query_id", "rank", "e1", "e2", F.explode(F.array(F.struct(F.lit(True).alias("source"), F.col("source_id").alias("chunk_id")),
+                                                                        F.struct(F.lit(False).alias("source"), F.col("other_id").alias("chunk_id")))).alias("i"))
+    texts = ids.filter("i.chunk_id IS NOT NULL").select("query_id", "rank", "e1", "e2", "i.*").join(chunks.filter("enabled").select("chunk_id", "content"), "chunk_id")
+    return (texts.groupBy("query_id", "rank", F.col("e1").alias("entity1"), F.col("e2").alias("entity2"))
+            .agg(F.max(F.when(F.col("source"), F.col("content"))).alias("source_content"), F.max(F.when(~F.col("source"), F.col("content"))).alias("other_content"))
             .select("query_id", "rank", "source_content", "entity1", "entity2", "other_content"))
 
 

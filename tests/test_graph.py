@@ -58,12 +58,32 @@ def test_hub_stays_linear(spark):
                                        F.lit("d").alias("doc_code"), F.lit("0").alias("tenant_code"), F.lit("s").alias("system_type"), F.lit(True).alias("enabled"))
     hub = chunks.select("chunk_id", F.lit("hub").alias("entity_name"))
     rel = spark.createDataFrame([("hub", "hub", "self")], "src string, dst string, type string")
-    texts = G.first_other_texts(chunks, hub, 30)
-    assert [r["n"] for r in texts.filter("scope = 'all'").select(F.size("others").alias("n")).collect()] == [30]
+    asked = spark.createDataFrame([("hub", "all"), ("hub", "own|1|s"), ("nobody", "all")], "e2 string, scope string")
+    texts = G.first_other_texts(asked, chunks.withColumn("text_id", F.col("content")), hub, 30)
+    assert [(r["scope"], r["n"]) for r in texts.select("scope", F.size("others").alias("n")).collect()] == [("all", 30)]
     seeds = chunks.select(F.lit(1).cast("bigint").alias("query_id"), "chunk_id", "tenant_code", "system_type")
     assert G.multi_hop(seeds, chunks, hub, rel, 30).count() == 30
 
 
+def test_search_reads_only_what_it_reaches(spark, tmp_path):
+    """Texts are read by the last join alone where the store has text ids, and edges and mentions meet the frontier first."""
+    chunks = spark.range(200).select(F.format_string("c%03d", "id").alias("chunk_id"), F.concat(F.lit("t"), F.col("id")).alias("content"), F.col("id").cast("string").alias("text_id"),
+                                     F.lit("0").alias("tenant_code"), F.lit("s").alias("system_type"), F.lit(True).alias("enabled"))
+    chunks.write.parquet(str(tmp_path / "chunks"))
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    mentions = stored.select("chunk_id", F.concat(F.lit("e"), F.col("text_id").cast("int") % 20).alias("entity_name"))
+    rel = spark.createDataFrame([(f"e{i}", f"e{(i * 3 + 1) % 20}", "x") for i in range(20)], "src string, dst string, type string")
+    seeds = spark.createDataFrame([(1, "c005", "1", "s")], "query_id bigint, chunk_id string, tenant_code string, system_type string")
+    got = G.multi_hop(seeds, stored, mentions, rel, 30)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("content#") and plan.count("FileScan parquet") == 1
+    assert {r.entity1 for r in got.collect()} == {"e5"} and {r.entity2 for r in got.collect()} <= {"e16", "e9"}
+    same = G.multi_hop(seeds, stored.drop("text_id"), mentions, rel, 30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, same.collect()))
+    reach = G.reachable(rel, spark.createDataFrame([("e5",)], "e1 string"), 30)
+    assert sorted(map(tuple, reach.collect())) == [("e5", "e16"), ("e5", "e9")]
+
+
 def test_extraction_batches_sizes_and_cap(spark):
     sizes = {"a": 50, "b": 51, "c": 151, "d": 230}
     rows = [(d, f"{d}{i:04d}", i, f"T {i}") for d, n in sizes.items() for i in range(n)] + [("e", "e0", -1, "coarse")]
