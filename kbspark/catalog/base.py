@@ -18,11 +18,11 @@ from kbspark.sources.tables import query_with, read_table
 @register("s1_text_files", """
 SELECT tenant_code, content AS text, length(content) AS n FROM v_document_info""", "v_document_info")
 def s1(spark, d):
-    """Documents written to text files of a thousand each, the files read whole and cut back into documents."""
+    """Documents written to files of a thousand length-prefixed records each, and read back."""
     path = files.scratch_dir(spark, "s1")
     docs = view(spark, d, "v_document_info").select("tenant_code", "content")
     files.write_text_files(docs, path, "tenant_code", "content", rows_per_file=1000)
-    return files.records(files.read_text_files(spark, path)).select(
+    return files.read_records(spark, path).select(
         F.regexp_extract("path", r"tenant_code=(\w+)/", 1).alias("tenant_code"), "text", F.length("text").cast("bigint").alias("n"))
 
 

@@ -190,5 +190,5 @@ def u2(spark, d):
 def w3(spark, d):
     from kbspark.operators.chunking import link_chunks
 
-    return link_chunks(view(spark, d, "v_chunk_vec"), bucket_rows=4).select("chunk_id", "prev_chunk_id", "next_chunk_id")
+    return link_chunks(view(spark, d, "v_chunk_vec")).select("chunk_id", "prev_chunk_id", "next_chunk_id")
 

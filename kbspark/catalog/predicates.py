@@ -13,6 +13,7 @@ from kbspark.operators import maintenance as M
 from kbspark.operators import paging as T
 from kbspark.operators import reports, retrieval, sessions
 from kbspark.operators.layout import spread
+from kbspark.sources.files import scratch_dir
 from kbspark.sources.fixtures import view
 from kbspark.sources.tables import read_table
 
@@ -338,6 +339,19 @@ def t1(spark, d):
     return T.page_with_total(docs, [F.col("created_time").desc(), F.col("doc_code").asc()], 2, 15)
 
 
+DEEP = "ORDER BY l_extendedprice DESC NULLS LAST, l_shipdate, l_orderkey, l_linenumber LIMIT 50 OFFSET (SELECT count(*) * 7 // 10 // 50 * 50 FROM lineitem)"
+
+
+@register("t1_deep_page", f"SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem {DEEP}")
+def t1_deep(spark, d):
+    """A page at seven tenths of all rows, by a jump into the page index."""
+    rows = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    keys = [T.Key("l_extendedprice", False), T.Key("l_shipdate"), T.Key("l_orderkey"), T.Key("l_linenumber")]
+    index = T.PageIndex.build(rows, keys, scratch_dir(spark, "pages"), rows_per_range=10_000)
+    total = sum(n for _, n in index.counts())
+    return index.jump(total * 7 // 10 // 50, 50).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @register("t2_sort_builder", """
 SELECT event_id, user_id, event_type FROM events ORDER BY lower(event_type), cast(json_extract_string(props, '$.k') AS varchar) DESC NULLS LAST, user_id, event_id LIMIT 40""")
 def t2(spark, d):
@@ -389,6 +403,18 @@ def t7(spark, d):
     return T.page(m, [F.col("create_time").desc(), F.col("id").desc()], 2, 10).select("id", "question")
 
 
+@register("t7_next_messages", """
+SELECT id, session_id FROM v_long_session ORDER BY answer DESC NULLS LAST, create_time, id LIMIT 30 OFFSET 60""", "v_long_session")
+def t7_next(spark, d):
+    """The third page by the last row of the second, which came by the last row of the first; null answers stand last."""
+    m = view(spark, d, "v_long_session").select("id", "session_id", "answer", "create_time")
+    keys, last = [T.Key("answer", False), T.Key("create_time"), T.Key("id")], None
+    for _ in range(2):
+        rows = T.next_page(m, keys, last, 30).select(*[k.column for k in keys]).collect()  # a page
+        last = tuple(rows[-1]) if rows else last
+    return T.next_page(m, keys, last, 30).select("id", "session_id")
+
+
 # --- set operations ------------------------------------------------------------------------------
 
 @register("u3_tenant_list", """

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from kbspark.catalog import register
 from kbspark.catalog.chunks import chunked_sql
 from kbspark.catalog.usage import CALL_ORDER, PRICED, SUMMARY, USAGE
+from kbspark.catalog.usage import SESSION
 from kbspark.operators import ordered
 from kbspark.operators import usage as U
+from kbspark.session import stream_state_dir
+from kbspark.sources import files
 from kbspark.sources.files import scratch_dir
 from kbspark.sources.fixtures import view
 from kbspark.sources.tables import read_table
 from kbspark.streaming import batches as B
+from kbspark.streaming import stateful as S
 from kbspark.streaming import windows as W
-from kbspark.streaming.carried import CarriedTable
-from kbspark.streaming.stuck import CLOCK, STATE, alerts, stuck_step
-from kbspark.streaming.usage_stream import running_summary
+from kbspark.streaming.usage_stream import running_summary, two_sinks
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,6 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _sink(stream: DataFrame, path: str, name: str) -> DataFrame:
     """Run an append stream to its end into parquet and read it."""
     spark = stream.sparkSession
-    from kbspark.session import stream_state_dir
-
     q = (stream.writeStream.format("parquet").option("path", path).outputMode("append").trigger(availableNow=True)
          .option("checkpointLocation", stream_state_dir(spark, name)).start())
     q.awaitTermination()
@@ -53,14 +53,28 @@ def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("x1_usage_stream", f"WITH {SUMMARY} SELECT * FROM summary", USAGE)
 def x1(spark, d):
     out = scratch_dir(spark, "x1")
-    from kbspark.session import stream_state_dir
-
     q = (running_summary(usage_stream(spark, d)).writeStream.outputMode("update").foreachBatch(B.totals_step(out))
          .trigger(availableNow=True).option("checkpointLocation", stream_state_dir(spark, "x1")).start())
     q.awaitTermination()
     return B.latest_totals(spark.read.parquet(out), "api_key_id")
 
 
+@register("x1_session_stream", f"WITH {SESSION} SELECT * FROM session_usage", USAGE)
+def x1_sessions(spark, d):
+    """Usage in four portions, one stream into the totals of keys and of sessions; a batch that comes again is skipped."""
+    base = scratch_dir(spark, "x1-sessions")
+    keys, sessions = B.Ledger(spark, f"{base}/keys"), B.Ledger(spark, f"{base}/sessions")
+    step = two_sinks(keys, sessions)
+
+    def run(stream):
+        B.run_available(stream, step, "x1", f"{base}/checkpoint")
+
+    usage = view(spark, d, "v_api_key_usage").withColumn("created_time", F.col("created_time"))
+    B.arrive(usage, f"{base}/in", "created_time", 4, run)
+    step(spark.read.parquet(f"{base}/in").limit(100), 0)  # already applied
+    return U.sum_sessions(sessions.read())
+
+
 @register("x2_sliding_digest", """WITH e AS (SELECT question, create_time, time_bucket(interval '6' hour, create_time, timestamp '2024-01-01 00:00:00') AS b FROM v_unanswered),
   w AS (SELECT question, create_time, b - h * interval '6' hour AS window_start FROM e, (SELECT unnest(range(0, 4)) AS h) x),
   mark AS (SELECT max(create_time) - interval '1' hour AS wm FROM v_unanswered)
@@ -81,14 +95,12 @@ def x2(spark, d):
     ELSE epoch_us(finish) // 1000 > epoch_us(ts) // 1000 + 7200000 END)
   SELECT doc_code, epoch_us(min(ts)) // 1000 AS stuck_since_ms FROM late GROUP BY doc_code""", "v_status_event")
 def x3(spark, d):
-    t = F.col("event_type")
-    s = (stream_table(spark, d, "events").filter(t.isin("signup", "purchase", "error"))
-         .select(F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 50).cast("string")).alias("doc_code"), "event_id",
-                 "ts", F.when(t == "signup", "PROCESSING").when(t == "purchase", "SUCCESS").otherwise("FAILED").alias("status")))
-    base = scratch_dir(spark, "x3")
-    state, clock = CarriedTable(spark, f"{base}/state", "doc_code", STATE), CarriedTable(spark, f"{base}/clock", "name", CLOCK)
-    B.run_available(s, stuck_step(state, clock, f"{base}/out"), "x3")
-    return alerts(spark.read.parquet(f"{base}/out"))
+    base, t = scratch_dir(spark, "x3"), F.col("event_type")
+    rows = (read_table(spark, d, "events").filter(t.isin("signup", "purchase", "error"))
+            .select(F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 50).cast("string")).alias("doc_code"), "event_id",
+                    "ts", F.when(t == "signup", "PROCESSING").when(t == "purchase", "SUCCESS").otherwise("FAILED").alias("status")))
+    B.arrive(rows, f"{base}/in", "ts", 4, lambda s: B.append_available(S.stuck_alerts(s), f"{base}/out", f"{base}/checkpoint"))
+    return spark.read.schema("doc_code string, stuck_since_ms bigint").parquet(f"{base}/out")
 
 
 ACTIVITY = """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + interval '2' hour
@@ -116,32 +128,33 @@ def x4_stream(spark, d):
   FROM run r JOIN v_api_key k ON k.id = r.api_key_id""", USAGE)
 def x5(spark, d):
     base = scratch_dir(spark, "x5")
-    used = CarriedTable(spark, f"{base}/used", "api_key_id", "api_key_id bigint, used_e8 bigint")
-    B.run_available(U.with_cost(usage_stream(spark, d)), B.admission_step(used, view(spark, d, "v_api_key"), CALL_ORDER, f"{base}/out"), "x5")
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    calls, keep = U.with_cost(view(spark, d, "v_api_key_usage")), ["session_id", "total_cost_e8"]
+    B.arrive(calls, f"{base}/in", "created_time", 3, lambda s: B.append_available(S.admit_stream(s, view(spark, d, "v_api_key"), CALL_ORDER, keep), f"{base}/out", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/out").select("api_key_id", "session_id", "total_cost_e8", "used_before_e8", "admitted")
 
 
 @register("x6_summary_trigger", """SELECT session_id, id, rn AS at_count FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY create_time, id) AS rn
   FROM v_long_session) t WHERE rn % 10 = 0""", "v_long_session")
 def x6(spark, d):
     base = scratch_dir(spark, "x6")
-    counts = CarriedTable(spark, f"{base}/counts", "session_id", "session_id string, message_count bigint")
-    s = stream_table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
-                                                F.col("ts").alias("create_time"))
-    B.run_available(s, B.summary_trigger_step(counts, f"{base}/out"), "x6")
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    B.arrive(view(spark, d, "v_long_session").select("id", "session_id", "create_time"), f"{base}/in", "create_time", 3,
+             lambda s: B.append_available(S.summary_trigger(s), f"{base}/out", f"{base}/checkpoint"))
+    return spark.read.schema("session_id string, id bigint, at_count bigint").parquet(f"{base}/out")
 
 
 @register("x7_ingest_stream", f"""WITH RECURSIVE up AS (SELECT 'D' || cast(doc_id AS string) AS doc_code, text FROM documents), {chunked_sql('up', '。！？；!?;')},
   n AS (SELECT doc_code, count(*) AS n FROM chunks WHERE chunk_type = 'FINE' GROUP BY 1)
   SELECT up.doc_code, CASE WHEN coalesce(n.n, 0) > 0 THEN 'SUCCESS' ELSE 'FAILED' END AS status, coalesce(n.n, 0) AS chunk_count FROM up LEFT JOIN n ON n.doc_code = up.doc_code""")
 def x7(spark, d):
-    base = scratch_dir(spark, "x7")
-    code = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
-    s = stream_table(spark, d, "documents").select(
-        code.alias("doc_code"), F.concat(code, F.lit(".md")).alias("file_name"), F.col("n_chars").alias("file_size"),
-        F.lit("1").alias("tenant_code"), F.col("lang").alias("system_type"), F.col("text").alias("content"))
-    B.run_available(s, B.ingest_step(base), "x7")
+    """Documents written as files in three portions; each run takes the new files, a limited number a batch, as bytes."""
+    base, code = scratch_dir(spark, "x7"), F.concat(F.lit("D"), F.col("doc_id").cast("string"))
+    docs = read_table(spark, d, "documents").select(code.alias("doc_code"), F.col("lang").alias("system_type"), "text", (F.col("doc_id") % 3).alias("portion"))
+    for i in range(3):
+        files.write_documents(docs.filter(F.col("portion") == i).select("doc_code", "text"), f"{base}/in", "doc_code", "text")
+        uploads = (files.stream_files(spark, f"{base}/in", most=400).withColumn("doc_code", F.regexp_extract("path", "doc_code=([^/]+)/", 1))
+                   .withColumn("file_name", F.concat("doc_code", F.lit(".md"))).withColumn("tenant_code", F.lit("1"))
+                   .join(docs.select("doc_code", "system_type"), "doc_code", "left").withColumn("content", F.expr("substr(text, 1, length(text) - 1)")))
+        B.run_available(uploads.select("doc_code", "file_name", "file_size", "tenant_code", "system_type", "content"), B.ingest_step(base), "x7", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/status").select("doc_code", "status", "chunk_count")
 
 
@@ -157,13 +170,10 @@ def x8(spark, d):
   (PARTITION BY session_id ORDER BY seq), '') AS prev FROM (SELECT user_id AS session_id, event_id AS seq,
     event_type || repeat('.', cast(row_number() OVER (PARTITION BY user_id ORDER BY event_id) % 7 AS int)) AS text FROM events) f) t WHERE length(text) > length(prev)""")
 def x9(spark, d):
-    """Fragments written as their own table first, then streamed."""
+    """Fragments arriving in four portions."""
     base = scratch_dir(spark, "x9")
     rows = read_table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), "event_type")
-    rows = ordered.row_numbers(rows, ["session_id"], F.floor(F.col("seq") / 1000), [F.col("seq")], "n")
+    rows = ordered.row_numbers(rows, ["session_id"], ["seq"], "n")
     frag = rows.select("session_id", "seq", F.concat(F.col("event_type"), F.repeat(F.lit("."), (F.col("n") % 7).cast("int"))).alias("text"))
-    frag.repartitionByRange(4, "seq").write.parquet(f"{base}/in")
-    last = CarriedTable(spark, f"{base}/last", "session_id", "session_id bigint, text string")
-    s = spark.readStream.schema(frag.schema).parquet(f"{base}/in")
-    B.run_available(s, B.delta_step(last, f"{base}/out"), "x9")
-    return spark.read.parquet(f"{base}/out").drop("batch")
+    B.arrive(frag, f"{base}/in", "seq", 4, lambda s: B.append_available(S.delta_stream(s), f"{base}/out", f"{base}/checkpoint"))
+    return spark.read.parquet(f"{base}/out")

@@ -46,14 +46,13 @@ def tenant_write_reason(requests: DataFrame, tenants: DataFrame) -> DataFrame:
 
 
 def assign_doc_codes(uploads: DataFrame, existing: DataFrame, day: Column, file_name: str = "file_name",
-                     bucket: Column | None = None, order: Sequence[str] = ("created_time", "id")) -> DataFrame:
+                     order: Sequence[str] = ("created_time", "id")) -> DataFrame:
     """yyyyMMdd + type letter + sequence of at least three digits, continuing from the numeric maximum."""
     df = uploads.withColumn("__prefix", F.concat(F.date_format(day, "yyyyMMdd"), scalars.type_letter(file_name)))
     suffix = F.regexp_extract("doc_code", r"^\d{8}\D(\d+)$", 1)
     top = (existing.filter(suffix != "")
            .groupBy(F.substring("doc_code", 1, 9).alias("__prefix")).agg(F.max(suffix.cast("bigint")).alias("__max")))
-    bucket = F.date_trunc("hour", F.col(order[0])) if bucket is None else bucket
-    df = ordered.row_numbers(df, ["__prefix"], bucket, [F.col(c) for c in order], "__rn")
+    df = ordered.row_numbers(df, ["__prefix"], order, "__rn")
     seq = F.coalesce(F.col("__max"), F.lit(0)) + F.col("__rn")
     text = F.when(seq < 1000, F.lpad(seq.cast("string"), 3, "0")).otherwise(seq.cast("string"))
     return (df.join(top, "__prefix", "left")

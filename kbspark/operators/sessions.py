@@ -38,9 +38,9 @@ def session_messages_of_key(messages: DataFrame, session_id: str, api_key_id: in
             .orderBy("create_time", "id"))
 
 
-def cumulative_to_delta(fragments: DataFrame, bucket_rows: int = 1000) -> DataFrame:
+def cumulative_to_delta(fragments: DataFrame) -> DataFrame:
     """Only the new suffix of each cumulative text, and only where it grew."""
-    df = ordered.neighbours(fragments, ["session_id"], F.floor(F.col("seq") / bucket_rows), ["seq"], "text", prev="__prev")
+    df = ordered.neighbours(fragments, ["session_id"], ["seq"], "text", prev="__prev")
     done = F.length(F.coalesce("__prev", F.lit("")))
     return (df.filter(F.length("text") > done)
             .select("session_id", "seq", F.col("text").substr(done + 1, F.length("text") - done).alias("delta")))
@@ -48,7 +48,7 @@ def cumulative_to_delta(fragments: DataFrame, bucket_rows: int = 1000) -> DataFr
 
 def inherit_titles(messages: DataFrame) -> DataFrame:
     """Each message takes the newest earlier non-empty title of its session, '' when there is none."""
-    df = ordered.carry_last(messages, ["session_id"], F.to_date("create_time"), ["create_time", "id"],
+    df = ordered.carry_last(messages, ["session_id"], ["create_time", "id"],
                             F.nullif(F.col("title"), F.lit("")), "__t", inclusive=False)
     return df.withColumn("inherited_title", F.coalesce("__t", F.lit(""))).drop("__t")
 

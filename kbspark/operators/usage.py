@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kbspark.functions.predicates import billable
@@ -86,8 +86,13 @@ def session_usage(usage: DataFrame, prices: Mapping[str, tuple[int, int, int]] =
 
 
 def accumulate_sessions(current: DataFrame, increments: DataFrame) -> DataFrame:
+    return sum_sessions(current.unionByName(increments))
+
+
+def sum_sessions(parts: DataFrame) -> DataFrame:
+    """Totals of each session from any number of increments."""
     sums = ("chat_count", "input_tokens", "output_tokens", "cache_tokens", "total_tokens", *COST_COLUMNS, "total_cost_e8")
-    return current.unionByName(increments).groupBy("session_id").agg(
+    return parts.groupBy("session_id").agg(
         F.min("user_id").alias("user_id"), *[F.sum(c).alias(c) for c in sums],
         F.min("created_time").alias("created_time"), F.max("updated_time").alias("updated_time"))
 
@@ -153,38 +158,50 @@ def backfill_cache_cost(sessions: DataFrame, records: DataFrame,
             .select(*sessions.columns))
 
 
-def admit_calls(calls: DataFrame, keys: DataFrame, order: list[str], bucket: Column | None = None) -> DataFrame:
+def admit_calls(calls: DataFrame, keys: DataFrame, order: list[str]) -> DataFrame:
     """A call is admitted while the key's cost so far is below its quota (negative: unlimited).
 
     ``calls`` needs api_key_id, created_time and total_cost_e8.
     """
-    bucket = F.to_date("created_time") if bucket is None else bucket
-    run = ordered.running_sum(calls, ["api_key_id"], bucket, [F.col(c) for c in order],
-                              {"used_before_e8": F.col("total_cost_e8")}, inclusive=False)
+    run = ordered.running_sum(calls, ["api_key_id"], order, {"used_before_e8": F.col("total_cost_e8")}, inclusive=False)
     quota = keys.select(F.col("id").alias("api_key_id"), "quota_e8")
     return (run.join(quota, "api_key_id", "left")
             .withColumn("admitted", F.when(F.coalesce("quota_e8", F.lit(-1)) < 0, F.lit(True))
                         .otherwise(F.col("used_before_e8") < F.col("quota_e8"))))
 
 
-def quota_ledger(log: DataFrame, bucket: Column | None = None) -> DataFrame:
+def quota_ledger(log: DataFrame) -> DataFrame:
     """Outcome of each quota change in time order.
 
     SET replaces the balance (any value from -1 up); ADD needs a positive
     amount and a limited balance, else it is rejected and leaves it as it was.
     """
-    key, order = ["api_key_id"], ["created_time", "id"]
-    bucket = F.date_trunc("month", "created_time") if bucket is None else bucket
     amount = F.col("amount_cents")
-    is_set = (F.col("type") == "SET") & (amount >= -1)
-    df = ordered.carry_last(log, key, bucket, order, F.when(is_set, amount), "__base")
-    df = ordered.running_sum(df, key, bucket, [F.col(c) for c in order], {"__epoch": F.when(is_set, 1).otherwise(0).cast("bigint")})
-    accepted = is_set | ((F.col("type") == "ADD") & (amount > 0) & (F.coalesce("__base", F.lit(-1)) >= 0))
-    df = df.withColumn("accepted", accepted)
-    df = ordered.running_sum(df, [*key, "__epoch"], bucket, [F.col(c) for c in order],
-                             {"__added": F.when(F.col("accepted") & (F.col("type") == "ADD"), amount).otherwise(0)})
-    return (df.withColumn("balance_cents", F.coalesce("__base", F.lit(-1)) + F.col("__added"))
-            .select(*log.columns, "accepted", "balance_cents"))
+    is_set, is_add = (F.col("type") == "SET") & (amount >= -1), (F.col("type") == "ADD") & (amount > 0)
+
+    def advance(df: DataFrame, w: WindowSpec) -> DataFrame:
+        """Balance after each change: what the last SET gave, and what was added since where that is limited; at first it is unlimited."""
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn("__added", F.coalesce(F.sum(F.when(is_add, amount)).over(upto), F.lit(0)))
+        df = df.withColumn("__set", F.last(F.when(is_set, F.struct(amount.alias("to"), F.col("__added").alias("by"))), ignorenulls=True).over(upto))
+        to = F.coalesce("__set.to", F.lit(-1))
+        return df.withColumn("balance_cents", F.when(to < 0, to).otherwise(to + F.col("__added") - F.col("__set.by")))
+
+    # a stretch with a SET sets the balance that it ends with, one without adds what it adds
+    has_set = F.col("__set").isNotNull()
+    step = {"type": F.when(has_set, "SET").otherwise("ADD"), "amount_cents": F.when(has_set, F.col("balance_cents")).otherwise(F.col("__added"))}
+    entry = {"type": F.lit("SET"), "amount_cents": F.col("balance_cents")}
+    done = ordered.scan(log, ["api_key_id"], ["created_time", "id"], advance, step, entry)
+    accepted = is_set | (is_add & (F.coalesce("__set.to", F.lit(-1)) >= 0))
+    return done.withColumn("accepted", accepted).select(*log.columns, "accepted", "balance_cents")
+
+
+def ledger_page(ledger: DataFrame, key_id: int, size: int, before: tuple | None = None) -> DataFrame:
+    """Changes of one key, newest first; ``before`` is (created_time, id) of the last row of the page before."""
+    rows = ledger.filter(F.col("api_key_id") == key_id)
+    if before is not None:
+        rows = rows.filter((F.col("created_time") < F.lit(before[0])) | ((F.col("created_time") == F.lit(before[0])) & (F.col("id") < before[1])))
+    return rows.orderBy(F.desc("created_time"), F.desc("id")).limit(size)
 
 
 def ensure_summary(summary: DataFrame, usage: DataFrame, keys: DataFrame) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +41,47 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
             .select("path", F.col("length").alias("file_size")))
 
 
-RECORD_END = "\u001e"
+def stream_files(spark: SparkSession, path: str, glob: str = "*", most: int = 1000) -> DataFrame:
+    """Arriving files as a stream of path, file_size and text (null where the bytes are not UTF-8), ``most`` files a micro-batch."""
+    kinds = "path string, modificationTime timestamp, length bigint, content binary"
+    return (spark.readStream.schema(kinds).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", most).load(path)
+            .select("path", F.col("length").alias("file_size"), F.try_validate_utf8(F.col("content").cast("string")).alias("text")))
 
 
-def write_text_files(df: DataFrame, path: str, folder: str, text: str, rows_per_file: int = 1) -> None:
-    """Text files below one folder per value of ``folder``; each row ends with a record separator."""
-    (df.select(F.col(folder), F.col(text).alias("value")).write.partitionBy(folder)
-     .option("maxRecordsPerFile", rows_per_file).option("lineSep", RECORD_END).text(path))
+def write_documents(df: DataFrame, path: str, name: str, text: str) -> None:
+    """A file for each row, below a folder with its ``name``; the text is followed by one line feed. Null is an empty text."""
+    (df.select(F.col(name), F.coalesce(F.col(text), F.lit("")).alias("value")).write.mode("append").partitionBy(name).option("maxRecordsPerFile", 1).text(path))
 
 
-def records(files: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of files written by ``write_text_files``."""
-    parts = F.split(text, RECORD_END)
-    return files.withColumn(text, F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)))
+def write_text_files(df: DataFrame, path: str, folder: str, text: str, rows_per_file: int = 1) -> None:
+    """Files below one folder per value of ``folder`` with ``rows_per_file`` records each: the length in bytes, a line feed, the UTF-8 text and a line feed.
+
+    Any text comes back whole, whatever it holds. A null text has the length -1 and no bytes.
+    """
+    size = F.octet_length(F.col(text).cast("binary"))
+    record = F.concat(F.coalesce(size, F.lit(-1)).cast("string"), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))
+    (df.select(F.col(folder), record.alias("value")).write.partitionBy(folder)
+     .option("maxRecordsPerFile", rows_per_file).option("lineSep", "\n").text(path))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of files written by ``write_text_files``; a file whose lengths don't fit its bytes is an error that names it."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0), b.column(1)):
+                whole, at, out, size = content.as_py(), 0, [], 0
+                while at < len(whole):
+                    end = whole.find(b"\n", at)
+                    n = int(whole[at:end]) if end > at else -2
+                    if n < -1 or end + 1 + max(n, 0) >= len(whole) or whole[end + 1 + max(n, 0)] != 10:
+                        raise ValueError(f"record at byte {at} of {name.as_py()} is damaged")
+                    out.append(None if n < 0 else whole[end + 1:end + 1 + n].decode())
+                    size += max(n, 0)
+                    at = end + 2 + max(n, 0)
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array(out, pa.string())], ["path", "text"])
+                        out, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array(out, pa.string())], ["path", "text"])
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return raw.mapInArrow(cut, "path string, text string")

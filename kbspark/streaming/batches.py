@@ -1,74 +1,48 @@
-"""Per-batch operators with carried state: quota admission, summary trigger, deltas, ingest."""
+"""Running streams to their end: arriving files, append sinks, and sinks that apply a batch once."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kbspark.operators import ordered
-from kbspark.operators.sessions import cumulative_to_delta
 from kbspark.plans.ingest import run_ingest
 from kbspark.session import stream_state_dir
-from kbspark.streaming.carried import CarriedTable
 
 Step = Callable[[DataFrame, int], None]
 
 
-def run_available(stream: DataFrame, step: Step, name: str) -> StreamingQuery:
+def run_available(stream: DataFrame, step: Step, name: str, checkpoint: str | None = None) -> StreamingQuery:
     """Feed everything available to ``step`` batch by batch and wait for the end."""
     q = (stream.writeStream.foreachBatch(step).trigger(availableNow=True)
-         .option("checkpointLocation", stream_state_dir(stream.sparkSession, name)).start())
+         .option("checkpointLocation", checkpoint or stream_state_dir(stream.sparkSession, name)).start())
     q.awaitTermination()
     return q
 
 
-def admission_step(used: CarriedTable, keys: DataFrame, order: list[str], out_path: str) -> Step:
-    """Admit each call while the key's cost so far, over all batches, is below its quota."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        run = ordered.running_sum(batch, ["api_key_id"], F.to_date("created_time"), [F.col(c) for c in order],
-                                  {"in_batch": F.col("total_cost_e8")}, inclusive=False)
-        before = used.before(batch_id)
-        quota = keys.select(F.col("id").alias("api_key_id"), "quota_e8")
-        so_far = F.coalesce("used_e8", F.lit(0)) + F.col("in_batch")
-        (run.join(before, "api_key_id", "left").join(quota, "api_key_id", "left").withColumn("used_before_e8", so_far)
-         .withColumn("admitted", F.when(F.coalesce("quota_e8", F.lit(-1)) < 0, F.lit(True)).otherwise(F.col("used_before_e8") < F.col("quota_e8")))
-         .select("api_key_id", "session_id", "total_cost_e8", "used_before_e8", "admitted")
-         .write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}"))
-        spent = batch.groupBy("api_key_id").agg(F.sum("total_cost_e8").alias("s"))
-        used.put(spent.join(before, "api_key_id", "left").select(
-            "api_key_id", (F.coalesce("used_e8", F.lit(0)) + F.col("s")).alias("used_e8")), batch_id)
-
-    return step
-
-
-def summary_trigger_step(counts: CarriedTable, out_path: str, every: int = 10) -> Step:
-    """Emit the message that completes each further ``every`` messages of its session."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        before = counts.before(batch_id)
-        numbered = ordered.row_numbers(batch, ["session_id"], F.to_date("create_time"), [F.col("create_time"), F.col("id")], "rn")
-        at = F.coalesce("message_count", F.lit(0)) + F.col("rn")
-        (numbered.join(before, "session_id", "left").withColumn("at_count", at).filter(F.col("at_count") % every == 0)
-         .select("session_id", "id", "at_count").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}"))
-        new = batch.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-        counts.put(new.join(before, "session_id", "left").select(
-            "session_id", (F.coalesce("message_count", F.lit(0)) + F.col("n")).alias("message_count")), batch_id)
-
-    return step
+def append_available(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what is available to the Parquet folder ``path``; the sink's log takes each batch once."""
+    q = (stream.writeStream.format("parquet").option("path", path).outputMode("append").trigger(availableNow=True)
+         .option("checkpointLocation", checkpoint).start())
+    q.awaitTermination()
+    return q
 
 
-def delta_step(last: CarriedTable, out_path: str) -> Step:
-    """New suffix of each cumulative fragment, also across batches."""
-    def step(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select("session_id", "seq", "text")
-        sessions = rows.select("session_id").distinct()
-        earlier = last.before(batch_id).join(sessions, "session_id", "left_semi").select("session_id", F.lit(-1).cast("bigint").alias("seq"), "text")
-        (cumulative_to_delta(earlier.unionByName(rows)).filter("seq >= 0").write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}"))
-        last.put(rows.groupBy("session_id").agg(F.max_by("text", "seq").alias("text")), batch_id)
+def arrive(df: DataFrame, path: str, order: str, parts: int, run: Callable[[DataFrame], None]) -> None:
+    """Rows of ``df`` arrive as files in ``parts`` portions by ``order``; after each one ``run`` gets the stream of the folder.
 
-    return step
+    Each run ends and the next one starts anew, so a query with one checkpoint is restarted between the portions.
+    """
+    spark = df.sparkSession
+    kind = dict(df.dtypes)[order]
+    number = F.col(order).cast("timestamp").cast("double") if kind.startswith("timestamp") else F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(number, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    portion = F.coalesce(sum((F.when(number > c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0))
+    for i in range(parts):
+        df.filter(portion == i).write.mode("append").parquet(path)
+        run(spark.readStream.schema(df.schema).parquet(path))
 
 
 def ingest_step(out_path: str, max_size: int = 50 << 20, **chunking) -> Step:
@@ -90,3 +64,26 @@ def totals_step(out_path: str) -> Step:
 def latest_totals(df: DataFrame, key: str) -> DataFrame:
     values = [c for c in df.columns if c not in (key, "batch")]
     return df.groupBy(key).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(key, "v.*")
+
+
+class Ledger:
+    """Increments of a stream, each batch applied once: one folder a batch, named by its id, and totals that a fold sums up."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _written(self, batch_id: int) -> bool:
+        """Whether the batch's folder has been committed."""
+        jvm = self.spark._jvm
+        mark = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch_id}/_SUCCESS")
+        return mark.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(mark)
+
+    def apply(self, increments: DataFrame, batch_id: int) -> bool:
+        """Writes the increments unless the batch has been applied; half a folder of a failed try is overwritten."""
+        if self._written(batch_id):
+            return False
+        increments.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        return True
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("batch")

@@ -7,10 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
 from kbspark.functions.predicates import billable
 from kbspark.operators import usage as U
+from kbspark.streaming.batches import Ledger
 
 
 def fold_batches(batches: Iterable[DataFrame]) -> DataFrame:
@@ -26,18 +25,14 @@ def running_summary(stream: DataFrame) -> DataFrame:
         F.max("created_time").alias("last_used_at"))
 
 
-def running_session_usage(stream: DataFrame) -> DataFrame:
-    priced = U.with_cost(stream)
-    return priced.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("chat_count"), F.sum("prompt_tokens").alias("input_tokens"),
-        F.sum("completion_tokens").alias("output_tokens"), F.sum("cache_tokens").alias("cache_tokens"),
-        *[F.sum(c).alias(c) for c in (*U.COST_COLUMNS, "total_cost_e8")])
-
-
-def start_summary(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Changed totals of each micro-batch go to ``upsert``, which replaces rows by api_key_id.
+def two_sinks(keys: Ledger, sessions: Ledger) -> Callable[[DataFrame, int], None]:
+    """One step for two sinks: increments of each key and of each session. A sink that has the batch already skips it, so a batch that failed between the two is completed."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            keys.apply(U.usage_increments(batch), batch_id)
+            sessions.apply(U.session_usage(batch), batch_id)
+        finally:
+            batch.unpersist()
 
-    Rows carry full totals, so repeating a batch after a failure is harmless.
-    """
-    return (running_summary(stream).writeStream.outputMode("update").foreachBatch(upsert)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return step

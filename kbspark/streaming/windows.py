@@ -29,12 +29,13 @@ def activity_sessions(events: DataFrame, ttl: str = "2 hours", delay: str = "1 h
 
 
 def activity_sessions_batch(events: DataFrame, ttl: str = "2 hours", user: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """The same over a finished table: gaps are found and numbered day by day, so no user's events meet in one task."""
+    """The same over a finished table: gaps are found and numbered in pieces, so no user's events meet in one task."""
     expiry = F.expr(f"INTERVAL {ttl}")
     rows = as_event_time(events, ts).select(user, F.col(ts).alias("t"), F.col(ts).alias("at"), F.col(order).alias("o"))
-    rows = ordered.neighbours(rows, [user], F.to_date("at"), ["at", "o"], "t", prev="before")
+    hot = ordered.hot_keys(rows, [user], ["at", "o"])
+    rows = ordered.neighbours(rows, [user], ["at", "o"], "t", prev="before", hot=hot)
     starts = F.when(F.col("before").isNull() | (F.col("at") > F.col("before") + expiry), 1).otherwise(0).cast("bigint")
-    rows = ordered.running_sum(rows, [user], F.to_date("at"), [F.col("at"), F.col("o")], {"session_no": starts})
+    rows = ordered.running_sum(rows, [user], ["at", "o"], {"session_no": starts}, hot=hot)
     return (rows.groupBy(user, "session_no").agg(F.min("at").alias("session_start"), (F.max("at") + expiry).alias("session_end"),
                                                  F.count(F.lit(1)).alias("uses")).drop("session_no"))
 

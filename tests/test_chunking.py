@@ -71,8 +71,7 @@ def test_chunk_invariants(spark, hot_rows):
         while cur is not None:
             seen, cur = seen + 1, one.get(cur["next_chunk_id"])
         assert seen == len(one)
-    linked = K.link_chunks(fine.select("doc_code", "chunk_id", "chunk_index", F.col("prev_chunk_id").alias("p"), F.col("next_chunk_id").alias("n")),
-                           bucket_rows=3)
+    linked = K.link_chunks(fine.select("doc_code", "chunk_id", "chunk_index", F.col("prev_chunk_id").alias("p"), F.col("next_chunk_id").alias("n")))
     assert linked.filter(~F.col("p").eqNullSafe(F.col("prev_chunk_id")) | ~F.col("n").eqNullSafe(F.col("next_chunk_id"))).count() == 0
     again = K.chunk_documents(df.repartition(7, F.rand()))
     assert again.exceptAll(ch).count() == 0 and ch.exceptAll(again).count() == 0

@@ -3,85 +3,122 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
-from kbspark.operators import sessions
+from kbspark.operators import ordered, sessions
 from kbspark.operators import usage as U
 from kbspark.plans.ingest import run_ingest
 from kbspark.sources import files, sinks
 from kbspark.streaming import batches as B
+from kbspark.streaming import stateful as S
 from kbspark.streaming import windows as W
-from kbspark.streaming.carried import CarriedTable
-from kbspark.streaming.stuck import CLOCK, STATE, alerts, stuck_step
+from kbspark.streaming.usage_stream import two_sinks
 
 T0 = dt.datetime(2024, 1, 1)
 
 
-def as_stream(spark, df, parts, by, path):
-    """Rows in ``by`` order as one file per batch."""
-    for i, p in enumerate(parts):
-        df.filter(p).coalesce(1).orderBy(by).write.mode("append").parquet(f"{path}/f{i:03d}")
-    return (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path))
+def portions(spark, df, cuts, path, run):
+    """Rows in portions, each as files of its own; the query is started anew for each."""
+    for p in cuts:
+        df.filter(p).write.mode("append").parquet(f"{path}/in")
+        run(spark.readStream.schema(df.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
 
 
-def test_quota_stream_over_batches(spark, tmp_path, hot_rows):
+def test_quota_stream_over_restarts(spark, tmp_path):
     calls = spark.range(60).select((F.col("id") % 3).alias("api_key_id"), F.lit("s").alias("session_id"), F.col("id").alias("n"),
                                    (F.lit(T0) + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("created_time"), F.lit(10).cast("bigint").alias("total_cost_e8"))
-    keys = spark.createDataFrame([(0, -1), (1, 55), (2, 0)], "id bigint, quota_e8 bigint")
-    s = as_stream(spark, calls, [F.col("n").between(a, a + 19) for a in (0, 20, 40)], "n", str(tmp_path / "in"))
-    used = CarriedTable(spark, str(tmp_path / "used"), "api_key_id", "api_key_id bigint, used_e8 bigint")
-    step = B.admission_step(used, keys, ["created_time", "n"], str(tmp_path / "out"))
-    B.run_available(s, step, "t5")
-    want = U.admit_calls(calls, keys, ["created_time", "n"]).select("api_key_id", "used_before_e8", "admitted")
-    read = lambda: spark.read.parquet(str(tmp_path / "out")).select("api_key_id", "used_before_e8", "admitted")
-    assert read().exceptAll(want).count() == 0 and read().count() == 60
-    step(calls.filter("n >= 40"), 2)  # the last batch again
-    assert read().exceptAll(want).count() == 0 and read().count() == 60
-    assert {r["api_key_id"]: r["used_e8"] for r in used.current().collect()} == {0: 200, 1: 200, 2: 200}
-
-
-def test_carried_table_snapshots(spark, tmp_path):
-    t = CarriedTable(spark, str(tmp_path / "t"), "k", "k bigint, v bigint", full_every=3)
-    want = {}
-    for b in range(8):
-        assert {r["k"]: r["v"] for r in t.before(b).collect()} == want
-        new = {b % 4: b, 10 + b: b}
-        t.put(spark.createDataFrame(list(new.items()), "k bigint, v bigint"), b)
-        want |= new
-    assert {r["k"]: r["v"] for r in t.current().collect()} == want
-    assert spark.read.parquet(str(tmp_path / "t" / "version=6")).count() == 4 + 7
-
-
-def test_trigger_and_delta_over_batches(spark, tmp_path, hot_rows):
+    keys = spark.createDataFrame([(0, -1), (1, 55)], "id bigint, quota_e8 bigint")  # key 2 has no quota
+    order = ["created_time", "n"]
+    portions(spark, calls, [F.col("n").between(a, a + 19) for a in (0, 20, 40)], str(tmp_path), lambda s, out, c: B.append_available(S.admit_stream(s, keys, order, ["n"]), out, c))
+    want = U.admit_calls(calls, keys, order).select("api_key_id", "n", "used_before_e8", "admitted")
+    got = spark.read.parquet(str(tmp_path / "out")).select("api_key_id", "n", "used_before_e8", "admitted")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    B.append_available(S.admit_stream(spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in")), keys, order, ["n"]), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert got.count() == 60  # nothing new: nothing is admitted twice
+
+
+def test_trigger_and_delta_over_restarts(spark, tmp_path):
     m = spark.range(50).select(F.col("id"), F.lit("s").alias("session_id"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("create_time"))
-    s = as_stream(spark, m, [F.col("id") < 13, F.col("id") >= 13], "id", str(tmp_path / "m"))
-    c = CarriedTable(spark, str(tmp_path / "c"), "session_id", "session_id string, message_count bigint")
-    B.run_available(s, B.summary_trigger_step(c, str(tmp_path / "mo")), "t6")
-    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "mo")).collect()) == [9, 19, 29, 39, 49]
-    f = spark.range(30).select(F.lit("s").alias("session_id"), F.col("id").alias("seq"), F.repeat(F.lit("ab"), (F.col("id") - F.col("id") % 3).cast("int")).alias("text"))
-    s = as_stream(spark, f, [F.col("seq") < 10, F.col("seq").between(10, 19), F.col("seq") > 19], "seq", str(tmp_path / "f"))
-    last = CarriedTable(spark, str(tmp_path / "l"), "session_id", "session_id string, text string")
-    B.run_available(s, B.delta_step(last, str(tmp_path / "fo")), "t9")
-    got = spark.read.parquet(str(tmp_path / "fo")).select("session_id", "seq", "delta")
-    want = sessions.cumulative_to_delta(f, bucket_rows=7)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-
-
-def test_stuck_across_batches_with_closing_event(spark, tmp_path, hot_rows):
+    portions(spark, m, [F.col("id") < 13, F.col("id").between(13, 13), F.col("id") > 13], str(tmp_path / "m"), lambda s, out, c: B.append_available(S.summary_trigger(s), out, c))
+    assert sorted((r["id"], r["at_count"]) for r in spark.read.parquet(str(tmp_path / "m" / "out")).collect()) == [(9, 10), (19, 20), (29, 30), (39, 40), (49, 50)]
+    f = spark.range(-5, 25).select(F.lit("s").alias("session_id"), F.col("id").alias("seq"), F.repeat(F.lit("ab"), (F.col("id") + 5 - (F.col("id") + 5) % 3).cast("int")).alias("text"))
+    portions(spark, f, [F.col("seq") < 5, F.col("seq").between(5, 14), F.col("seq") > 14], str(tmp_path / "f"), lambda s, out, c: B.append_available(S.delta_stream(s), out, c))
+    got = spark.read.parquet(str(tmp_path / "f" / "out")).select("session_id", "seq", "delta")
+    want = sessions.cumulative_to_delta(f)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.agg(F.min("seq")).first()[0] < 0
+    late = spark.createDataFrame([("s", 2, "a" * 99)], f.schema)  # covered by what came before
+    portions(spark, late, [F.lit(True)], str(tmp_path / "f"), lambda s, out, c: B.append_available(S.delta_stream(s), out, c))
+    assert spark.read.parquet(str(tmp_path / "f" / "out")).count() == want.count()
+
+
+def test_stuck_by_timer_over_restarts(spark, tmp_path):
     ev = [(0, "a", 0, "PROCESSING"), (1, "b", 5, "PROCESSING"), (2, "b", 30, "SUCCESS"), (3, "c", 10, "PROCESSING"), (4, "c", 200, "FAILED"),
-          (5, "a", 20, "PROCESSING"), (6, "a", 400, "PROCESSING"), (7, "d", 390, "PROCESSING"), (8, "close", 1000, "SUCCESS"), (9, "late", 990, "PROCESSING")]
+          (5, "a", 20, "PROCESSING"), (6, "a", 400, "PROCESSING"), (7, "d", 390, "PROCESSING"), (8, "close", 1000, "SUCCESS"), (9, "late", 990, "PROCESSING"), (10, "c", 995, "PROCESSING"),
+          (11, "end", 2000, "FAILED")]
     df = spark.createDataFrame([(i, d, T0 + dt.timedelta(minutes=m), s) for i, d, m, s in ev], "event_id bigint, doc_code string, ts timestamp, status string")
-    s = as_stream(spark, df, [F.col("event_id") <= 3, F.col("event_id").between(4, 7), F.col("event_id") > 7], "event_id", str(tmp_path / "in"))
-    base = str(tmp_path)
-    state, clock = CarriedTable(spark, f"{base}/state", "doc_code", STATE), CarriedTable(spark, f"{base}/clock", "name", CLOCK)
-    step = stuck_step(state, clock, f"{base}/out")
-    B.run_available(s, step, "t3")
-    read = lambda: sorted((r[0], r[1]) for r in alerts(spark.read.parquet(f"{base}/out")).collect())
+    cuts = [F.col("event_id") <= 3, F.col("event_id").between(4, 7), F.col("event_id").between(8, 10), F.col("event_id") > 10]
     ms = lambda m: 1704067200000 + m * 60000
-    assert read() == [("a", ms(0)), ("c", ms(10)), ("d", ms(390))]
-    step(df.filter("event_id > 7"), 2)  # the last batch again
-    assert read() == [("a", ms(0)), ("c", ms(10)), ("d", ms(390))]
+    seen = []
+
+    def run(s, out, c):
+        B.append_available(S.stuck_alerts(s), out, c)
+        seen.append(sorted(map(tuple, spark.read.schema("doc_code string, stuck_since_ms bigint").parquet(out).collect())))
+
+    portions(spark, df, cuts, str(tmp_path), run)
+    # d has no event after 390: its timer alone raises it; c is raised once
+    assert seen[0] == [] and seen[1] == [("a", ms(0)), ("c", ms(10))] and seen[2] == [("a", ms(0)), ("c", ms(10)), ("d", ms(390))]
+    assert seen[3] == [("a", ms(0)), ("c", ms(10)), ("d", ms(390)), ("late", ms(990))]
+
+
+def test_two_sinks_apply_a_batch_once(spark, tmp_path):
+    rows = [(1, f"s{i % 3}", "u", "glm-5.3-flash", 10 * i, 5, 10 * i + 5, 0, T0 + dt.timedelta(hours=i)) for i in range(12)]
+    usage = spark.createDataFrame(rows, "api_key_id bigint, session_id string, user_id string, model string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, cache_tokens bigint, created_time timestamp")
+    keys, ses = B.Ledger(spark, str(tmp_path / "k")), B.Ledger(spark, str(tmp_path / "s"))
+    step = two_sinks(keys, ses)
+    for i in range(3):
+        step(usage.filter(F.hour("created_time") % 3 == i), i)
+    assert not keys.apply(keys.read(), 1)
+    ses2 = B.Ledger(spark, str(tmp_path / "s2"))
+    two_sinks(keys, ses2)(usage.filter(F.hour("created_time") % 3 == 0), 0)  # a batch of which one sink has failed
+    assert ses2.read().count() == 1 and U.sum_sessions(ses.read()).exceptAll(U.session_usage(usage)).count() == 0 and ses.read().count() == 3
+
+
+def test_records_with_any_text(spark, tmp_path):
+    texts = ["plain", "with \u001e and \n12\nx", "", None, "é日本" * 3, "\n"]
+    df = spark.createDataFrame([(str(i % 2), t) for i, t in enumerate(texts)], "folder string, text string")
+    files.write_text_files(df, str(tmp_path / "r"), "folder", "text", rows_per_file=2)
+    assert sorted(map(str, (r["text"] for r in files.read_records(spark, str(tmp_path / "r")).collect()))) == sorted(map(str, texts))
+    files.write_documents(df.filter("text IS NOT NULL"), str(tmp_path / "d"), "folder", "text")
+    s = files.stream_files(spark, str(tmp_path / "d"), most=2)
+    sizes = []
+    B.run_available(s, lambda b, i: sizes.append(b.count()), "f", str(tmp_path / "c"))
+    assert sum(sizes) == 5 and len(sizes) >= 3 and max(sizes) <= 2
+
+
+def test_ordered_cuts_one_instant(spark, monkeypatch):
+    """A key whose rows share one instant is cut by the rest of the order, and the ledger equals its definition."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", 100)
+    r = random.Random(3)
+    log = [(i, 1 if i % 5 else 2, r.choice(["SET", "ADD", "ADD", "ADD"]), r.choice([-1, 0, 5, 7, -3, 100]), T0) for i in range(2000)]
+    df = spark.createDataFrame(log, "id bigint, api_key_id bigint, type string, amount_cents bigint, created_time timestamp")
+    hot = ordered.hot_keys(df, ["api_key_id"], ["created_time", "id"])
+    assert {x["__k_api_key_id"]: len(x["__cuts"]) > 50 for x in hot.collect()} == {1: True, 2: True}
+    want, balance = {}, {}
+    for i, k, kind, amount, _ in log:
+        b = balance.get(k, -1)
+        ok = kind == "SET" and amount >= -1 or kind == "ADD" and amount > 0 and b >= 0
+        balance[k] = (amount if kind == "SET" else b + amount) if ok else b
+        want[i] = (ok, balance[k])
+    got = U.quota_ledger(df)
+    assert {x["id"]: (x["accepted"], x["balance_cents"]) for x in got.collect()} == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 6
+    page = U.ledger_page(got, 1, 3)
+    ids = [x["id"] for x in page.collect()]
+    assert ids == sorted(ids, reverse=True) and len(ids) == 3
+    after = U.ledger_page(got, 1, 2, (T0, ids[-1]))
+    assert [x["id"] for x in after.collect()][0] < ids[-1]
 
 
 def test_session_windows(spark, hot_rows):

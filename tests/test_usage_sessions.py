@@ -66,10 +66,10 @@ def test_ordered_helpers_equal_plain_windows(spark, hot_rows):
     w = Window.partitionBy("k").orderBy("i")
     plain = df.select("k", "i", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
                       F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c"), F.lag("i").over(w).alias("p"), F.lead("i").over(w).alias("q"))
-    b = F.floor(F.col("i") / 7)
-    out = ordered.running_sum(df, ["k"], b, [F.col("i")], {"s": F.col("n")})
-    out = ordered.carry_last(out, ["k"], b, ["i"], F.col("v"), "c", inclusive=False)
-    out = ordered.neighbours(out, ["k"], b, ["i"], "i", "p", "q").select("k", "i", "s", "c", "p", "q")
+    hot = ordered.hot_keys(df, ["k"], ["i"])
+    out = ordered.running_sum(df, ["k"], [F.col("i")], {"s": F.col("n")}, hot=hot)
+    out = ordered.carry_last(out, ["k"], ["i"], F.col("v"), "c", inclusive=False)
+    out = ordered.neighbours(out, ["k"], ["i"], "i", "p", "q", hot=hot).select("k", "i", "s", "c", "p", "q")
     assert out.exceptAll(plain).count() == 0 and out.count() == 200
 
 
@@ -104,7 +104,7 @@ def test_paging_edges(spark):
     assert ids(paging.Order("name")) == [3, 2, 1]
     assert ids(paging.Order("extend.a.x", ascending=False)) == [1, 2, 3]
     assert df.select(paging.page_count(F.lit(7), 0), paging.page_count(F.lit(7), 3), paging.page_count(F.lit(0), 3)).first()[:] == (0, 3, 0)
-    assert [r["id"] for r in paging.after_key(df, "id", 1, 5).collect()] == [2, 3]
+    assert [r["id"] for r in paging.next_page(df, [paging.Key("id")], (1,), 5).collect()] == [2, 3]
 
 
 def test_filter_edges(spark):
