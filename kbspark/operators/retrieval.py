@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kbspark.functions.text import topics_overlap
 from kbspark.operators.paging import own_tenant_first
@@ -195,11 +196,45 @@ def _blocked(chunks: DataFrame, queries: DataFrame, dim: int, k: int, min_score:
 
 
 def centroid(df: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
-    """Mean vector per key, summed by component so that partial sums combine before the shuffle."""
-    parts = df.select(*keys, F.posexplode(vector).alias("i", "x"))
-    means = parts.groupBy(*keys, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return (means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"])
-                                     .alias(vector)))
+    """Mean vector per key and length of vector: a task sums the vectors of each key it meets, and one row per key and task is shuffled.
+
+    A component that is null counts in no mean; null and empty vectors count nothing.
+    """
+    rows = df.filter(F.size(vector) > 0).select(*keys, F.size(vector).alias("__dim"), F.col(vector).cast("array<double>").alias("__v"))
+    names, kinds = rows.columns[:-1], rows.schema.fields[:-1]
+    out = T.StructType([*kinds, T.StructField("__sum", T.ArrayType(T.DoubleType())), T.StructField("__n", T.ArrayType(T.LongType()))])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        schema = None
+
+        def flush() -> pa.RecordBatch:
+            cols = [pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*held))]
+            both = [pa.array([v[k].tolist() for v in held.values()], pa.list_(t)) for k, t in ((0, pa.float64()), (1, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*cols, *both], [*names, "__sum", "__n"])
+
+        for b in batches:
+            schema = b.schema
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b.select(names)]).append_column("__at", pa.array(np.arange(b.num_rows)))
+            groups = table.group_by(names).aggregate([("__at", "list")])
+            flat, offsets = b.column(len(names)).flatten(), np.concatenate([[0], np.cumsum(b.column(len(names)).value_lengths().to_numpy())])
+            values = flat.to_numpy(zero_copy_only=False)
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            for key, at in zip(zip(*(groups[c].to_pylist() for c in names)), groups["__at_list"].to_pylist()):
+                spots = offsets[np.array(at)][:, None] + np.arange(key[-1])
+                total = [np.where(known[spots], values[spots], 0).sum(axis=0), known[spots].sum(axis=0)]
+                held[key] = [x + y for x, y in zip(held[key], total)] if key in held else total
+            if len(held) * key[-1] > 1 << 20:  # many keys: hand out what there is
+                yield flush()
+                held.clear()
+        if held:
+            yield flush()
+
+    add = lambda c: F.reduce(F.collect_list(c), F.array_repeat(F.lit(0).cast("double"), F.max("__dim")), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    total = rows.mapInArrow(sums, out).groupBy(*names).agg(add("__sum").alias("__s"), add(F.col("__n").cast("array<double>")).alias("__c"))
+    return total.select(*keys, F.zip_with("__s", "__c", lambda s, n: F.when(n > 0, s / n)).alias(vector))
 
 
 def merge_variants(hits: DataFrame, chunks: DataFrame, keep: str = "first") -> DataFrame:

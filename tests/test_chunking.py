@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from kbspark.functions.scalars import regex_token_count, token_count
@@ -27,6 +29,17 @@ def test_sections_edges(spark):
     assert secs(spark, "####### seven\n#nospace") == [([], "####### seven\n#nospace")]
 
 
+def test_sections_of_a_long_document():
+    lines = []
+    for i in range(250_000):
+        lines += [f"{'#' * (1 + i % 6)} Part {i}", f"line {i}", "", "more"]
+    t0 = time.perf_counter()
+    found = K.sections_of("\n".join(lines))
+    assert len(lines) == 1_000_000 and len(found) == 250_000 and time.perf_counter() - t0 < 30
+    assert found[6] == (["Part 6"], "line 6\n\nmore") and found[11] == ([f"Part {i}" for i in range(6, 12)], "line 11\n\nmore")
+    assert K.sections_of(None) == [([], None)]
+
+
 def test_split_covers_text_and_moves_on():
     text = " ".join(f"w{i}" for i in range(4000))
     for overlap in (0, 20, 90):
