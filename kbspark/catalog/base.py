@@ -89,6 +89,17 @@ def s6(spark, d):
     return sinks.conversation_markdown(view(spark, d, "v_chat_message")).select("session_id", "id", "markdown")
 
 
+@register("s6_export_files", """
+SELECT session_id, cast((rn - 1) // 40 AS int) AS part, string_agg('**User:** ' || question || chr(10) || chr(10) || '**Assistant:** ' || coalesce(answer, ''),
+  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn) AS markdown
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY create_time, id) AS rn FROM v_long_session) t GROUP BY 1, 2""", "v_long_session")
+def s6_files(spark, d):
+    """Long sessions exported to files in parts of 40 messages, and read back."""
+    path = files.scratch_dir(spark, "s6")
+    sinks.write_conversations(view(spark, d, "v_long_session").withColumn("sources", F.lit("[]")), path, per_part=40, folders=8)
+    return sinks.read_conversations(spark, path)
+
+
 @register("s7_json_converters", """
 SELECT event_id, cast(json_extract_string(props, '$.k') AS bigint) AS k, '{"k":' || json_extract_string(props, '$.k') || '}' AS json,
   '{}' AS empty FROM events""")

@@ -12,20 +12,29 @@ from kbspark.plans import ingest
 from kbspark.sources.fixtures import view
 from kbspark.sources.tables import read_table
 
-META = ["doc_code", "file_name", "title", "tenant_code", "system_type", "status", "upload_time", "file_size"]
+META = ["doc_code", "file_name", "title", "description", "status", "error_message", "user_id", "tenant_code", "system_type", "enabled", "upload_time", "file_size"]
 SUMMARIES = """best AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY CASE WHEN chunk_index >= 0 AND chunk_type <> 'COARSE' THEN 0
     WHEN chunk_index = -1 THEN 1 ELSE 2 END, chunk_index, chunk_id) AS rn, cast(sum(CASE WHEN chunk_index >= 0 AND chunk_type <> 'COARSE' THEN 1 ELSE 0 END)
-    OVER (PARTITION BY document_id) AS bigint) AS chunk_count FROM v_chunk_row),
-  summaries AS (SELECT document_id, chunk_count, doc_code, file_name, title, tenant_code, system_type, status, upload_time, file_size FROM best WHERE rn = 1)"""
+    OVER (PARTITION BY document_id) AS bigint) AS chunk_count FROM v_chunk_row{visible}),
+  summaries AS (SELECT document_id, chunk_count, doc_code, file_name, title, description, status, error_message, user_id, tenant_code, system_type, enabled, upload_time, file_size
+    FROM best WHERE rn = 1)"""
+ALL, OWN = SUMMARIES.format(visible=""), SUMMARIES.format(visible=" WHERE (tenant_code = '1' AND system_type = 'O') OR tenant_code = '0'")
 
 
-@register("a10_document_summaries", f"WITH {SUMMARIES} SELECT * FROM summaries", "v_chunk_row")
+@register("a10_document_summaries", f"WITH {ALL} SELECT * FROM summaries", "v_chunk_row")
 def a10(spark, d):
     return (M.document_summaries(view(spark, d, "v_chunk_row"), META)
             .orderBy(F.col("upload_time").desc_nulls_last(), "document_id"))
 
 
-@register("j8_missing_documents", f"""WITH {SUMMARIES} SELECT document_id, doc_code, coalesce(tenant_code, 'default') AS tenant_code, coalesce(system_type, 'default') AS system_type,
+@register("a10_visible_documents", f"WITH {OWN} SELECT * FROM summaries", "v_chunk_row")
+def a10_visible(spark, d):
+    """The document list of one tenant and system: every field, from the chunks it may see."""
+    return (M.document_summaries(view(spark, d, "v_chunk_row"), META, "1", "O")
+            .orderBy(F.col("upload_time").desc_nulls_last(), "document_id"))
+
+
+@register("j8_missing_documents", f"""WITH {ALL} SELECT document_id, doc_code, coalesce(tenant_code, 'default') AS tenant_code, coalesce(system_type, 'default') AS system_type,
   file_name, coalesce(title, file_name) AS title, coalesce(file_size, 0) AS file_size, coalesce(status, 'SUCCESS') AS status, chunk_count FROM summaries
   WHERE doc_code NOT IN (SELECT doc_code FROM v_document_info)""", "v_chunk_row v_document_info")
 def j8(spark, d):
@@ -60,7 +69,8 @@ TRANSITIONS = """tr AS (SELECT 'D' || lpad(cast(doc_id AS string), 8, '0') AS do
   doc_id % 9 AS new_chunk_count, CASE WHEN quality = 1 THEN 'reason ' || cast(doc_id AS string) END AS reason FROM labels)"""
 AFTER = f"""{TRANSITIONS}, after_docs AS (SELECT i.doc_code, i.tenant_code, coalesce(new_status, status) AS status, CASE WHEN new_status = 'SUCCESS' THEN new_chunk_count ELSE chunk_count END AS chunk_count,
   CASE WHEN new_status = 'SUCCESS' THEN true WHEN new_status = 'FAILED' THEN false ELSE enabled END AS enabled,
-  CASE WHEN new_status = 'SUCCESS' THEN NULL WHEN new_status = 'FAILED' THEN reason ELSE 'old error' END AS error_message
+  CASE WHEN new_status = 'SUCCESS' THEN NULL WHEN new_status = 'FAILED' THEN reason ELSE 'old error' END AS error_message,
+  CASE WHEN new_status IS NOT NULL THEN timestamp '2025-03-04 05:06:07' ELSE created_time END AS updated_time
   FROM v_document_info i LEFT JOIN tr ON tr.doc_code = i.doc_code)"""
 
 
@@ -70,8 +80,8 @@ def _after(spark, d):
     tr = labels.select(F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("doc_code"),
                        F.when(bad, "FAILED").otherwise("SUCCESS").alias("new_status"), (F.col("doc_id") % 9).alias("new_chunk_count"),
                        F.when(bad, F.concat_ws(" ", F.lit("reason"), F.col("doc_id").cast("string"))).alias("reason"))
-    docs = view(spark, d, "v_document_info").select("doc_code", "tenant_code", "status", "chunk_count", "enabled").withColumn("error_message", F.lit("old error"))
-    return M.apply_transitions(docs, tr)
+    docs = view(spark, d, "v_document_info").select("doc_code", "tenant_code", "status", "chunk_count", "enabled", F.col("created_time").alias("updated_time")).withColumn("error_message", F.lit("old error"))
+    return M.apply_transitions(docs, tr, F.lit("2025-03-04 05:06:07").cast("timestamp_ntz"))
 
 
 @register("g2_status_transitions", f"WITH {AFTER} SELECT * FROM after_docs", "v_document_info")
@@ -79,10 +89,11 @@ def g2(spark, d):
     return _after(spark, d)
 
 
-@register("g2_propagate_status", f"""WITH {AFTER} SELECT chunk_id, c.doc_code, coalesce(a.status, c.status) AS status FROM v_chunk_vec c LEFT JOIN after_docs a ON a.doc_code = c.doc_code""",
+@register("g2_propagate_status", f"""WITH {AFTER} SELECT chunk_id, c.doc_code, coalesce(a.status, c.status) AS status,
+  CASE WHEN a.doc_code IS NULL THEN 'old' ELSE a.error_message END AS error_message FROM v_chunk_vec c LEFT JOIN after_docs a ON a.doc_code = c.doc_code""",
           "v_document_info v_chunk_vec")
 def g2_chunks(spark, d):
-    return M.propagate_status(view(spark, d, "v_chunk_vec").select("chunk_id", "doc_code", "status"), _after(spark, d))
+    return M.propagate_status(view(spark, d, "v_chunk_vec").select("chunk_id", "doc_code", "status", F.lit("old").alias("error_message")), _after(spark, d))
 
 
 @register("g3_replace_document", """SELECT doc_code, chunk_id, content FROM v_chunk_vec WHERE doc_code NOT IN (SELECT doc_code FROM v_document_info WHERE status = 'FAILED')

@@ -294,10 +294,9 @@ def c13(spark, d):
 
 
 @register("c14_snake_case_columns", """
-SELECT p_partkey, p_retailprice FROM part WHERE p_size = 7""")
+SELECT p_partkey, p_retailprice, p_type FROM part""")
 def c14(spark, d):
-    cols = [P.snake_case(c) for c in ("pPartkey", "pRetailprice")]
-    return read_table(spark, d, "part").filter(P.bind_filter({"pSize": 7})).select(*cols)
+    return read_table(spark, d, "part").select(*[P.snake_case(c) for c in ("pPartkey", "pRetailprice", "pType")])
 
 
 @register("c15_sources_json", """

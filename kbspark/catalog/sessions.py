@@ -134,12 +134,15 @@ def j14(spark, d):
 @register("j15_update_titles", """WITH new AS (SELECT cast(conv_id AS string) AS session_id, max('new title ' || cast(conv_id AS string)) AS title FROM conversations WHERE role = 'system' GROUP BY 1)
   SELECT 'message' AS kind, cast(m.id AS string) AS k, coalesce(n.title, m.title) AS title FROM v_chat_message m LEFT JOIN new n ON n.session_id = m.session_id
   UNION ALL SELECT 'session', s.session_id, coalesce(n.title, s.title) FROM (SELECT session_id, max(title) AS title FROM v_chat_message GROUP BY session_id) s
-  LEFT JOIN new n ON n.session_id = s.session_id""", "v_chat_message")
+  LEFT JOIN new n ON n.session_id = s.session_id
+  UNION ALL SELECT 'usage', u.session_id, coalesce(n.title, u.title) FROM (SELECT session_id, min(question) AS title FROM v_chat_message GROUP BY session_id) u
+  LEFT JOIN new n ON n.session_id = u.session_id""", "v_chat_message")
 def j15(spark, d):
     m = view(spark, d, "v_chat_message")
     sid = F.col("conv_id").cast("string")
     new = (read_table(spark, d, "conversations").filter("role = 'system'")
            .groupBy(sid.alias("session_id")).agg(F.max(F.concat(F.lit("new title "), sid)).alias("title")))
-    msg, ses = sessions.update_titles(new, m, m.groupBy("session_id").agg(F.max("title").alias("title")))
+    msg, ses, use = sessions.update_titles(new, m, m.groupBy("session_id").agg(F.max("title").alias("title")), m.groupBy("session_id").agg(F.min("question").alias("title")))
     return (msg.select(F.lit("message").alias("kind"), F.col("id").cast("string").alias("k"), "title")
-            .unionByName(ses.select(F.lit("session").alias("kind"), F.col("session_id").alias("k"), "title")))
+            .unionByName(ses.select(F.lit("session").alias("kind"), F.col("session_id").alias("k"), "title"))
+            .unionByName(use.select(F.lit("usage").alias("kind"), F.col("session_id").alias("k"), "title")))

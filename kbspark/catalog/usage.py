@@ -83,9 +83,9 @@ def a6(spark, d):
 
 @register("a16_key_summary", f"""WITH {SUMMARY} SELECT k.id AS api_key_id, coalesce(total_calls, 0) AS total_calls, coalesce(prompt_tokens, 0) AS prompt_tokens,
   coalesce(completion_tokens, 0) AS completion_tokens, coalesce(total_tokens, 0) AS total_tokens, coalesce(cache_tokens, 0) AS cache_tokens
-  FROM v_api_key k LEFT JOIN (SELECT * FROM summary WHERE total_calls > 35) s ON s.api_key_id = k.id""", USAGE)
+  FROM v_api_key k LEFT JOIN summary s ON s.api_key_id = k.id""", USAGE)
 def a16(spark, d):
-    return U.key_summary(_keys(spark, d).select(F.col("id").alias("api_key_id")), _summary(spark, d).filter("total_calls > 35"))
+    return U.key_summary(_keys(spark, d).select(F.col("id").alias("api_key_id")), _summary(spark, d))
 
 
 @register("a17_existence", """SELECT doc_code, EXISTS (SELECT 1 FROM v_chat_message) AS any_session,
@@ -106,9 +106,9 @@ def a18(spark, d):
 
 @register("j1_usage_overview", f"""WITH {SUMMARY} SELECT k.id, k.name, k.is_delete, coalesce(total_calls, 0) AS total_calls, coalesce(total_tokens, 0) AS total_tokens,
   coalesce(input_cost_e8, 0) AS input_cost_e8, coalesce(output_cost_e8, 0) AS output_cost_e8, coalesce(cache_cost_e8, 0) AS cache_cost_e8, last_used_at
-  FROM v_api_key k LEFT JOIN (SELECT * FROM summary WHERE total_calls > 35) s ON s.api_key_id = k.id""", USAGE)
+  FROM v_api_key k LEFT JOIN summary s ON s.api_key_id = k.id""", USAGE)
 def j1(spark, d):
-    o = U.usage_overview(_keys(spark, d), _summary(spark, d).filter("total_calls > 35")).orderBy(*U.overview_order())
+    o = U.usage_overview(_keys(spark, d), _summary(spark, d)).orderBy(*U.overview_order())
     return o.select("id", "name", "is_delete", "total_calls", "total_tokens", *U.COST_COLUMNS, "last_used_at")
 
 
@@ -128,9 +128,9 @@ def j6(spark, d):
 
 
 @register("j9_sync_used_quota", f"""WITH {SUMMARY} SELECT k.id, k.quota_e8, coalesce((SELECT s.input_cost_e8 + s.output_cost_e8 + s.cache_cost_e8 FROM summary s
-  WHERE s.api_key_id = k.id AND s.total_calls > 35), 0) AS used_e8 FROM v_api_key k""", USAGE)
+  WHERE s.api_key_id = k.id), 0) AS used_e8 FROM v_api_key k""", USAGE)
 def j9(spark, d):
-    return U.used_quota(_keys(spark, d), _summary(spark, d).filter("total_calls > 35")).select("id", "quota_e8", "used_e8")
+    return U.used_quota(_keys(spark, d), _summary(spark, d)).select("id", "quota_e8", "used_e8")
 
 
 @register("j10_backfill_cache_cost", f"""WITH {SESSION} SELECT session_id, CASE WHEN cache_tokens > 0 THEN cache_tokens * CASE

@@ -59,8 +59,11 @@ def assign_doc_codes(uploads: DataFrame, existing: DataFrame, day: Column, file_
             .withColumn("new_doc_code", F.concat("__prefix", text)).select(*uploads.columns, "new_doc_code"))
 
 
-def document_summaries(chunks: DataFrame, meta: Sequence[str]) -> DataFrame:
-    """Fine-chunk count per document and the metadata of its best row: fine, placeholder, any."""
+def document_summaries(chunks: DataFrame, meta: Sequence[str], tenant: str = "0", system: str | None = None) -> DataFrame:
+    """Fine-chunk count per document and the metadata of its best row (fine, placeholder, any), over the chunks that the tenant may see: all for tenant '0',
+    else its own of the system and those of tenant '0'."""
+    if tenant != "0":
+        chunks = chunks.filter(((F.col("tenant_code") == tenant) & (F.col("system_type") == system)) | (F.col("tenant_code") == "0"))
     fine = (F.col("chunk_index") >= 0) & (F.col("chunk_type") != "COARSE")
     rank = F.when(fine, 0).when(F.col("chunk_index") == -1, 1).otherwise(2)
     best = F.min_by(F.struct(*meta), F.struct(rank.alias("r"), F.col("chunk_index"), F.col("chunk_id")))
@@ -78,8 +81,8 @@ def missing_documents(summaries: DataFrame, documents: DataFrame) -> DataFrame:
                     F.coalesce("status", F.lit("SUCCESS")).alias("status"), "chunk_count"))
 
 
-def apply_transitions(documents: DataFrame, transitions: DataFrame) -> DataFrame:
-    """SUCCESS stores the count, enables and clears the error; FAILED stores the reason and disables.
+def apply_transitions(documents: DataFrame, transitions: DataFrame, now: Column) -> DataFrame:
+    """SUCCESS stores the count, enables and clears the error; FAILED stores the reason and disables; both set ``updated_time`` to ``now``.
 
     ``transitions`` has doc_code (unique), new_status, new_chunk_count, reason.
     """
@@ -89,14 +92,16 @@ def apply_transitions(documents: DataFrame, transitions: DataFrame) -> DataFrame
                 "chunk_count": F.when(ok, F.col("new_chunk_count")).otherwise(F.col("chunk_count")),
                 "enabled": F.when(ok, F.lit(True)).when(bad, F.lit(False)).otherwise(F.col("enabled")),
                 "error_message": F.when(ok, F.lit(None)).when(bad, F.col("reason")).otherwise(F.col("error_message")),
+                "updated_time": F.when(ok | bad, now).otherwise(F.col("updated_time")),
                 "status": F.coalesce("new_status", "status")})
             .select(*documents.columns))
 
 
 def propagate_status(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunk rows take the status of their document."""
-    s = documents.select("doc_code", F.col("status").alias("__s"))
-    return (chunks.join(s, "doc_code", "left").withColumn("status", F.coalesce("__s", "status")).select(*chunks.columns))
+    """Chunk rows take status and error message of their document; a document without error clears theirs."""
+    s = documents.select("doc_code", F.col("status").alias("__s"), F.col("error_message").alias("__e"))
+    return (chunks.join(s, "doc_code", "left").withColumn("error_message", F.when(F.col("__s").isNull(), F.col("error_message")).otherwise(F.col("__e")))
+            .withColumn("status", F.coalesce("__s", "status")).select(*chunks.columns))
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: str = "doc_code") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,14 +49,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_SCRATCH: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as a table in the shared folder: computed once, read back by columns, and independent of executors that go."""
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    _SCRATCH.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Removes the tables that ``cut_lineage`` has written in this process; call it when their results have been used. Returns how many there were."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    done = len(_SCRATCH)
+    while _SCRATCH:
+        target = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        target.getFileSystem(conf).delete(target, True)
+    return done
 
 
 def stream_state_dir(spark: SparkSession, name: str) -> str:
     """Fresh checkpoint location of one streaming query under the shared folder."""
-    import uuid
-
     return os.path.join(checkpoint_dir(spark), f"stream-{name}-{uuid.uuid4().hex}")

@@ -66,15 +66,15 @@ FROM [[embeddings]] e LEFT JOIN [[documents]] d ON d.doc_id = e.vec_id
 """
 
 VIEWS["v_coarse_chunk"] = """
-SELECT 'p' || lpad(cast(k AS string), 8, '0') AS chunk_id, 'coarse text ' || cast(k % 50 AS string) AS content
-FROM (SELECT DISTINCT cast(floor(vec_id / 5) AS bigint) AS k FROM [[embeddings]]) t
+SELECT 'p' || lpad(cast(k AS string), 8, '0') AS chunk_id, d.text AS content
+FROM (SELECT DISTINCT cast(floor(vec_id / 5) AS bigint) AS k FROM [[embeddings]]) t LEFT JOIN [[documents]] d ON d.doc_id = t.k
 """
 
 # One question per label; its variant vectors are the label's component sums in integer
 # micro-units, which are exact whatever the order of summation.
 VIEWS["v_question"] = """
 SELECT e.label AS query_id, cast(e.label % 5 AS string) AS tenant_code, 's' || cast(e.label % 2 AS string) AS system_type,
-  'Please tell me about ' || replace(substring(min(d.text), 1, 80), chr(10), ' ') || '?' AS question
+  'Please tell me about ' || replace(min(d.text), chr(10), ' ') || '?' AS question
 FROM [[embeddings]] e JOIN [[documents]] d ON d.doc_id = e.vec_id GROUP BY e.label
 """
 
@@ -106,7 +106,7 @@ SELECT 'c' || lpad(cast(vec_id AS string), 8, '0') AS chunk_id, 'E' || cast(vec_
 UNION SELECT 'c' || lpad(cast(vec_id AS string), 8, '0'), 'E' || cast(50 + vec_id % 23 AS string) FROM [[embeddings]]
 """
 VIEWS["v_vec_relation"] = """
-SELECT DISTINCT 'E' || cast(vec_id % 37 AS string) AS src, 'E' || cast(50 + vec_id % 23 AS string) AS dst, 'near' AS type FROM [[embeddings]] WHERE label < 3
+SELECT DISTINCT 'E' || cast(vec_id % 37 AS string) AS src, 'E' || cast(50 + vec_id % 23 AS string) AS dst, 'near' AS type FROM [[embeddings]]
 """
 VIEWS["v_mention"] = """
 SELECT DISTINCT 'O' || cast(l_orderkey AS string) AS chunk_id, 'P' || cast(l_partkey AS string) AS entity_name FROM [[lineitem]]
@@ -246,6 +246,8 @@ SELECT 'doc' || cast(l_orderkey AS string) AS document_id, cast(l_linenumber - 2
   CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE cast(l_orderkey % 5 AS string) END AS tenant_code,
   CASE WHEN l_linenumber % 6 = 0 THEN NULL ELSE l_linestatus END AS system_type,
   CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE 'SUCCESS' END AS status,
+  CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_returnflag END AS description, CASE WHEN l_partkey % 7 = 1 THEN l_linestatus END AS error_message,
+  'u' || cast(l_suppkey % 9 AS string) AS user_id, l_partkey % 5 <> 0 AS enabled,
   l_shipdate AS upload_time, cast(l_quantity AS bigint) AS file_size
 FROM [[lineitem]]
 """

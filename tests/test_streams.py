@@ -168,6 +168,11 @@ def test_embedder_and_exports(spark, tmp_path):
     assert '"say ""hi"", ok"' in "".join(p.read_text() for p in (tmp_path / "csv").glob("part*"))
     m = spark.range(30).select(F.col("id"), F.lit("s").alias("session_id"), F.lit("q").alias("question"), F.lit("a").alias("answer"),
                                F.lit("[]").alias("sources"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("create_time"))
-    sinks.write_conversations(m.withColumn("question", F.format_string("q%02d", "id")), str(tmp_path / "md"))
-    text = "".join(p.read_text() for p in sorted((tmp_path / "md" / "session_id=s").glob("part*")))
-    assert [line[-3:] for line in text.splitlines() if line.startswith("**User")] == [f"q{i:02d}" for i in range(30)]
+    long = m.withColumn("question", F.format_string("q%02d", "id")).unionByName(m.limit(1).withColumns({"session_id": F.lit("t u"), "sources": F.lit('[{"docCode":"D1"},{"docCode":"D2"}]')}))
+    sinks.write_conversations(long, str(tmp_path / "md"), per_part=7, folders=4)
+    parts = sorted(sinks.read_conversations(spark, str(tmp_path / "md"), "s").collect(), key=lambda r: r["part"])
+    assert [r["part"] for r in parts] == [0, 1, 2, 3, 4] and [r["markdown"].count("**User") for r in parts] == [7, 7, 7, 7, 2]
+    assert [line[-3:] for r in parts for line in r["markdown"].splitlines() if line.startswith("**User")] == [f"q{i:02d}" for i in range(30)]
+    assert sinks.read_conversations(spark, str(tmp_path / "md"), "t u").first()["markdown"].endswith("\n\n1. D1\n2. D2")
+    index = {(r["session_id"], r["part"]): (r["messages"], r["first_id"], r["last_id"]) for r in spark.read.parquet(str(tmp_path / "md" / "index")).collect()}
+    assert index["s", 1] == (7, 7, 13) and index["s", 4] == (2, 28, 29) and len(index) == 6 and sinks.read_conversations(spark, str(tmp_path / "md"), "none").count() == 0
