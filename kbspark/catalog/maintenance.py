@@ -161,6 +161,13 @@ def g7(spark, d):
     return M.mark_sources_deleted(view(spark, d, "v_chat_message"), codes).select("id", "sources")
 
 
+@register("g7_messages_citing", """SELECT id, session_id FROM v_chat_message WHERE json_extract_string(sources, '$[0].docCode') IN (SELECT doc_code FROM v_document_info WHERE status = 'FAILED')
+  OR json_extract_string(sources, '$[1].docCode') IN (SELECT doc_code FROM v_document_info WHERE status = 'FAILED')""", "v_chat_message v_document_info")
+def g7_citing(spark, d):
+    codes = view(spark, d, "v_document_info").filter("status = 'FAILED'")
+    return M.messages_citing(view(spark, d, "v_chat_message"), codes).select("id", "session_id")
+
+
 @register("g8_backfill_stored_name", r"""SELECT doc_code, CASE WHEN coalesce(stored_file_name, '') = '' AND file_name LIKE '%.%' THEN doc_code || '.' || regexp_extract(file_name, '([^.]*)$', 1)
   ELSE stored_file_name END AS stored_file_name FROM v_document_info""", "v_document_info")
 def g8(spark, d):

@@ -168,6 +168,15 @@ def w6(spark, d):
     return U.quota_ledger(view(spark, d, "v_quota_log")).select("id", "api_key_id", "type", "amount_cents", "accepted", "balance_cents")
 
 
+@register("w6_quota_history", """SELECT id, type, amount_cents, created_time FROM v_quota_log WHERE api_key_id = (SELECT min(o_custkey) FROM orders)
+  ORDER BY created_time DESC, id DESC LIMIT 20""", "v_quota_log")
+def w6_history(spark, d):
+    """Quota changes of one key, newest first, a page."""
+    log = view(spark, d, "v_quota_log")
+    key = log.agg(F.min("api_key_id")).first()[0]
+    return U.ledger_page(log, key, 20).select("id", "type", "amount_cents", "created_time")
+
+
 @register("g12_ensure_summary", f"WITH {SUMMARY} SELECT api_key_id, total_calls, total_tokens FROM summary", USAGE)
 def g12(spark, d):
     empty = _summary(spark, d).limit(0)

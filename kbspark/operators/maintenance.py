@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import scalars
 from kbspark.operators import ordered
+from kbspark.session import cut_lineage
 
 SOURCES_SCHEMA = ("array<struct<fileName:string,title:string,docCode:string,tenantCode:string,chunkIndex:string,"
                   "pageNumber:string,titleHierarchy:string,content:string,deleted:boolean>>")
@@ -128,25 +129,29 @@ def exclusive_entities(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
             .filter(F.col("doc_code") == F.col("__other")).select("entity_name", "doc_code"))
 
 
-def entities_only_in(codes: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Entities that only the documents in ``codes`` mention: they vanish when all of these go."""
-    gone = codes.select("doc_code", F.lit(1).alias("__gone")).distinct()
-    docs = mentions.join(chunks.select("chunk_id", "doc_code"), "chunk_id").join(gone, "doc_code", "left")
-    return (docs.groupBy("entity_name").agg(F.count(F.lit(1)).alias("__n"), F.sum("__gone").alias("__g"))
-            .filter(F.col("__n") == F.col("__g")).select("entity_name"))
+def entities_only_in(dead_chunks: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Entities that only the chunks in ``dead_chunks`` mention: they vanish when all of these go. Mentions of unknown chunks don't count.
+
+    Only entities that a dead chunk mentions are counted over all mentions.
+    """
+    lost = mentions.join(dead_chunks, "chunk_id", "left_semi").groupBy("entity_name").agg(F.count(F.lit(1)).alias("__lost"))
+    of_them = mentions.join(lost.select("entity_name"), "entity_name", "left_semi").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    total = of_them.groupBy("entity_name").agg(F.count(F.lit(1)).alias("__n"))
+    return total.join(lost, "entity_name").filter(F.col("__n") == F.col("__lost")).select("entity_name")
 
 
 def clean_graph(codes: DataFrame, chunks: DataFrame, mentions: DataFrame, entities: DataFrame,
                 relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Chunks, mentions, entities and relations without the documents in ``codes``."""
-    dead_entities = entities_only_in(codes, mentions, chunks)
-    dead_chunks = chunks.join(codes.select("doc_code").distinct(), "doc_code", "left_semi").select("chunk_id")
-    return (chunks.join(codes.select("doc_code").distinct(), "doc_code", "left_anti"),
-            mentions.join(dead_chunks, "chunk_id", "left_anti"),
-            entities.join(dead_entities.withColumnRenamed("entity_name", "name"), "name", "left_anti"),
-            relations.join(dead_entities.withColumnRenamed("entity_name", "src"), "src", "left_anti")
-            .join(dead_entities.withColumnRenamed("entity_name", "dst"), "dst", "left_anti")
-            .select(*relations.columns))
+    """Chunks, mentions, entities and relations without the documents in ``codes``.
+
+    What goes is found once and written; each table then loses it by anti-joins with those few ids.
+    """
+    gone = cut_lineage(codes.select("doc_code").distinct())
+    dead_chunks = cut_lineage(chunks.join(gone, "doc_code", "left_semi").select("chunk_id"))
+    dead = cut_lineage(entities_only_in(dead_chunks, mentions, chunks))
+    ends = [dead.withColumnRenamed("entity_name", c) for c in ("name", "src", "dst")]
+    return (chunks.join(gone, "doc_code", "left_anti"), mentions.join(dead_chunks, "chunk_id", "left_anti"), entities.join(ends[0], "name", "left_anti"),
+            relations.join(ends[1], "src", "left_anti").join(ends[2], "dst", "left_anti").select(*relations.columns))
 
 
 def cascade_delete(codes: DataFrame, documents: DataFrame, chunks: DataFrame, mentions: DataFrame, entities: DataFrame,
@@ -156,6 +161,12 @@ def cascade_delete(codes: DataFrame, documents: DataFrame, chunks: DataFrame, me
             *clean_graph(codes, chunks, mentions, entities, relations))
 
 
+def messages_citing(messages: DataFrame, codes: DataFrame, key: str = "id") -> DataFrame:
+    """Messages that cite any of the documents in ``codes``, each once."""
+    cited = messages.select(key, F.explode(F.from_json("sources", SOURCES_SCHEMA)).alias("s")).select(key, F.col("s.docCode").alias("doc_code"))
+    return messages.join(cited.join(codes.select("doc_code").distinct(), "doc_code", "left_semi").select(key).distinct(), key, "left_semi")
+
+
 def mark_sources_deleted(messages: DataFrame, codes: DataFrame, key: str = "id") -> DataFrame:
     """Cited sources of deleted documents get deleted=true; other messages pass unchanged.
 

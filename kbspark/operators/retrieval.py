@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from kbspark.functions.text import topics_overlap
 from kbspark.operators.paging import own_tenant_first
+from kbspark.session import cut_lineage
 
 HIT_SCHEMA = "query_id bigint, query_pos int, chunk_id string, score double"
 # Query vectors held by every task of the single-pass plan: 32 MB at most.
@@ -51,8 +52,20 @@ def _group_keys(q: pd.DataFrame) -> dict[tuple[str, str], np.ndarray]:
     return {k: np.asarray(v) for k, v in q.groupby(["tenant_code", "system_type"], sort=True).indices.items()}
 
 
-def _visible_chunks(chunks: DataFrame) -> DataFrame:
-    return (chunks.filter(F.col("enabled") & (F.col("status") == "SUCCESS") & F.col("embedding").isNotNull())
+def fits(dim: int, vector: str = "embedding") -> Column:
+    """Whether a vector can be compared: of ``dim`` components, all of them numbers."""
+    return F.coalesce((F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)), F.lit(False))
+
+
+def rejected_vectors(rows: DataFrame, dim: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """(key, reason) of rows that recall leaves out because their vector can't be compared."""
+    reason = (F.when(F.col(vector).isNull(), "no vector").when(F.size(vector) != dim, F.concat(F.lit(f"not of {dim} components but "), F.size(vector).cast("string")))
+              .otherwise("component is null or not a number"))
+    return rows.filter(~fits(dim, vector)).select(key, reason.alias("reason"))
+
+
+def _visible_chunks(chunks: DataFrame, dim: int) -> DataFrame:
+    return (chunks.filter(F.col("enabled") & (F.col("status") == "SUCCESS") & fits(dim))
             .select("chunk_id", "tenant_code", "system_type", F.col("embedding").cast("array<float>").alias("embedding")))
 
 
@@ -65,14 +78,17 @@ def vector_recall(chunks: DataFrame, queries: DataFrame, k: int = 20, min_score:
     Query vectors whose counted size is below ``broadcast_bytes`` go to every
     task and the chunks are read once without a shuffle. More queries than
     that take the blocked plan, where no task holds more than one block of
-    either side. Both send on at most k rows per query and task.
+    either side. Both send on at most k rows per query and task. Vectors of another length than the
+    longest query's, and those with a null or not-a-number component, are left out; ``rejected_vectors`` lists them.
     """
-    dim_row = queries.agg(F.max(F.size("embedding")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    n, dim = int(dim_row["n"] or 0), int(dim_row["dim"] or 0)
-    visible = _visible_chunks(chunks)
     cols = [F.col("query_id").cast("bigint").alias("query_id"), F.col("query_pos").cast("int").alias("query_pos"),
             "tenant_code", "system_type", F.col("embedding").cast("array<double>").alias("embedding")]
-    queries = queries.select(*cols)
+    # an embedder or a plan behind the vectors runs once
+    queries = cut_lineage(queries.select(*cols))
+    dim_row = queries.agg(F.max(F.size("embedding")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
+    n, dim = int(dim_row["n"] or 0), int(dim_row["dim"] or 0)
+    queries = queries.filter(fits(dim))
+    visible = _visible_chunks(chunks, dim)
     if n * max(dim, 1) * 8 <= broadcast_bytes:
         hits = _single_pass(visible, queries, dim, k, min_score, scale, scope)
     else:

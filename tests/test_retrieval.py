@@ -50,11 +50,16 @@ def test_recall_equals_brute_force(spark, scope, limit, monkeypatch):
     assert got == brute(ch, qs, 6, scope)
 
 
-def test_wrong_dimension_is_an_error(spark):
+@pytest.mark.parametrize("size", [0, 1 << 30])
+def test_vectors_that_cannot_be_compared_are_listed(spark, size):
+    """A wrong vector neither ends the job nor changes the others' hits; it is returned with a reason."""
     ch, qs = data(spark, 5, 1)
-    ch.append(("bad", "0", "s0", True, "SUCCESS", [1.0, 2.0]))
-    with pytest.raises(Exception, match="dimension"):
-        R.vector_recall(spark.createDataFrame(ch, CH), spark.createDataFrame(qs, QU)).count()
+    n = len(ch[0][5])
+    odd = [("bad", "0", "s0", True, "SUCCESS", [1.0, 2.0]), ("nan", "0", "s0", True, "SUCCESS", [float("nan")] * n), ("none", "0", "s0", True, "SUCCESS", None)]
+    hits = lambda rows: sorted(map(tuple, R.vector_recall(spark.createDataFrame(rows, CH), spark.createDataFrame(qs, QU), broadcast_bytes=size).collect()))
+    assert hits(ch + odd) == hits(ch)
+    got = {r["chunk_id"]: r["reason"] for r in R.rejected_vectors(spark.createDataFrame(ch + odd, CH), n).collect()}
+    assert got == {"bad": f"not of {n} components but 2", "nan": "component is null or not a number", "none": "no vector"}
 
 
 def test_topic_rule(spark):
