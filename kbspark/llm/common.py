@@ -30,6 +30,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_text(df: DataFrame, text: str, *drop: str) -> DataFrame:
+    """``df`` without the columns ``drop``, and its text once more as the last column, under a name that no column has."""
+    kept = df.drop(*drop)
+    return kept.withColumn(free(df, "text"), df[text])
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name`` with underscores before it, so many that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while (name := "_" + name) in taken:
+        pass
+    return name
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows of the held-out fold; a row without id belongs to neither fold's remainder and counts as held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))

@@ -26,6 +26,8 @@ from kbspark.llm.components import components
 
 #: Shingles of five words; linked when 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
+#: Bytes of text that are cut into shingles at once; it bounds the arrays of a task.
+SLICE = 1 << 20
 #: Shingles known as frequent, which only orders them; the number bounds what every task receives.
 FREQUENT = 1 << 17
 #: Entries of a list that meet in one group; longer lists are cut, and their parts meet in pairs.
@@ -91,13 +93,47 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _fresh(ids: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Marks the first of each id that is not in ``seen``, and adds all ids to it."""
-    out = np.zeros(len(ids), bool)
-    out[np.unique(ids, return_index=True)[1]] = True
-    out &= np.array([x not in seen for x in ids.tolist()], bool)
-    seen.update(ids.tolist())
-    return out
+class Seen:
+    """Sorted numbers met before, at most ``most``; beyond that it starts anew, so a number may count as new again."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.known, self.most = np.zeros(0, np.int64), most
+
+    def fresh(self, ids: np.ndarray) -> np.ndarray:
+        """Marks the first of each id that was not met, and keeps all."""
+        names, first = np.unique(ids, return_index=True)
+        at = np.searchsorted(self.known, names)
+        new = np.append(self.known, 0)[at] != names if len(self.known) else np.ones(len(names), bool)
+        new |= at == len(self.known)
+        out = np.zeros(len(ids), bool)
+        out[first[new]] = True
+        self.known = np.insert(self.known, at[new], names[new]) if len(self.known) + int(new.sum()) <= self.most else names
+        return out
+
+
+class Repeats:
+    """Shingles that several sets of a stream hold, with bounded memory: a bit table tells those met before, as a rule; counts are handed out as they gather."""
+
+    def __init__(self, bits: int = 25, gather: int = 1 << 17):
+        self.mask, self.table, self.found, self.gather, self.size = np.uint64((1 << bits) - 1), np.zeros(1 << (bits - 3), np.uint8), [], gather, 0
+
+    def add(self, h: np.ndarray) -> None:
+        shingle, sets = np.unique(h, return_counts=True)
+        at = (shingle & self.mask).astype(np.int64)
+        bit = np.uint8(1) << (at & 7).astype(np.uint8)
+        again = (self.table[at >> 3] & bit > 0) | (sets > 1)
+        np.bitwise_or.at(self.table, at >> 3, bit)
+        self.found.append((shingle[again], sets[again]))
+        self.size += int(again.sum())
+
+    def take(self, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles and numbers of sets, once there are enough or at the end; a first set that was alone when it came isn't counted."""
+        if not last and self.size < self.gather:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        names, at = np.unique(np.concatenate([x for x, _ in self.found] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        sets = np.bincount(at, np.concatenate([n for _, n in self.found] or [np.zeros(0)]), len(names)).astype(np.int64)
+        self.found, self.size = [], 0
+        return names.view(np.int64), sets
 
 
 def prefix_length(size: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -116,23 +152,27 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     rows = rows.withColumn("row_id", F.xxhash64("doc_id", "text"))  # names rows without key too
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each document, with parity bits for each new set of a batch, and counts of shingles that several sets of a batch hold."""
+        """A row for each document, with parity bits for each new set, and counts of shingles that several sets of a task hold."""
         names = ["doc_id", "row_id", "n", "set_id", "bits", "shingle", "sets"]
+        seen, repeats = Seen(), Repeats()
+
+        def counts(last: bool) -> Iterator[pa.RecordBatch]:
+            shingle, sets = repeats.take(last)
+            if len(shingle):
+                none = pa.nulls(len(shingle), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(shingle), pa.binary()), pa.array(shingle), pa.array(sets)], names)
+
         for b in batches:
-            texts = C.strings(b.column(1))
-            seen, found = set(), []
-            for i, j in C.slices(texts):
-                h, bound = shingle_sets(texts[i:j])
+            for i, j, texts in C.text_slices(b.column(1), SLICE):
+                h, bound = shingle_sets(texts)
                 ids, size = _set_ids(h, bound), np.diff(bound)
                 none = pa.nulls(j - i, pa.int64())
-                fresh = _fresh(ids, seen)
+                fresh = seen.fresh(ids)
                 bits = pa.array([x if new else None for x, new in zip(parity_bits(h, bound), (fresh & (size > 0)).tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(size, pa.int64()), pa.array(ids), bits, none, none], names)
-                found.append(h[np.repeat(fresh, size)])
-            shingle, sets = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            shingle, sets = shingle[sets > 1].view(np.int64), sets[sets > 1]
-            none = pa.nulls(len(shingle), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(shingle), pa.binary()), pa.array(shingle), pa.array(sets, pa.int64())], names)
+                repeats.add(h[np.repeat(fresh, size)])
+                yield from counts(False)
+        yield from counts(True)
 
     both = C.written(rows.mapInArrow(members, "doc_id bigint, row_id bigint, n bigint, set_id bigint, bits binary, shingle bigint, sets bigint"), "jaccard-members")
     member = both.filter("set_id IS NOT NULL").select("doc_id", "row_id", "n", "set_id")
@@ -147,15 +187,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Indexed shingles of each batch's distinct sets, as one row of packed entries for each bucket."""
-        seen: set[int] = set()
+        seen = Seen()  # copies that slip through meet in the index
         for b in batches:
-            texts = C.strings(b.column(0))
-            for i, j in C.slices(texts, 1 << 22):
-                h, bound = shingle_sets(texts[i:j])
+            for _, _, texts in C.text_slices(b.column(0), SLICE):
+                h, bound = shingle_sets(texts)
                 size, ids = np.diff(bound), _set_ids(h, bound)
-                if len(seen) > 1_000_000:  # copies that slip through meet in the index
-                    seen.clear()
-                use = _fresh(ids, seen) & (size > 0)
+                use = seen.fresh(ids) & (size > 0)
                 owner = np.repeat(np.arange(len(ids)), size)
                 keep = use[owner]
                 h, owner = h[keep], owner[keep]
@@ -352,9 +389,9 @@ def _verified(rows: DataFrame, member: DataFrame, pairs: DataFrame, percent: int
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, ids = C.strings(b.column(1)), b.column(0).to_numpy()
-            for i, j in C.slices(texts):
-                h, bound = shingle_sets(texts[i:j])
+            ids = b.column(0).to_numpy()
+            for i, j, texts in C.text_slices(b.column(1), SLICE):
+                h, bound = shingle_sets(texts)
                 same = _set_ids(h, bound) == ids[i:j]  # two rows may agree in their hash
                 packed = [h[x:y].tobytes() for x, y in zip(bound[:-1][same], bound[1:][same])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][same]), pa.array(packed, pa.binary())], ["set_id", "shingles"])
