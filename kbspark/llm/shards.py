@@ -13,6 +13,8 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kbspark.llm import common as C
+
 #: Logical partitions: one for each so many rows, and at most so many (the matrix is drawn in the driver).
 ROWS_PER_PART, MOST_PARTS = 20_000, 1 << 14
 
@@ -71,24 +73,25 @@ def shard(rows: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "t
     and texts are hashed as such. An empty table gives an empty one. The windows hold a logical partition or a part of a shard, never a whole shard.
     """
     spark = rows.sparkSession
-    base = rows.drop("shard", "slot").withColumn("__k", F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
+    k, part, ends, rank, place, offset = (C.free(rows, x) for x in ("k", "part", "ends", "rank", "slot", "offset"))
+    base = rows.drop("shard", "slot").withColumn(k, F.xxhash64(F.lit(seed), rows[key], rows[text]))
     n = rows.count()
     many = min(max(1, n // ROWS_PER_PART), MOST_PARTS)
-    base = base.withColumn("__part", F.pmod(F.xxhash64("__k", F.lit(1)), F.lit(many)).cast("int"))
-    counts = {r[0]: r[1] for r in base.groupBy("__part").count().collect()}  # one row for each logical partition
+    base = base.withColumn(part, F.pmod(F.xxhash64(k, F.lit(1)), F.lit(many)).cast("int"))
+    counts = {r[0]: r[1] for r in base.groupBy(part).count().collect()}  # one row for each logical partition
     matrix = communication_matrix([counts.get(p, 0) for p in range(many)], shards, seed)
     # where each shard's run ends in a partition's random order: one number a shard for each logical partition
-    ends_of = spark.createDataFrame([(p, [sum(row[:s + 1]) for s in range(shards)]) for p, row in enumerate(matrix)], "__part int, __ends array<bigint>")
-    local = Window.partitionBy("__part").orderBy(F.xxhash64("__k", F.lit(2)), "__k")
-    dealt = (base.withColumn("__rank", F.row_number().over(local) - 1).join(ends_of, "__part")
-             .withColumn("shard", F.size(F.filter("__ends", lambda e: e <= F.col("__rank")))).drop("__ends", "__rank", "__part"))
+    ends_of = spark.createDataFrame([(p, [sum(row[:s + 1]) for s in range(shards)]) for p, row in enumerate(matrix)], f"{part} int, {ends} array<bigint>")
+    local = Window.partitionBy(part).orderBy(F.xxhash64(k, F.lit(2)), k)
+    dealt = (base.withColumn(rank, F.row_number().over(local) - 1).join(ends_of, part)
+             .withColumn("shard", F.size(F.filter(ends, lambda e: e <= F.col(rank)))).drop(ends, rank, part))
     # second permutation: random parts of each shard, random order in each part
     parts = min(max(1, n // shards // ROWS_PER_PART), MOST_PARTS)
-    dealt = dealt.withColumn("__part", F.pmod(F.xxhash64("__k", F.lit(3)), F.lit(parts)).cast("int"))
-    sizes = dealt.groupBy("shard", "__part").count()
-    before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__offset"))
-    inner = Window.partitionBy("shard", "__part").orderBy(F.xxhash64("__k", F.lit(4)), "__k")
-    return (dealt.withColumn("__slot", F.row_number().over(inner) - 1).join(offsets, ["shard", "__part"])
-            .withColumn("slot", (F.col("__slot") + F.col("__offset")).cast("int"))
+    dealt = dealt.withColumn(part, F.pmod(F.xxhash64(k, F.lit(3)), F.lit(parts)).cast("int"))
+    sizes = dealt.groupBy("shard", part).count()
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("shard", part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(offset))
+    inner = Window.partitionBy("shard", part).orderBy(F.xxhash64(k, F.lit(4)), k)
+    return (dealt.withColumn(place, F.row_number().over(inner) - 1).join(offsets, ["shard", part])
+            .withColumn("slot", (F.col(place) + F.col(offset)).cast("bigint"))
             .select(*[c for c in rows.columns if c not in ("shard", "slot")], "shard", "slot"))
