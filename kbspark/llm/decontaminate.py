@@ -51,6 +51,14 @@ def grams(w: np.ndarray, n: int) -> np.ndarray:
     return C.mix(sum(w[k:len(w) - n + 1 + k] * FACTORS[k] for k in range(n)))
 
 
+def sequences(w: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each place on."""
+    h = np.zeros(max(len(w) - n + 1, 0), np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9FB21C651E98DF25) + w[k:k + len(h)]
+    return C.mix(h + np.uint64(n))
+
+
 def parts(w: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of question and answer: cut behind the last question mark, or after two thirds of the words where there is none inside."""
     total = int(marks[-1]) if len(marks) else 0
@@ -65,16 +73,20 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str], min_words: int):
         w, first, marks = words(texts)
-        self.items, segments = [], []
+        self.items, segments, short = [], [], {}
         for i, item in enumerate(ids):
             own = w[first[i]:first[i + 1]]
             if len(own) < min_words:
+                if len(own):
+                    short.setdefault(len(own), []).append((int(sequences(own, len(own))[0]), item))
                 continue
             m = marks[first[i]:first[i + 1]]
             question, answer = parts(own, m - (m[0] if m[0] and first[i] == 0 else (marks[first[i] - 1] if first[i] else 0)))
             runs = [np.unique(grams(x, min(3, len(x)))) for x in (question, answer)]
             self.items.append((item, len(own), min(3, len(question)), runs[0], min(3, len(answer)), runs[1]))
             segments += [(len(self.items) - 1, x) for x in np.array_split(own, -(-len(own) // SEGMENT))]
+        # items too short for a score are looked for word by word: hashes of their sequences, and their ids, by number of words
+        self.short = {n: (np.array([h for h, _ in x], np.uint64), [i for _, i in x]) for n, x in ((n, sorted(x)) for n, x in short.items())}
         self.blocks = []
         n = len(segments)
         if not n:
@@ -153,7 +165,14 @@ class Index:
                         verified = self._overlaps(item, around)
                         if min(verified) >= overlap:
                             found[t, item] = (float(scores[i, e]), *verified)
-        return [(t, self.items[i][0], *rest) for (t, i), rest in found.items()]
+        out = {(t, self.items[i][0]): rest for (t, i), rest in found.items()}
+        for n, (hashes, ids) in self.short.items():
+            h = sequences(w, n)
+            begin, end = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            inside = (place[:len(h)] + n <= count[owner[:len(h)]]) & (end > begin)
+            for at in np.flatnonzero(inside).tolist():
+                out |= {(int(owner[at]), i): (1.0, 1.0, 1.0) for i in ids[begin[at]:end[at]]}
+        return [(*k, *rest) for k, rest in out.items()]
 
     def _overlaps(self, item: int, around: np.ndarray) -> tuple[float, float]:
         _, _, nq, question, na, answer = self.items[item]
@@ -174,13 +193,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
             threshold: float = 0.7, overlap: float = 0.6, min_words: int = 8) -> DataFrame:
     """(key, ``item_id``, ``score``, ``question_overlap``, ``answer_overlap``): a row for each benchmark item in each document.
 
-    ``score`` is the BM25 score of the best passage as a share of the segment's own. Null and empty texts match nothing; items without
-    id or text, or of fewer than ``min_words`` words, are no evidence and are left out. Repeated documents match as often.
+    The key column is called ``doc_id`` where the documents' key is ``item_id``. ``score`` is the BM25 score of the best passage as a share of the segment's own. Null and empty texts match nothing; items without
+    id, text or any word are left out. An item of fewer than ``min_words`` words is found where all its words stand in sequence, with 1.0 in the three last columns. Repeated documents match as often.
     """
     out = None
-    schema = f"{key} bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    names = [key, "item_id", "score", "question_overlap", "answer_overlap"]
     rows = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    key = "doc_id" if key == "item_id" else key
+    schema = f"`{key}` bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
+    names = [key, "item_id", "score", "question_overlap", "answer_overlap"]
     for index in _indexes(benchmark, item, item_text, min_words):
         def kernel(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -208,5 +228,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                     clean[[i + x[0] for x in index.search(texts[i:j], threshold, overlap)]] = False
                 yield b.filter(pa.array(clean)).select(range(b.num_columns - 1))
 
-        docs = docs.withColumn("__text", F.col(text)).mapInArrow(kernel, docs.schema)
+        docs = C.with_text(docs, text).mapInArrow(kernel, docs.schema)
     return docs
