@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint")
             for i, j in C.slices(texts):
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], pa.array(encode(*sketches(texts[i:j])), pa.string())], names)
 
-    return kept.withColumn("__text", F.col(text)).mapInArrow(kernel, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
+    return C.with_text(docs, text, out).mapInArrow(kernel, T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def _cuts(docs: DataFrame, key: str, rows: int) -> tuple[np.ndarray, int | None]:

@@ -46,7 +46,7 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
 def balance(cells: DataFrame, goals: DataFrame, iterations: int = 60) -> DataFrame:
     """(source, lambda) from (source, x, size, n) and (source, target, source_size): Newton steps on the dual of every source at once.
 
-    A step is the gap in words over the slope, held back to 4; it stops when every gap is below a ten-thousandth of its target.
+    A step is the gap in words over the slope, held back to 4; it stops when every gap is below a ten-thousandth of its target, and raises if none of ``iterations`` steps gets there.
     A source at its cap takes all rates as 2 and one without words or target all as 0; neither takes part.
     """
     goals = goals.filter((F.col("target") > 0) & (F.col("target") < MOST * F.col("source_size") * (1 - 1e-9)))
@@ -63,7 +63,9 @@ def balance(cells: DataFrame, goals: DataFrame, iterations: int = 60) -> DataFra
         worst = new.agg(F.max("gap")).first()[0]
         now = new.drop("gap")
         if worst is None or worst < 1e-4:
-            break
+            return now.select("source", "lambda")
+    if goals.count():
+        raise RuntimeError(f"the mix is off by {worst:.2g} of a target after {iterations} steps")
     return now.select("source", "lambda")
 
 

@@ -134,4 +134,4 @@ def score(docs: DataFrame, m: ToxicityModel, text: str = "text", threshold: floa
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names)
 
     fields = [*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return kept.withColumn("__text", F.col(text)).mapInArrow(kernel, T.StructType(fields))
+    return C.with_text(docs, text, "score", "predicted").mapInArrow(kernel, T.StructType(fields))
