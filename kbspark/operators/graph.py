@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -155,7 +156,7 @@ def build_graph(chunks: DataFrame, extractor: Extractor | None = None, cap: int
 # --- multi-hop retrieval --------------------------------------------------------------------------
 
 def reachable(relations: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
-    """(e1, e2): for each ``e1`` of ``starts`` the first ``limit`` entities (by name) one or two directed steps away, no edge used twice in a path.
+    """(e1, targets): for each ``e1`` of ``starts`` the first ``limit`` entities (by name, in order) one or two directed steps away, no edge used twice in a path.
 
     Only edges of entities that the search has reached are kept, by a semi-join for each step. Exact under the limit: a middle node adds its
     first ``limit + 1`` targets at most, since one of them (the edge just walked, a self loop) may be barred. So a hub adds edges x limit
@@ -171,7 +172,8 @@ def reachable(relations: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
               .filter(~((F.col("e1") == F.col("mid")) & (F.col("mid") == F.col("e2")))).select("e1", "e2"))
     both = first.select(F.col("src").alias("e1"), F.col("dst").alias("e2")).unionByName(second).distinct()
     w1 = Window.partitionBy("e1").orderBy("e2")
-    return both.withColumn("r", F.row_number().over(w1)).filter(F.col("r") <= limit).drop("r")
+    return (both.withColumn("r", F.row_number().over(w1)).filter(F.col("r") <= limit)
+            .groupBy("e1").agg(F.array_sort(F.collect_list("e2")).alias("targets")))
 
 
 def first_other_texts(asked: DataFrame, live: DataFrame, mentions: DataFrame, limit: int) -> DataFrame:
@@ -190,6 +192,10 @@ def first_other_texts(asked: DataFrame, live: DataFrame, mentions: DataFrame, li
             .groupBy("e2", "scope").agg(F.array_sort(F.collect_list(F.struct("other_id", "text_id"))).alias("others")))
 
 
+# Steps of each question that are tried before the rest.
+FIRST_STEPS = 6
+
+
 def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relations: DataFrame, limit: int = 30) -> DataFrame:
     """Paths seed chunk -> entity -> entity (1-2 steps) -> other chunk, first ``limit`` per question.
 
@@ -197,11 +203,12 @@ def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relation
     (seed id, entity1, entity2, other id). The search goes outward from the seeds: each step meets only the mentions, edges and chunk headers of
     what it has reached, and keeps only what can still be among the first ``limit`` rows of a question: each kept prefix yields one row or more, so
     the cuts are exact and no step grows with the size of a hub. Texts are told apart by the column ``text_id`` of a chunk store
-    (by their SHA-256 where ``chunks`` has none) and fetched at the end, by the ids of the rows that remain.
+    (by two hashes where ``chunks`` has none) and fetched at the end, by the ids of the rows that remain.
     """
     t, s = F.col("t"), F.col("s")
     seen = ((t == "0") | ((F.col("tenant_code") == t) & (F.col("system_type") == s)) | (F.col("tenant_code") == "0"))
-    text_id = F.col("text_id") if "text_id" in chunks.columns else F.sha2(F.col("content").cast("binary"), 256)
+    # two hashes of the text with other seeds: 128 bits
+    text_id = F.col("text_id") if "text_id" in chunks.columns else F.struct(F.xxhash64("content").alias("a"), F.xxhash64(F.lit(1), "content").alias("b"))
     live = chunks.filter("enabled").select("chunk_id", "tenant_code", "system_type", text_id.alias("text_id"))
     q = seeds.select("query_id", "chunk_id", F.col("tenant_code").alias("t"), F.col("system_type").alias("s"))
     starts = (q.join(live, "chunk_id").filter(seen).select("query_id", "t", "s", "chunk_id", "text_id")
@@ -209,27 +216,40 @@ def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relation
               .groupBy("query_id", "t", "s", "text_id", "e1").agg(F.min("chunk_id").alias("source_id")))
     per_q = Window.partitionBy("query_id").orderBy("source_id", "e1", "text_id")
     # the frontier after each step is written: the next step reads it twice, and what led to it isn't computed again
-    starts = cut_lineage(starts.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= limit).drop("r"))
-    steps = starts.join(reachable(relations, starts, limit), "e1", "left")
-    per_step = Window.partitionBy("query_id").orderBy("source_id", "e1", "text_id", F.col("e2").asc_nulls_first())
+    starts = cut_lineage(starts.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= limit).drop("text_id"))
+    # a start makes a step for each target, one at least; starts behind the first ``limit`` steps are not followed
+    sized = starts.join(reachable(relations, starts, limit), "e1", "left").withColumn("n", F.greatest(F.lit(1), F.coalesce(F.size("targets"), F.lit(0))))
+    in_order = Window.partitionBy("query_id").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)).cast("int")).filter(F.col("before") < limit)
     scopes = F.when(t == "0", F.array(F.lit("all"))).otherwise(F.array(F.concat_ws("|", F.lit("own"), t, s), F.lit("global")))
-    steps = cut_lineage(steps.withColumn("step", F.row_number().over(per_step)).filter(F.col("step") <= limit).withColumn("scopes", scopes))
-
-    # A step yields at least as many rows as its larger list has texts, and one at least;
-    # what earlier steps surely yield need not be filled again. Only the sizes of the lists
-    # are joined to decide this, the lists themselves to the few steps that remain.
-    asked = steps.filter("e2 IS NOT NULL").select("e2", F.explode("scopes").alias("scope")).distinct()
-    lists = cut_lineage(first_other_texts(asked, live, mentions, limit))
-    each = steps.select("query_id", "step", "e2", F.explode("scopes").alias("scope"))
-    sized = (each.join(lists.select("e2", "scope", F.size("others").alias("n")), ["e2", "scope"], "left")
-             .groupBy("query_id", "step").agg(F.greatest(F.lit(1), F.coalesce(F.max("n"), F.lit(0))).alias("sure")))
-    before = Window.partitionBy("query_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    needed = (sized.withColumn("room", F.lit(limit) - F.coalesce(F.sum("sure").over(before), F.lit(0)).cast("int")).filter("room > 0")
-              .select("query_id", "step", "room"))
-    others = (each.join(needed, ["query_id", "step"]).join(lists, ["e2", "scope"])
-              .select("query_id", "step", F.explode(F.expr("slice(others, 1, room)")).alias("o"))
-              .groupBy("query_id", "step", "o.text_id").agg(F.min("o.other_id").alias("other_id")).drop("text_id"))
-    rows = steps.join(needed, ["query_id", "step"]).select("query_id", "step", "source_id", "e1", "e2").join(others, ["query_id", "step"], "left")
+    steps = cut_lineage(sized.select("query_id", "source_id", "e1", "before", scopes.alias("scopes"), F.posexplode_outer("targets").alias("at", "e2"))
+                        .withColumn("step", F.col("before") + F.coalesce("at", F.lit(0)) + 1).filter(F.col("step") <= limit).drop("before", "at"))
+
+    # A step yields at least as many rows as its larger list has texts, and one at least; what earlier steps
+    # surely yield need not be filled again. The first few steps fill most questions; only the others look at more. The sizes
+    # of the lists decide this, the lists themselves meet only the steps that remain.
+    found, have = [], None
+    for low, high in ((0, min(FIRST_STEPS, limit)), (FIRST_STEPS, limit)):
+        if low >= high:
+            break
+        some = steps.filter((F.col("step") > low) & (F.col("step") <= high))
+        if have is not None:
+            some = some.join(have.filter(F.col("have") < limit), "query_id")
+        else:
+            some = some.withColumn("have", F.lit(0).cast("bigint"))
+        each = some.filter("e2 IS NOT NULL").select("query_id", "step", "e2", F.explode("scopes").alias("scope"))
+        lists = cut_lineage(first_other_texts(each.select("e2", "scope").distinct(), live, mentions, limit))
+        sizes = each.join(lists.select("e2", "scope", F.size("others").alias("n")), ["e2", "scope"]).groupBy("query_id", "step").agg(F.max("n").alias("n"))
+        before = Window.partitionBy("query_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+        sure = some.join(sizes, ["query_id", "step"], "left").withColumn("n", F.greatest(F.lit(1), F.coalesce("n", F.lit(0))))
+        needed = cut_lineage(sure.withColumn("room", (F.lit(limit) - F.col("have") - F.coalesce(F.sum("n").over(before), F.lit(0))).cast("int"))
+                             .filter("room > 0").select("query_id", "step", "source_id", "e1", "e2", "scopes", "room", "n", "have"))
+        others = (needed.select("query_id", "step", "e2", "room", F.explode("scopes").alias("scope")).join(lists, ["e2", "scope"])
+                  .select("query_id", "step", F.explode(F.expr("slice(others, 1, room)")).alias("o"))
+                  .groupBy("query_id", "step", "o.text_id").agg(F.min("o.other_id").alias("other_id")).drop("text_id"))
+        found.append(needed.select("query_id", "step", "source_id", "e1", "e2").join(others, ["query_id", "step"], "left"))
+        have = needed.groupBy("query_id").agg((F.max("have") + F.sum("n")).alias("have"))
+    rows = reduce(DataFrame.unionByName, found)
     w = Window.partitionBy("query_id").orderBy("step", F.col("other_id").asc_nulls_first())
     rows = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     # the only place where texts are read: both ids of a row meet the chunks in one join
