@@ -69,13 +69,14 @@ def _ngrams(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[np.
             yield np.where(at + n - 1 <= last, (spread >> np.uint32(16))[at], BUCKETS)
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 4000, switch: float = 12.0) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 4000, switch: float = 12.0, most_languages: int = 200) -> LanguageModel:
     """Learns from about ``docs_per_language`` documents of each language (the documented bound), chosen by the hash of the text.
 
-    Rows without text or language teach nothing. No rows give a model without languages, which answers ``und``.
+    Of more than ``most_languages`` values of ``lang`` those with the most documents are learned. Rows without text or language teach nothing. No rows give a model without languages, which answers ``und``.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r[0]: r[1] for r in labelled.filter(F.col(lang).isNotNull()).groupBy(F.col(lang)).count().collect()}
+    counts = {r[0]: r[1] for r in 
+              labelled.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     languages = tuple(sorted(counts))
     L = len(languages)
     if not L:
@@ -109,15 +110,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", docs_per_la
     return LanguageModel(languages, np.ascontiguousarray(table.T.astype(np.float32)), np.ascontiguousarray((writes & (letters > 0)).T), switch)
 
 
-def word_scores(m: LanguageModel, cp: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Score of each word by language: candidates by script, then the mean over orders of the summed n-gram scores."""
+def word_scores(m: LanguageModel, cp: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score of each word by language: candidates by script, then the mean over orders of the summed n-gram scores; and whether any language writes its script."""
     size = end - begin + 1
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
     total = sum(m.table[g] for g in _ngrams(low, begin, end))
     scores = np.add.reduceat(total, at, axis=0) / np.float32(len(ORDERS))
     may = m.writes[C.per_code_point(cp[begin], _script, np.uint8)]
     known = may.any(axis=1, keepdims=True)
-    return np.where(known, np.where(may, scores, FAR), np.float32(0))
+    return np.where(known, np.where(may, scores, FAR), np.float32(0)), known[:, 0]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, switch: float, chunk: int = 64) -> np.ndarray:
@@ -187,7 +188,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float, chunk: int = 6
 
 
 def identify(docs: DataFrame, m: LanguageModel, text: str = "text", spans: bool = True) -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (share of the letters in spans of that language) and ``lang_spans``.
+    """``docs`` with ``lang_pred``, ``score`` (share of the letters that stand in spans of that language and in a script of a learned one) and ``lang_spans``.
 
     A span is (begin, end, lang) in code points, from the first letter of its first word to behind its
     last letter. Texts that are null or have no letter get ``und``, score 0 and no span. Columns of these names are replaced.
@@ -207,10 +208,12 @@ def identify(docs: DataFrame, m: LanguageModel, text: str = "text", spans: bool
         n = len(texts)
         if not L or not len(begin):
             return np.full(n, L), np.zeros(n), np.zeros(n + 1, np.int32), (np.zeros(0, np.int32),) * 3
-        labels = viterbi(word_scores(m, cp, low, begin, end), before, m.switch)
+        scores, known = word_scores(m, cp, low, begin, end)
+        labels = viterbi(scores, before, m.switch)
         owner = np.repeat(np.arange(n), np.diff(before))
-        share = np.bincount(owner * L + labels, weights=end - begin, minlength=n * L).reshape(n, L)
-        letters = share.sum(axis=1)
+        # words in a script of no learned language are no evidence for the language of the span they stand in
+        share = np.bincount(owner * L + labels, weights=(end - begin) * known, minlength=n * L).reshape(n, L)
+        letters = np.bincount(owner, weights=end - begin, minlength=n)
         pred = np.where(letters > 0, share.argmax(axis=1), L)
         head = np.flatnonzero((np.diff(labels, prepend=labels[0]) != 0) | (np.diff(owner, prepend=-1) != 0))
         tail = np.concatenate([head[1:], [len(labels)]]) - 1
@@ -220,9 +223,8 @@ def identify(docs: DataFrame, m: LanguageModel, text: str = "text", spans: bool
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = C.strings(b.column(b.num_columns - 1))
-            for i, j in C.slices(texts):
-                pred, score, offsets, (lo, hi, lab) = label(texts[i:j])
+            for i, j, texts in C.text_slices(b.column(b.num_columns - 1), 1 << 19):
+                pred, score, offsets, (lo, hi, lab) = label(texts)
                 out = [*b.slice(i, j - i).columns[:-1], names.take(pa.array(pred)), pa.array(score)]
                 if spans:
                     items = pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), names.take(pa.array(lab))], ["begin", "end", "lang"])
@@ -230,4 +232,4 @@ def identify(docs: DataFrame, m: LanguageModel, text: str = "text", spans: bool
                 yield pa.RecordBatch.from_arrays(out, out_names)
 
     # the text travels once more at the end, so that it is found whatever the columns are called
-    return kept.withColumn("__text", F.col(text)).mapInArrow(kernel, T.StructType([*kept.schema.fields, *new]))
+    return C.with_text(docs, text, "lang_pred", "score", "lang_spans").mapInArrow(kernel, T.StructType([*kept.schema.fields, *new]))
