@@ -124,6 +124,15 @@ def _plain(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
         yield gap, len(data) - gap, None, why
 
 
+def _unpacked(data: bytes, at: int, piece: int = 1 << 16) -> tuple[bytes | None, int]:
+    """Content and length of the member that begins at ``at``, none where it is cut off. Bytes go in by pieces, so no more than one piece behind the member is touched."""
+    unpack, out, pos = zlib.decompressobj(31), [], at
+    while not unpack.eof and pos < len(data):
+        out.append(unpack.decompress(data[pos:pos + piece]))
+        pos += piece
+    return (b"".join(out), min(pos, len(data)) - len(unpack.unused_data) - at) if unpack.eof else (None, 0)
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive in order, and a row with ``problem`` for each gap that was passed over.
 
@@ -134,11 +143,9 @@ def salvage(data: bytes) -> Iterator[dict]:
     while at < len(data):
         step, rows, problem = 0, [], "no member or version line"
         if data.startswith(MAGIC, at):
-            unpack = zlib.decompressobj(31)
             try:
-                content = unpack.decompress(memoryview(data)[at:])
-                if unpack.eof:
-                    step = len(data) - at - len(unpack.unused_data)
+                content, step = _unpacked(data, at)
+                if content is not None:
                     inner = list(_plain(content))
                     rows = [(r or {"problem": p}) | {"inner_offset": a, "inner_length": n} for a, n, r, p in inner]
                     # an empty member says nothing
