@@ -27,7 +27,7 @@ from kbspark.llm.components import components
 #: Shingles of five words; linked when 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 75
 #: Bytes of text that are cut into shingles at once; it bounds the arrays of a task.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Shingles known as frequent, which only orders them; the number bounds what every task receives.
 FREQUENT = 1 << 17
 #: Entries of a list that meet in one group; longer lists are cut, and their parts meet in pairs.
