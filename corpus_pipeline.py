@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose text has one main language."""
     model = language.fit(docs.filter(~C.held_out()))
     # whole rows travel as one column, so no column of theirs meets one of the operator's
-    kept = language.identify(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model, spans=False)
+    kept = language.identify(docs.select(F.struct(*docs.columns).alias("doc")), model, "doc.text", spans=False)
     return kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc.*")
 
 
