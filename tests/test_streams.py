@@ -72,6 +72,34 @@ def test_stuck_by_timer_over_restarts(spark, tmp_path):
     assert seen[3] == [("a", ms(0)), ("c", ms(10)), ("d", ms(390)), ("late", ms(990))]
 
 
+def test_keys_share_cells_of_state(spark, tmp_path, monkeypatch):
+    """Many keys, and rows without one: the state has a row for each cell, not for each key, and each key's result is its own."""
+    monkeypatch.setattr(S, "CELLS", 5)
+    key = F.when(F.col("id") % 101 != 100, F.col("id") % 101)
+    calls = spark.range(600).select(key.alias("api_key_id"), F.col("id").alias("n"), (F.lit(T0) + F.make_dt_interval(hours=F.col("id").cast("int"))).alias("created_time"),
+                                    (F.col("id") % 7).alias("total_cost_e8"))
+    keys = spark.range(90).select("id", (F.col("id") % 9 - 1).alias("quota_e8"))
+    portions(spark, calls, [F.col("n") < 250, F.col("n") >= 250], str(tmp_path / "q"), lambda s, out, c: B.append_available(S.admit_stream(s, keys, ["created_time"], ["n"]), out, c))
+    used, want = {}, []
+    for i in range(600):
+        k = i % 101 if i % 101 != 100 else None
+        quota = k % 9 - 1 if k is not None and k < 90 else -1
+        want.append((i, k, used.get(k, 0), quota < 0 or used.get(k, 0) < quota))
+        used[k] = used.get(k, 0) + i % 7
+    got = spark.read.parquet(str(tmp_path / "q" / "out")).select("n", "api_key_id", "used_before_e8", "admitted")
+    assert sorted(map(tuple, got.collect())) == want
+    assert spark.read.format("statestore").load(str(tmp_path / "q" / "checkpoint")).count() == 6
+
+    code = F.when(F.col("id") % 50 != 49, F.concat(F.lit("d"), F.col("id") % 50))
+    ev = spark.range(150).select(code.alias("doc_code"), F.col("id").alias("event_id"), (F.lit(T0) + F.make_dt_interval(mins=F.col("id").cast("int") * 3)).alias("ts"),
+                                 F.when((F.col("id") < 50) | (F.col("id") % 50 % 2 == 1), "PROCESSING").otherwise("SUCCESS").alias("status"))
+    portions(spark, ev, [F.col("event_id") < 60, F.col("event_id") >= 60], str(tmp_path / "e"), lambda s, out, c: B.append_available(S.stuck_alerts(s), out, c))
+    # events of a document are 150 minutes apart: the even ones are finished too late, odd ones never before the clock (387 minutes) has passed their limit
+    got = spark.read.parquet(str(tmp_path / "e" / "out")).collect()
+    assert sorted((r["doc_code"] or "", r["stuck_since_ms"]) for r in got) == sorted(("" if i == 49 else f"d{i}", 1704067200000 + i * 180000) for i in range(50))
+    assert spark.read.format("statestore").load(str(tmp_path / "e" / "checkpoint")).count() == 6
+
+
 def test_two_sinks_apply_a_batch_once(spark, tmp_path):
     rows = [(1, f"s{i % 3}", "u", "glm-5.3-flash", 10 * i, 5, 10 * i + 5, 0, T0 + dt.timedelta(hours=i)) for i in range(12)]
     usage = spark.createDataFrame(rows, "api_key_id bigint, session_id string, user_id string, model string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint, cache_tokens bigint, created_time timestamp")
