@@ -41,11 +41,21 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
             .select("path", F.col("length").alias("file_size")))
 
 
-def stream_files(spark: SparkSession, path: str, glob: str = "*", most: int = 1000) -> DataFrame:
-    """Arriving files as a stream of path, file_size and text (null where the bytes are not UTF-8), ``most`` files a micro-batch."""
+def _arriving(spark: SparkSession, path: str, glob: str, most: int) -> DataFrame:
+    """Arriving files below ``path`` as a stream of path, length and content, ``most`` files a micro-batch."""
     kinds = "path string, modificationTime timestamp, length bigint, content binary"
     return (spark.readStream.schema(kinds).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", most).load(path)
-            .select("path", F.col("length").alias("file_size"), F.try_validate_utf8(F.col("content").cast("string")).alias("text")))
+            .select("path", "length", "content"))
+
+
+def stream_files(spark: SparkSession, path: str, glob: str = "*", most: int = 1000) -> DataFrame:
+    """Arriving files as a stream of path, file_size and text (null where the bytes are not UTF-8), ``most`` files a micro-batch."""
+    return _arriving(spark, path, glob, most).select("path", F.col("length").alias("file_size"), F.try_validate_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def stream_records(spark: SparkSession, path: str, glob: str = "*", most: int = 1000) -> DataFrame:
+    """Records of arriving files as a stream of path and content, the record's bytes, ``most`` files a micro-batch."""
+    return _arriving(spark, path, glob, most).select("path", "content").mapInArrow(_records, "path string, content binary")
 
 
 def write_documents(df: DataFrame, path: str, name: str, text: str) -> None:
@@ -64,24 +74,46 @@ def write_text_files(df: DataFrame, path: str, folder: str, text: str, rows_per_
      .option("maxRecordsPerFile", rows_per_file).option("lineSep", "\n").text(path))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of files written by ``write_text_files``; a file whose lengths don't fit its bytes is an error that names it."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def write_records(df: DataFrame, path: str, text: str, size: int = 1 << 20) -> None:
+    """Adds files of about ``size`` bytes to ``path``, with records as ``write_text_files`` makes them; a larger text has a file of its own."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
         for b in batches:
-            for name, content in zip(b.column(0), b.column(1)):
-                whole, at, out, size = content.as_py(), 0, [], 0
-                while at < len(whole):
-                    end = whole.find(b"\n", at)
-                    n = int(whole[at:end]) if end > at else -2
-                    if n < -1 or end + 1 + max(n, 0) >= len(whole) or whole[end + 1 + max(n, 0)] != 10:
-                        raise ValueError(f"record at byte {at} of {name.as_py()} is damaged")
-                    out.append(None if n < 0 else whole[end + 1:end + 1 + n].decode())
-                    size += max(n, 0)
-                    at = end + 2 + max(n, 0)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array(out, pa.string())], ["path", "text"])
-                        out, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array(out, pa.string())], ["path", "text"])
+            for x in b.column(0):
+                whole = x.as_py()
+                if out and held + len(whole or b"") > size:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(out)], pa.binary())], ["value"])
+                    out, held = [], 0
+                out.append(b"-1\n" if whole is None else b"%d\n%b" % (len(whole), whole))
+                held += len(out[-1])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(out)], pa.binary())], ["value"])
+
+    # the line feed behind the last record of a file is the writer's
+    (df.select(F.col(text).cast("binary")).mapInArrow(pack, "value binary").select(F.col("value").cast("string"))
+     .write.mode("append").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path))
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, content) of each record of files, null for a null text; a file whose lengths don't fit its bytes is an error that names it."""
+    for b in batches:
+        for name, content in zip(b.column(0), b.column(1)):
+            whole, at, out, size = content.as_py(), 0, [], 0
+            while at < len(whole):
+                end = whole.find(b"\n", at)
+                n = int(whole[at:end]) if end > at else -2
+                if n < -1 or end + 1 + max(n, 0) >= len(whole) or whole[end + 1 + max(n, 0)] != 10:
+                    raise ValueError(f"record at byte {at} of {name.as_py()} is damaged")
+                out.append(None if n < 0 else whole[end + 1:end + 1 + n])
+                size += max(n, 0)
+                at = end + 2 + max(n, 0)
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array(out, pa.binary())], ["path", "content"])
+                    out, size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array(out, pa.binary())], ["path", "content"])
 
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of files written by ``write_text_files`` or ``write_records``; a file whose lengths don't fit its bytes is an error that names it."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    return raw.mapInArrow(cut, "path string, text string")
+    return raw.mapInArrow(_records, "path string, content binary").select("path", F.validate_utf8(F.col("content").cast("string")).alias("text"))

@@ -125,6 +125,37 @@ def test_records_with_any_text(spark, tmp_path):
     assert sum(sizes) == 5 and len(sizes) >= 3 and max(sizes) <= 2
 
 
+def test_written_records_share_files(spark, tmp_path):
+    texts = ["plain", "with \u001e and \n12\nx", "", None, "é日本" * 3, "\n", "x" * 100]
+    df = spark.createDataFrame([(t,) for t in texts * 20], "text string").repartition(2)
+    files.write_records(df, str(tmp_path / "r"), "text", 300)
+    files.write_records(df, str(tmp_path / "r"), "text", 300)
+    written = list((tmp_path / "r").glob("part-*"))
+    assert len(written) < len(texts) * 40 / 4 and max(f.stat().st_size for f in written) <= 400
+    assert sorted(map(str, (r["text"] for r in files.read_records(spark, str(tmp_path / "r")).collect()))) == sorted(map(str, texts * 40))
+    got, sizes = [], []
+    s = files.stream_records(spark, str(tmp_path / "r"), most=5)
+
+    def step(b, i):
+        rows = b.collect()
+        got.extend(None if r["content"] is None else bytes(r["content"]).decode() for r in rows)
+        sizes.append(len({r["path"] for r in rows}))
+
+    B.run_available(s, step, "f", str(tmp_path / "c"))
+    assert sorted(map(str, got)) == sorted(map(str, texts * 40)) and max(sizes) <= 5 and len(sizes) == -(-len(written) // 5)
+
+
+def test_uploads_of_a_portion_share_files(spark, tmp_path, monkeypatch):
+    from kbspark.catalog import streams
+
+    rows = [(i, "de", None if i == 4 else "" if i == 5 else f"Text {i}. Second\nline é.\n") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(streams, "scratch_dir", lambda s, name: str(tmp_path / name))
+    got = {r["doc_code"]: (r["status"], r["chunk_count"]) for r in streams.x7(spark, str(tmp_path)).collect()}
+    assert got == {f"D{i}": ("FAILED", 0) if i in (4, 5) else ("SUCCESS", 1) for i in range(60)}
+    assert len(list((tmp_path / "x7" / "in").rglob("part-*"))) == 3  # not one for each document
+
+
 def test_ordered_cuts_one_instant(spark, monkeypatch):
     """A key whose rows share one instant is cut by the rest of the order, and the ledger equals its definition."""
     monkeypatch.setattr(ordered, "HOT_ROWS", 100)
