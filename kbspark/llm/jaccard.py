@@ -35,6 +35,8 @@ LIST_PART = 4096
 #: Lists up to this length are searched for entries that no other set of the list can be linked with; longer ones keep all.
 SHORT = 16
 ENTRY = np.dtype([("h", "<u8"), ("s", "<i8"), ("n", "<i4"), ("p", "<i4")])
+#: Rows of texts or full sets that travel to Python at once; Spark's own number of them takes tens of MB for each task, on both sides.
+BATCH = 1 << 10
 #: Bits of the filter that keeps texts of other documents out of a join; it passes more when it fills up, never less.
 FILTER = 1 << 22
 
@@ -174,7 +176,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                 yield from counts(False)
         yield from counts(True)
 
-    both = C.written(rows.mapInArrow(members, "doc_id bigint, row_id bigint, n bigint, set_id bigint, bits binary, shingle bigint, sets bigint"), "jaccard-members")
+    both = C.written(rows.mapInArrow(members, "doc_id bigint, row_id bigint, n bigint, set_id bigint, bits binary, shingle bigint, sets bigint"), "jaccard-members", BATCH)
     member = both.filter("set_id IS NOT NULL").select("doc_id", "row_id", "n", "set_id")
     bits = both.filter("bits IS NOT NULL").select("set_id", "n", "bits")
     frequent = (both.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("sets").alias("sets")).filter("sets >= 4")
@@ -252,11 +254,10 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         return pa.table(out)
 
     entries = C.written(rows.select("text").mapInArrow(index, "bucket bigint, entries binary").groupBy("bucket")
-                        .applyInArrow(lists, "shingle bigint, n int, set_id bigint, place int, again boolean, n_2 int, set_id_2 bigint, place_2 int"), "jaccard-lists")
+                        .applyInArrow(lists, "shingle bigint, n int, set_id bigint, place int, again boolean, n_2 int, set_id_2 bigint, place_2 int"), "jaccard-lists", BATCH)
     first = C.written(_possible(entries.filter("set_id_2 IS NOT NULL"), percent).select(
         F.least("set_id", "set_id_2").alias("a"), F.greatest("set_id", "set_id_2").alias("b")).distinct(), "jaccard-pairs")
-    links = C.written(_verified(rows, member, _near(bits, first, percent), percent), "jaccard-links")
-    classes = components(links)
+    classes = components(_verified(rows, member, _near(bits, first, percent), percent))
 
     meets = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     tried = first
@@ -359,7 +360,7 @@ def _near(bits: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = np.add(b.column(2).to_numpy(), b.column(3).to_numpy())
-            differ = np.fromiter(map(least_difference, b.column(4).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
+            differ = np.fromiter((least_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column(4), b.column(5))), np.int64, b.num_rows)
             # at most (both - differ) / 2 shingles are shared
             yield b.filter(pa.array((100 + percent) * (both - differ) >= 2 * percent * both)).select(["a", "b"])
 
@@ -396,13 +397,13 @@ def _verified(rows: DataFrame, member: DataFrame, pairs: DataFrame, percent: int
                 packed = [h[x:y].tobytes() for x, y in zip(bound[:-1][same], bound[1:][same])]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][same]), pa.array(packed, pa.binary())], ["set_id", "shingles"])
 
-    sets = C.written(some.join(one, "row_id").select("set_id", "text").mapInArrow(full, "set_id bigint, shingles binary"), "jaccard-sets").dropDuplicates(["set_id"])
+    sets = C.written(some.join(one, "row_id").select("set_id", "text").mapInArrow(full, "set_id bigint, shingles binary"), "jaccard-sets", BATCH).dropDuplicates(["set_id"])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3)):  # views of the batch, no copies
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(ok, pa.bool_())
@@ -410,4 +411,4 @@ def _verified(rows: DataFrame, member: DataFrame, pairs: DataFrame, percent: int
 
     paired = (pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a")
               .join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b"))
-    return paired.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint")
+    return C.written(paired.select("a", "b", "x", "y").mapInArrow(linked, "a bigint, b bigint"), "jaccard-links", BATCH)

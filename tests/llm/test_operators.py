@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -149,6 +150,27 @@ def test_jaccard_join_equals_all_pairs(spark, docs, odd, none, monkeypatch):
     assert jaccard.near_copies(none).count() == 0 and jaccard.near_copies(odd).count() == len(ODD)
 
 
+def test_written_bounds_the_rows_that_travel_at_once(spark):
+    before = spark.conf.get(common.BATCH_ROWS)
+    sizes = spark.range(5000, numPartitions=1).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in bs), "n bigint")
+    assert common.written(sizes, "sizes", 700).agg(F.max("n"), F.sum("n")).first() == (700, 5000)
+    assert spark.conf.get(common.BATCH_ROWS) == before
+    assert common.written(sizes, "sizes").agg(F.max("n")).first()[0] == min(5000, int(before))
+
+
+def test_full_sets_travel_in_small_batches(spark, monkeypatch):
+    held, plain = {}, common.written
+
+    def noted(df, name, batch=None):
+        held[name] = batch
+        return plain(df, name, batch)
+
+    monkeypatch.setattr(common, "written", noted)
+    rows = [(i, f"{'same words here all over ' * 3}{i // 2} one two three four", "en", "a", 0) for i in range(20)]
+    assert jaccard.near_copies(spark.createDataFrame(rows, DOCS)).count() == 20
+    assert all(held[f"jaccard-{k}"] == jaccard.BATCH for k in ("members", "lists", "sets", "links"))
+
+
 def test_jaccard_join_through_a_row_without_key(spark):
     base = [f"w{k}" for k in range(60)]
     ends = [" ".join(base[:k] + ["other"] + base[k + 1:]) for k in (10, 40)]  # linked with the base, not with each other
