@@ -11,16 +11,19 @@ from kbspark.sources.tables import read_table
 
 #: A document without letters, or with less than this share of them in its main language, is rejected.
 LEAST_SHARE = 0.4
+#: Rows of whole documents that travel to Python at once.
+BATCH = 1 << 10
 #: Cells in which equal rows are dealt their copies.
 EQUAL_CELLS = 256
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has one main language."""
-    model = language.fit(docs.filter(~C.held_out()))
+    with C.small_batches(spark, BATCH):
+        model = language.fit(docs.filter(~C.held_out()))
     # whole rows travel as one column, so no column of theirs meets one of the operator's
     kept = language.identify(docs.select(F.struct(*docs.columns).alias("doc")), model, "doc.text", spans=False)
-    return kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc.*")
+    return C.written(kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("doc.*"), "pipeline-language", BATCH)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.without_benchmark(docs, read_table(spark, sf_dir, "benchmark"))
+    return C.written(decontaminate.without_benchmark(docs, read_table(spark, sf_dir, "benchmark")), "pipeline-clean", BATCH)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

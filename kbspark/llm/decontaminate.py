@@ -204,9 +204,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     for index in _indexes(benchmark, item, item_text, min_words):
         def kernel(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = C.strings(b.column(1))
-                for i, j in C.slices(texts):
-                    got = index.search(texts[i:j], threshold, overlap)
+                for i, _, texts in C.text_slices(b.column(1)):
+                    got = index.search(texts, threshold, overlap)
                     t, *rest = [list(x) for x in zip(*got)] if got else [[] for _ in range(5)]
                     cols = [b.column(0).take(pa.array([i + x for x in t], pa.int64())), pa.array(rest[0], pa.int64()), *(pa.array(x, pa.float64()) for x in rest[1:])]
                     yield pa.RecordBatch.from_arrays(cols, names)
@@ -222,10 +221,9 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     for index in _indexes(benchmark, item, item_text, min_words):
         def kernel(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = C.strings(b.column(b.num_columns - 1))
-                clean = np.ones(len(texts), bool)
-                for i, j in C.slices(texts):
-                    clean[[i + x[0] for x in index.search(texts[i:j], threshold, overlap)]] = False
+                clean = np.ones(b.num_rows, bool)
+                for i, _, texts in C.text_slices(b.column(b.num_columns - 1)):
+                    clean[[i + x[0] for x in index.search(texts, threshold, overlap)]] = False
                 yield b.filter(pa.array(clean)).select(range(b.num_columns - 1))
 
         docs = C.with_text(docs, text).mapInArrow(kernel, docs.schema)
