@@ -31,7 +31,8 @@ def _graph(spark, d):
   SELECT query_id, cast(rank AS int) AS rank, content AS source_content, e1 AS entity1, e2 AS entity2, oc AS other_content FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_id, e1, content, e2 NULLS FIRST, other_id NULLS FIRST) AS rank FROM paths) t WHERE rank <= 30""", GV)
 def j3(spark, d):
-    chunks, mentions, _, relations = _graph(spark, d)
+    chunks, _, _, relations = _graph(spark, d)
+    mentions = view(spark, d, "v_mention", by="chunk_id")  # the search meets them by chunk
     return G.multi_hop(view(spark, d, "v_seed"), chunks, mentions, relations, 30)
 
 

@@ -176,20 +176,47 @@ def reachable(relations: DataFrame, starts: DataFrame, limit: int) -> DataFrame:
             .groupBy("e1").agg(F.array_sort(F.collect_list("e2")).alias("targets")))
 
 
-def first_other_texts(asked: DataFrame, live: DataFrame, mentions: DataFrame, limit: int) -> DataFrame:
-    """(e2, scope, others): the first ``limit`` distinct texts (by their smallest chunk id) that mention an entity, for each ``asked`` (e2, scope).
+# Names that the mentions are looked up in by a broadcast; more are met where the mentions of an entity come together.
+FEW_NAMES = 1_000_000
+# Of so few names the texts are cut before they come together: a hub among them is spread over the tasks.
+HUB_NAMES = 10_000
 
-    ``live`` has chunk_id, tenant_code, system_type and text_id. Scopes: 'own|tenant|system', 'global' for tenant '0' in every system, and 'all'
-    for the super tenant. Only mentions of asked entities meet the chunks.
+
+def _text_keys(live: DataFrame) -> list[str]:
+    return [c for c in ("text_id", "text_id2") if c in live.columns]
+
+
+def first_other_texts(asked: DataFrame, live: DataFrame, mentions: DataFrame, limit: int, keep_empty: bool = False) -> DataFrame:
+    """Rows of ``asked`` with ``others``: the first ``limit`` distinct texts (by their smallest chunk id) that mention the entity ``e2`` within ``scope``.
+
+    ``asked`` has e2, scope and any other columns, which are kept; rows without such texts only with ``keep_empty``. ``live`` has chunk_id, tenant_code,
+    system_type and text_id (with text_id2 where one column doesn't tell texts apart). Scopes: 'own|tenant|system', 'global' for tenant '0' in every system,
+    and 'all' for the super tenant. Few asked entities are looked up in the mentions before these meet the chunks. Then mentions and asked rows travel once,
+    by entity: a mention is counted in its scopes, the lists are cut and the asked rows take theirs where they are, so no list is shuffled.
     """
-    own = F.concat_ws("|", F.lit("own"), "tenant_code", "system_type")
-    scopes = F.when(F.col("tenant_code") == "0", F.array(F.lit("global"), F.lit("all"))).otherwise(F.array(own, F.lit("all")))
-    near = mentions.select("chunk_id", F.col("entity_name").alias("e2")).join(asked.select("e2").distinct(), "e2", "left_semi")
-    texts = (near.join(live, "chunk_id").select("e2", F.explode(scopes).alias("scope"), "text_id", "chunk_id").join(asked, ["e2", "scope"], "left_semi")
-             .groupBy("e2", "scope", "text_id").agg(F.min("chunk_id").alias("other_id")))
-    w = Window.partitionBy("e2", "scope").orderBy("other_id")
-    return (texts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= limit)
-            .groupBy("e2", "scope").agg(F.array_sort(F.collect_list(F.struct("other_id", "text_id"))).alias("others")))
+    keys, rest = _text_keys(live), [c for c in asked.columns if c not in ("e2", "scope")]
+    near, names = mentions, asked.agg(F.approx_count_distinct("e2")).first()[0]
+    if names <= FEW_NAMES:
+        near = mentions.join(F.broadcast(asked.select(F.col("e2").alias("entity_name")).distinct()), "entity_name", "left_semi")
+    home = F.when(F.col("tenant_code") == "0", F.lit("global")).otherwise(F.concat_ws("|", F.lit("own"), "tenant_code", "system_type"))
+    found = (near.filter("entity_name IS NOT NULL").join(live, "chunk_id")
+             .select(F.col("entity_name").alias("e2"), home.alias("scope"), *keys, F.col("chunk_id").alias("other_id")))
+    if names <= min(FEW_NAMES, HUB_NAMES):  # what is among the first of all scopes is so in its own
+        found = found.groupBy("e2", "scope", *keys).agg(F.min("other_id").alias("other_id"))
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("e2", "scope").orderBy("other_id", *keys))).filter(F.col("r") <= limit).drop("r")
+    ask = F.struct(*(rest or [F.lit(True).alias("asked")])).alias("ask")
+    both = found.unionByName(asked.filter("e2 IS NOT NULL").select("e2", "scope", ask), allowMissingColumns=True).repartition("e2")
+    # all that follows is grouped by the entity first, and stays where it is
+    texts = both.select("e2", F.explode(F.when(F.col("ask").isNull(), F.array("scope", F.lit("all"))).otherwise(F.array("scope"))).alias("scope"),
+                        *keys, "other_id", "ask", F.col("ask").isNotNull().alias("is_ask"))
+    same = Window.partitionBy("e2", "scope", "is_ask", *keys).orderBy("other_id")
+    texts = texts.withColumn("r", F.row_number().over(same)).filter(F.col("is_ask") | (F.col("r") == 1))
+    in_order = Window.partitionBy("e2", "scope", "is_ask").orderBy("other_id", *keys)
+    texts = texts.withColumn("r", F.row_number().over(in_order)).filter(F.col("is_ask") | (F.col("r") <= limit))
+    other = F.when(~F.col("is_ask"), F.struct("other_id", *keys))
+    out = (texts.withColumn("others", F.array_sort(F.collect_list(other).over(Window.partitionBy("e2", "scope")))).filter("is_ask")
+           .select("e2", "scope", *[F.col("ask")[c].alias(c) for c in rest], "others"))
+    return out if keep_empty else out.filter(F.size("others") > 0)
 
 
 # Steps of each question that are tried before the rest.
@@ -203,62 +230,80 @@ def multi_hop(seeds: DataFrame, chunks: DataFrame, mentions: DataFrame, relation
     (seed id, entity1, entity2, other id). The search goes outward from the seeds: each step meets only the mentions, edges and chunk headers of
     what it has reached, and keeps only what can still be among the first ``limit`` rows of a question: each kept prefix yields one row or more, so
     the cuts are exact and no step grows with the size of a hub. Texts are told apart by the column ``text_id`` of a chunk store
-    (by two hashes where ``chunks`` has none) and fetched at the end, by the ids of the rows that remain.
+    (by two hashes where ``chunks`` has none) and fetched at the end, by the ids of the rows that remain. A step travels as one row with its list of ids,
+    not as a row for each id, until the texts are fetched.
     """
     t, s = F.col("t"), F.col("s")
     seen = ((t == "0") | ((F.col("tenant_code") == t) & (F.col("system_type") == s)) | (F.col("tenant_code") == "0"))
     # two hashes of the text with other seeds: 128 bits
-    text_id = F.col("text_id") if "text_id" in chunks.columns else F.struct(F.xxhash64("content").alias("a"), F.xxhash64(F.lit(1), "content").alias("b"))
-    live = chunks.filter("enabled").select("chunk_id", "tenant_code", "system_type", text_id.alias("text_id"))
+    ids = [F.col("text_id")] if "text_id" in chunks.columns else [F.xxhash64("content").alias("text_id"), F.xxhash64(F.lit(1), "content").alias("text_id2")]
+    live = chunks.filter("enabled").select("chunk_id", "tenant_code", "system_type", *ids)
+    keys = _text_keys(live)
     q = seeds.select("query_id", "chunk_id", F.col("tenant_code").alias("t"), F.col("system_type").alias("s"))
-    starts = (q.join(live, "chunk_id").filter(seen).select("query_id", "t", "s", "chunk_id", "text_id")
-              .join(mentions.select("chunk_id", F.col("entity_name").alias("e1")), "chunk_id")
-              .groupBy("query_id", "t", "s", "text_id", "e1").agg(F.min("chunk_id").alias("source_id")))
-    per_q = Window.partitionBy("query_id").orderBy("source_id", "e1", "text_id")
+    # of a chunk only the first ``limit`` entities can be among the first rows; they travel with it as one row
+    per_chunk = Window.partitionBy("chunk_id").orderBy("e1")
+    names = F.collect_set(F.struct("e1")).over(Window.partitionBy("chunk_id"))
+    named = (mentions.select("chunk_id", F.col("entity_name").alias("e1")).withColumn("r", F.dense_rank().over(per_chunk)).filter(F.col("r") <= limit)
+             .withColumns({"names": names, "first": F.row_number().over(per_chunk)}).filter("first = 1").select("chunk_id", "names"))
+    starts = (q.join(live, "chunk_id").filter(seen).select("query_id", "t", "s", "chunk_id", *keys).join(named, "chunk_id").repartition("query_id", *keys)
+              .select("query_id", "t", "s", "chunk_id", *keys, F.explode("names.e1").alias("e1"))
+              .groupBy("query_id", "t", "s", *keys, "e1").agg(F.min("chunk_id").alias("source_id")).drop(*keys))
+    per_q = Window.partitionBy("query_id").orderBy("source_id", "e1")  # starts of one chunk and entity are alike
     # the frontier after each step is written: the next step reads it twice, and what led to it isn't computed again
-    starts = cut_lineage(starts.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= limit).drop("text_id"))
-    # a start makes a step for each target, one at least; starts behind the first ``limit`` steps are not followed
-    sized = starts.join(reachable(relations, starts, limit), "e1", "left").withColumn("n", F.greatest(F.lit(1), F.coalesce(F.size("targets"), F.lit(0))))
-    in_order = Window.partitionBy("query_id").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    sized = sized.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)).cast("int")).filter(F.col("before") < limit)
-    scopes = F.when(t == "0", F.array(F.lit("all"))).otherwise(F.array(F.concat_ws("|", F.lit("own"), t, s), F.lit("global")))
-    steps = cut_lineage(sized.select("query_id", "source_id", "e1", "before", scopes.alias("scopes"), F.posexplode_outer("targets").alias("at", "e2"))
-                        .withColumn("step", F.col("before") + F.coalesce("at", F.lit(0)) + 1).filter(F.col("step") <= limit).drop("before", "at"))
-
-    # A step yields at least as many rows as its larger list has texts, and one at least; what earlier steps
-    # surely yield need not be filled again. The first few steps fill most questions; only the others look at more. The sizes
-    # of the lists decide this, the lists themselves meet only the steps that remain.
+    starts = cut_lineage(starts.withColumn("r", F.row_number().over(per_q)).filter(F.col("r") <= limit))
+
+    # A step yields a row for each text of its lists, and one at least. The first few steps fill most questions; only the others look at more.
     found, have = [], None
     for low, high in ((0, min(FIRST_STEPS, limit)), (FIRST_STEPS, limit)):
         if low >= high:
             break
-        some = steps.filter((F.col("step") > low) & (F.col("step") <= high))
+        some = starts.filter(F.col("r") <= high)  # a start makes a step for each target, one at least
         if have is not None:
-            some = some.join(have.filter(F.col("have") < limit), "query_id")
+            unfilled = cut_lineage(have.filter(F.col("have") < limit))
+            if unfilled.isEmpty():
+                break
+            some = some.join(unfilled, "query_id")
         else:
-            some = some.withColumn("have", F.lit(0).cast("bigint"))
-        each = some.filter("e2 IS NOT NULL").select("query_id", "step", "e2", F.explode("scopes").alias("scope"))
-        lists = cut_lineage(first_other_texts(each.select("e2", "scope").distinct(), live, mentions, limit))
-        sizes = each.join(lists.select("e2", "scope", F.size("others").alias("n")), ["e2", "scope"]).groupBy("query_id", "step").agg(F.max("n").alias("n"))
-        before = Window.partitionBy("query_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-        sure = some.join(sizes, ["query_id", "step"], "left").withColumn("n", F.greatest(F.lit(1), F.coalesce("n", F.lit(0))))
-        needed = cut_lineage(sure.withColumn("room", (F.lit(limit) - F.col("have") - F.coalesce(F.sum("n").over(before), F.lit(0))).cast("int"))
-                             .filter("room > 0").select("query_id", "step", "source_id", "e1", "e2", "scopes", "room", "n", "have"))
-        others = (needed.select("query_id", "step", "e2", "room", F.explode("scopes").alias("scope")).join(lists, ["e2", "scope"])
-                  .select("query_id", "step", F.explode(F.expr("slice(others, 1, room)")).alias("o"))
-                  .groupBy("query_id", "step", "o.text_id").agg(F.min("o.other_id").alias("other_id")).drop("text_id"))
-        found.append(needed.select("query_id", "step", "source_id", "e1", "e2").join(others, ["query_id", "step"], "left"))
-        have = needed.groupBy("query_id").agg((F.max("have") + F.sum("n")).alias("have"))
+            some = some.withColumn("have", F.lit(0))
+        sized = some.join(reachable(relations, some, limit), "e1", "left").withColumn("n", F.greatest(F.lit(1), F.coalesce(F.size("targets"), F.lit(0))))
+        in_order = Window.partitionBy("query_id").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+        sized = sized.withColumn("before", F.coalesce(F.sum("n").over(in_order), F.lit(0)).cast("int")).filter(F.col("before") < high)
+        scopes = F.when(t == "0", F.array(F.lit("all"))).otherwise(F.array(F.concat_ws("|", F.lit("own"), t, s), F.lit("global")))
+        steps = cut_lineage(sized.select("query_id", "have", "source_id", "e1", "before", scopes.alias("scopes"), F.posexplode_outer("targets").alias("at", "e2"))
+                            .withColumn("step", F.col("before") + F.coalesce("at", F.lit(0)) + 1)
+                            .filter((F.col("step") > low) & (F.col("step") <= high)).drop("before", "at"))
+        cols = ["query_id", "have", "step", "source_id", "e1", "e2"]
+        each = steps.filter("e2 IS NOT NULL").select(*cols, F.explode("scopes").alias("scope"))
+        # the lists of a step lie in one place: they become one list of distinct texts there
+        lists = first_other_texts(each, live, mentions, limit, keep_empty=True).groupBy(*cols).agg(F.collect_list("others").alias("lists"))
+        both = F.array_sort(F.flatten("lists"))
+        alike = lambda x: lambda y: reduce(Column.__and__, [y[k].eqNullSafe(x[k]) for k in keys])
+        distinct = F.filter("both", lambda x, i: ~F.exists(F.slice("both", F.lit(1), i), alike(x)))
+        told = (lists.withColumn("both", both).withColumn("both", F.when(F.size("lists") > 1, distinct).otherwise(F.col("both")))
+                .select(*cols, F.transform(F.slice("both", 1, limit), lambda x: x["other_id"]).alias("others")))
+        told = told.unionByName(steps.filter("e2 IS NULL").select(*cols), allowMissingColumns=True)
+        n = F.greatest(F.lit(1), F.coalesce(F.size("others"), F.lit(0)))
+        earlier = Window.partitionBy("query_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+        told = told.withColumn("base", (F.col("have") + F.coalesce(F.sum(n).over(earlier), F.lit(0))).cast("int")).filter(F.col("base") < limit)
+        found.append(cut_lineage(told.select("query_id", "base", "source_id", "e1", "e2", F.slice("others", F.lit(1), F.lit(limit) - F.col("base")).alias("others"))))
+        have = found[-1].groupBy("query_id").agg(F.max(F.col("base") + n).alias("have"))
     rows = reduce(DataFrame.unionByName, found)
-    w = Window.partitionBy("query_id").orderBy("step", F.col("other_id").asc_nulls_first())
-    rows = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-    # the only place where texts are read: both ids of a row meet the chunks in one join
-    ids = rows.select("query_id", "rank", "e1", "e2", F.explode(F.array(F.struct(F.lit(True).alias("source"), F.col("source_id").alias("chunk_id")),
-                                                                        F.struct(F.lit(False).alias("source"), F.col("other_id").alias("chunk_id")))).alias("i"))
-    texts = ids.filter("i.chunk_id IS NOT NULL").select("query_id", "rank", "e1", "e2", "i.*").join(chunks.filter("enabled").select("chunk_id", "content"), "chunk_id")
-    return (texts.groupBy("query_id", "rank", F.col("e1").alias("entity1"), F.col("e2").alias("entity2"))
-            .agg(F.max(F.when(F.col("source"), F.col("content"))).alias("source_content"), F.max(F.when(~F.col("source"), F.col("content"))).alias("other_content"))
-            .select("query_id", "rank", "source_content", "entity1", "entity2", "other_content"))
+    # the only place where texts are read: all ids of a step, its source in front with what belongs to the step, meet the chunks in one join
+    place = F.col("base") * (limit + 1)
+    step = F.struct("e1", "e2", (F.coalesce(F.size("others"), F.lit(0)) < 1).alias("alone"))
+    source = F.array(F.struct(place.alias("place"), F.col("source_id").alias("chunk_id"), step.alias("step")))
+    others = F.transform(F.coalesce("others", F.array().cast("array<string>")),
+                         lambda x, i: F.struct((place + i + 1).alias("place"), x.alias("chunk_id"), F.lit(None).cast("struct<e1:string,e2:string,alone:boolean>").alias("step")))
+    ids = rows.select("query_id", F.inline(F.concat(source, others)))
+    texts = ids.join(chunks.filter("enabled").select("chunk_id", "content"), "chunk_id").drop("chunk_id")
+    in_order = Window.partitionBy("query_id").orderBy("place", F.col("content").desc_nulls_last())
+    again = F.coalesce(F.lag("place").over(in_order) == F.col("place"), F.lit(False))  # of an id that repeats the largest text counts
+    texts = texts.withColumn("again", again).filter(~F.col("again"))
+    head = F.last(F.when(F.col("step").isNotNull(), F.struct("step", "content")), ignorenulls=True).over(Window.partitionBy("query_id").orderBy("place"))
+    at, base = F.col("place") % (limit + 1), (F.col("place") / (limit + 1)).cast("int")
+    return (texts.withColumn("head", head).filter((at > 0) | F.col("step.alone"))
+            .select("query_id", (base + F.greatest(at, F.lit(1))).alias("rank"), F.col("head.content").alias("source_content"),
+                    F.col("head.step.e1").alias("entity1"), F.col("head.step.e2").alias("entity2"), F.when(at > 0, F.col("content")).alias("other_content")))
 
 
 # --- graph view -----------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import graph as G
 from kbspark.operators import maintenance as M
+from kbspark.sources.fixtures import view
 
 CH = "chunk_id string, content string, doc_code string, tenant_code string, system_type string, enabled boolean"
 
@@ -53,6 +54,70 @@ def test_multi_hop_equals_brute_force(spark, seed, limit):
     assert {tuple(x) for x in got.collect()} == brute(seeds, chunks, mentions, relations, limit)
 
 
+@pytest.mark.parametrize("few", [-1, 1_000_000], ids=["many-names", "few-names"])
+def test_multi_hop_in_rounds_equals_brute_force(spark, monkeypatch, few):
+    """Several rounds, both ways to the mentions, chunks without text or mentions, rows that come twice."""
+    monkeypatch.setattr(G, "FEW_NAMES", few)
+    monkeypatch.setattr(G, "FIRST_STEPS", 2)
+    r = random.Random(4)
+    chunks = [(f"c{i:03d}", f"text {i // 3}", "d", str(r.randrange(3)), f"s{r.randrange(2)}", r.random() > 0.1) for i in range(60)]
+    mentions = sorted({(f"c{r.randrange(50):03d}", f"e{r.randrange(12):02d}") for _ in range(110)})
+    relations = sorted({(f"e{r.randrange(12):02d}", f"e{r.randrange(14):02d}") for _ in range(20)})
+    seeds = [(q, f"c{r.randrange(60):03d}", str(q % 3), f"s{q % 2}") for q in range(8) for _ in range(4)]
+    got = G.multi_hop(spark.createDataFrame(seeds * 2, "query_id bigint, chunk_id string, tenant_code string, system_type string"),
+                      spark.createDataFrame(chunks + chunks[::4], CH), spark.createDataFrame(mentions, "chunk_id string, entity_name string"),
+                      spark.createDataFrame([(a, b, "x") for a, b in relations * 2], "src string, dst string, type string"), 7)
+    rows = [tuple(x) for x in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(seeds, chunks, mentions, relations, 7)
+
+
+def test_lists_are_not_shuffled(spark, monkeypatch):
+    """Mentions meet the chunks, then travel once by entity together with the rows that ask; neither scopes nor lists travel."""
+    monkeypatch.setattr(G, "FEW_NAMES", -1, raising=False)
+    live = spark.range(300).select(F.format_string("c%03d", "id").alias("chunk_id"), (F.col("id") % 3).cast("string").alias("tenant_code"), F.lit("s").alias("system_type"),
+                                   F.concat(F.lit("t"), F.col("id") % 100).alias("text_id"))
+    mentions = live.select("chunk_id", F.lit("e").alias("entity_name"))
+    asked = spark.createDataFrame([("e", "all", 1), ("e", "own|1|s", 2), ("e", "own|1|s", 3), ("e", "global", 4), ("e", "own|7|s", 5)], "e2 string, scope string, query_id int")
+    got = G.first_other_texts(asked, live, mentions, 40)
+    dealt = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x and "chunk_id" not in x.split("hashpartitioning")[1]]
+    assert len(dealt) == 1 and "scope" not in dealt[0].split("hashpartitioning")[1]
+    found = {r["query_id"]: [o["other_id"] for o in r["others"]] for r in got.collect()}
+    # texts repeat after a hundred chunks; tenants after three, so that each tenant has every text once, and the first chunk of a text counts for all
+    own = {t: [f"c{i:03d}" for i in range(300) if i % 3 == t][:40] for t in (0, 1)}
+    assert found == {1: [f"c{i:03d}" for i in range(40)], 2: own[1], 3: own[1], 4: own[0]}
+
+
+def test_first_steps_are_tried_before_others_are_written(spark, monkeypatch):
+    """Steps behind the first ones are neither made nor looked up where these fill the question."""
+    chunks = spark.range(40).select(F.format_string("c%02d", "id").alias("chunk_id"), F.concat(F.lit("t"), F.col("id")).alias("content"),
+                                    F.lit("d").alias("doc_code"), F.lit("0").alias("tenant_code"), F.lit("s").alias("system_type"), F.lit(True).alias("enabled"))
+    mentions = chunks.select("chunk_id", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("i")).select("chunk_id", F.format_string("e%02d", "i").alias("entity_name"))
+    relations = spark.createDataFrame([(f"e{i:02d}", f"e{j:02d}", "x") for i in range(1, 41) for j in range(1, 41)], "src string, dst string, type string")
+    seeds = spark.range(10).select(F.col("id").alias("query_id"), F.lit("c07").alias("chunk_id"), F.lit("1").alias("tenant_code"), F.lit("s").alias("system_type"))
+    written, cut = [], G.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "cut_lineage", counted)
+    got = G.multi_hop(seeds, chunks, mentions, relations, 30)
+    assert {(r["entity1"], r["entity2"], n) for r, n in ((x, x["n"]) for x in got.groupBy("entity1", "entity2").agg(F.count("*").alias("n")).collect())} == {("e01", "e01", 300)}
+    starts, *later = written
+    assert starts == 300 and sum(later) <= 10 * (G.FIRST_STEPS + 1)
+
+
+def test_view_dealt_out_by_a_column(spark, sf_dir):
+    """The rows of the view, ready to be met by that column."""
+    plain, dealt = view(spark, sf_dir, "v_mention"), view(spark, sf_dir, "v_mention", by="chunk_id")
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+    met = dealt.hint("merge").join(view(spark, sf_dir, "v_graph_chunk").select("chunk_id"), "chunk_id")
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 2
+    with pytest.raises(ValueError):
+        view(spark, sf_dir, "v_entity", by="name")
+
+
 def test_hub_stays_linear(spark):
     chunks = spark.range(10000).select(F.format_string("c%05d", "id").alias("chunk_id"), F.concat(F.lit("t"), F.col("id")).alias("content"),
                                        F.lit("d").alias("doc_code"), F.lit("0").alias("tenant_code"), F.lit("s").alias("system_type"), F.lit(True).alias("enabled"))
